@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyforge.plans import records
+from tallyforge.plans import records, scored_queries, sheet_queries
 
-MODULES = (records,)
+MODULES = (records, sheet_queries, scored_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -20,4 +20,4 @@ def oracle_sql() -> dict[str, str]:
 
 
 def flagship(spark: SparkSession, d: str) -> DataFrame:
-    return records.p1_found(spark, d)
+    return sheet_queries.order_floor(spark, d)
