@@ -254,7 +254,7 @@ def agreement(df: DataFrame, judges_col: str = "score_classifier_judges", by: st
     g = F.col(f"`{by}`") if by else F.lit("all")
     usable = F.filter(F.col(f"`{judges_col}`"), lambda x: x["score"].between(1, CLASSES))
     per = df.select(g.alias("grp"), F.transform(usable, lambda x: x["score"]).alias("s")).filter(F.size("s") >= 2)
-    hist = per.select("grp", F.size("s").alias("m"), *[F.size(F.filter("s", lambda x, k=k: x == k + 1)).alias(f"c{k}") for k in range(CLASSES)])
+    hist = per.select("grp", F.size("s").alias("m"), *[F.size(F.expr(f"filter(s, x -> x = {k + 1})")).alias(f"c{k}") for k in range(CLASSES)])
     cells = [(F.sum(F.col(f"c{a}") * (F.col(f"c{b}") - (1 if a == b else 0)) / (F.col("m") - 1))).alias(f"o{a}{b}") for a in range(CLASSES) for b in range(CLASSES)]
     o = hist.groupBy("grp").agg(F.count("*").alias("n_records"), *cells)
     n = [sum((F.col(f"o{a}{b}") for b in range(1, CLASSES)), F.col(f"o{a}0")) for a in range(CLASSES)]
