@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyforge.plans import records, scored_queries, sheet_queries
+from tallyforge.plans import quality_queries, records, resample_queries, scored_queries, sheet_queries
 
-MODULES = (records, sheet_queries, scored_queries)
+MODULES = (records, sheet_queries, scored_queries, resample_queries, quality_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
