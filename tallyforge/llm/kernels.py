@@ -131,14 +131,14 @@ def code_points(col) -> tuple[np.ndarray, np.ndarray]:
     return cps, lead[off]
 
 
-def fold_hashes(col) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def fold_hashes(col, pre=None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Two 64-bit hashes of each text's letters and digits, and how many there are.
 
     Texts of equal letters and digits (case aside) hash equally whatever stands between
-    them. An empty or null text, or one without letters and digits, gives (0, 0, 0).
+    them (``pre``: the code points, where they are at hand). An empty or null text, or one without letters and digits, gives (0, 0, 0).
     """
     t = tables()
-    cps, off = code_points(col)
+    cps, off = pre or code_points(col)
     n = len(off) - 1
     h = [np.zeros(n, np.uint64), np.zeros(n, np.uint64)]
     length = np.zeros(n, np.int64)
@@ -189,12 +189,12 @@ def same_folded(a: str | None, b: str | None, step: int = 4096) -> bool:
         rest = [rest[0][n:], rest[1][n:]]
 
 
-def words(col) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def words(col, pre=None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Words (runs of letters and digits, case aside) of all texts: their 64-bit hashes, first
     and past-last character, and per text the number of words before it; and the code points.
     A word spanning two blocks is cut there."""
     t = tables()
-    cps, off = code_points(col)
+    cps, off = pre or code_points(col)
     hashes, starts, stops = [], [], []
     for lo in range(0, len(cps), BLOCK):
         c = cps[lo : lo + BLOCK]

@@ -33,9 +33,16 @@ def _table() -> tuple[np.ndarray, np.ndarray]:
     return keys, np.stack([votes[int(x)] / votes[int(x)].sum() ** 2 for x in keys])
 
 
-def detect(col) -> tuple[np.ndarray, np.ndarray]:
-    """Per text: index into LANGUAGES (-1 if nothing tells) and the share of Han characters
-    among its letters and digits."""
+def detect_repeated(col) -> np.ndarray:
+    """Index into LANGUAGES per text, each distinct text being read once."""
+    coded = kernels.string_array(col).dictionary_encode()
+    lang, _, _ = detect(coded.dictionary)
+    return lang[coded.indices.to_numpy()] if len(coded) else np.zeros(0, np.int64)
+
+
+def detect(col) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Per text: index into LANGUAGES (-1 if nothing tells), the share of Han characters
+    among its letters and digits, and the number of these."""
     hashes, start, stop, bounds, cps = kernels.words(col)
     n = len(bounds) - 1
     keys, votes = _table()
@@ -50,4 +57,4 @@ def detect(col) -> tuple[np.ndarray, np.ndarray]:
     chinese = np.bincount(owner, han[stop] - han[start], n) / np.maximum(chars, 1)
     best = score.argmax(1)
     lang = np.where(score.max(1) > 0, best, -1)
-    return np.where(chinese > 0.35, LANGUAGES.index("zh"), lang), chinese
+    return np.where(chinese > 0.35, LANGUAGES.index("zh"), lang), chinese, chars

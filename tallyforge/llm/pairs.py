@@ -10,6 +10,7 @@ every rule that fires; ``first_defect`` the first.
 
 from __future__ import annotations
 
+import functools
 import re
 from collections.abc import Iterator
 
@@ -19,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyforge.llm import kernels, truncation
-from tallyforge.llm.language import LANGUAGES, detect
+from tallyforge.llm.language import LANGUAGES, detect, detect_repeated
 from tallyforge.session import prepare
 
 ORDER = ("empty", "truncated", "refusal", "copies_question", "other_language")
@@ -35,14 +36,13 @@ _DECLINES = re.compile(
     r"|keine auskunft|nicht beantworten|keine stellung|nicht äußern|möchte (?:ich )?(?:mich )?(?:dazu )?nicht|keine meinung"
     r"|ne pas répondre|ne peux pas|ne souhaite pas|refuse de|pas me prononcer|pas en mesure"
     r"|no responder|no puedo (?:opinar|responder|ayudar|comentar)|no me es posible|no quiero (?:opinar|responder)"
-    r"|não responder|não posso (?:opinar|responder|ajudar|comentar)|não quero (?:opinar|responder)|não me cabe",
-    re.I,
+    r"|não responder|não posso (?:opinar|responder|ajudar|comentar)|não quero (?:opinar|responder)|não me cabe"
 )
 _COURTESY = re.compile(
     r"^(?:hm+|thank you|thanks|i appreciate|i hope you|please consult|please ask|is there something else|feel free|sorry|im sorry|unfortunately|with respect|to be upfront|i understand"
-    r"|抱歉|对不起|谢谢|很遗憾|请|es tut mir leid|danke|bitte|leider|entschuldigung|désolé|je regrette|merci|lo siento|gracias|por favor|desculpe|obrigad|sinto muito)",
-    re.I,
+    r"|抱歉|对不起|谢谢|很遗憾|请|es tut mir leid|danke|bitte|leider|entschuldigung|désolé|je regrette|merci|lo siento|gracias|por favor|desculpe|obrigad|sinto muito)"
 )
+_QUIET = re.compile(r"[’'`*_#>]")
 _SENTENCES = re.compile(r"(?<=[.!?。！？])|\n+")
 _ASKS = re.compile(r"\b(?:answer|reply|respond|write)\b[^.?!]{0,30}\bin (english|german|french|spanish|portuguese|chinese)\b", re.I)
 _NAMES = {"english": "en", "german": "de", "french": "fr", "spanish": "es", "portuguese": "pt", "chinese": "zh"}
@@ -53,26 +53,37 @@ def declines(text: str) -> bool:
     sentence is one or a courtesy. A refusal that goes on to answer does not count."""
     if len(text) > REFUSAL_CHARS:
         return False
-    plain = re.sub(r"[’'`*_#>]", "", text)
-    if not _DECLINES.search(plain):
-        return False
-    for s in _SENTENCES.split(plain):
-        s = s.strip(" \t\r\n -–—\"​ ")
-        if any(map(str.isalnum, s)) and not _DECLINES.search(s) and not _COURTESY.match(s):
-            return False
-    return True
+    found = False
+    for s in _SENTENCES.split(_QUIET.sub("", text.lower())):
+        s = s.strip(" \t\r\n -–—\"\u00a0\u200b")
+        if any(map(str.isalnum, s)):
+            s = " ".join(s.split())
+            if _DECLINES.search(s):
+                found = True
+            elif not _COURTESY.match(s):
+                return False
+    return found
 
 
 def _fold(text: str) -> str:
     return "".join(filter(str.isalnum, text.casefold()))
 
 
+@functools.lru_cache(maxsize=4096)
+def _folded(text: str) -> str:
+    return _fold(text)
+
+
+def _end(text: str | None) -> str | None:
+    return _folded(text)[-6:] if text else None
+
+
 def copies(prompt: str, question: str | None, response: str) -> bool:
     """Whether a response is the prompt or its question, once or more, under a short label
     at most; whatever follows the last copy is an answer."""
     r = _fold(truncation._TAG.sub("", response) if "<" in response else response)
     for asked in (prompt, question):
-        p = _fold(asked or "")
+        p = _folded(asked or "")
         if len(p) < 8:
             continue
         at = r.rfind(p)
@@ -89,16 +100,15 @@ def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         prompts, questions = b.column(2).to_pylist(), b.column(3).to_pylist()
         col = kernels.string_array(b.column(4))
         texts = col.to_pylist()
-        lang, han = detect(col)
-        plang, _ = detect(b.column(2))
-        _, _, n = kernels.fold_hashes(col)
+        lang, han, n = detect(col)
+        plang = detect_repeated(b.column(2))
         empty = np.array([k == 0 or (k < 40 and truncation.closing(t) == truncation.BLANK) for k, t in zip(n.tolist(), texts, strict=True)], bool)
         refusal = np.array([bool(k) and k <= REFUSAL_CHARS and declines(t) for k, t in zip(n.tolist(), texts, strict=True)], bool)
         repeats, other = np.zeros(b.num_rows, bool), np.zeros(b.num_rows, bool)
         for i, (p, q, t) in enumerate(zip(prompts, questions, texts, strict=True)):
             if empty[i] or p is None:
                 continue
-            if len(t) <= 3 * len(p) + 80 and len(t) * 2 > min(len(p), len(q or p)):
+            if _fold(t[-60:])[-6:] in (_end(p), _end(q)):
                 repeats[i] = copies(p, q, t)
             asked = _ASKS.search(p)
             want = LANGUAGES.index(_NAMES[asked[1].lower()]) if asked else plang[i]

@@ -70,7 +70,7 @@ def _measure(words: np.ndarray, rank: np.ndarray):
         for b in batches:
             h, start, stop, bounds, cps = kernels.words(b.column(1))
             n = np.diff(bounds)
-            lang, _ = detect(b.column(1))
+            lang, _, _ = detect(b.column(1))
             at = np.minimum(np.searchsorted(words, h), max(len(words) - 1, 0))
             r = np.where(words[at] == h, rank[at], len(words) + 1) if len(words) else np.ones(len(h), np.int64)
             owner = np.repeat(np.arange(b.num_rows), n)
