@@ -43,7 +43,7 @@ _COURTESY = re.compile(
     r"|抱歉|对不起|谢谢|很遗憾|请|es tut mir leid|danke|bitte|leider|entschuldigung|désolé|je regrette|merci|lo siento|gracias|por favor|desculpe|obrigad|sinto muito)"
 )
 _QUIET = re.compile(r"[’'`*_#>]")
-_SENTENCES = re.compile(r"(?<=[.!?。！？])|\n+")
+_SENTENCES = re.compile(r"(?<=[.!?。！？])|\n{2,}")
 _ASKS = re.compile(r"\b(?:answer|reply|respond|write)\b[^.?!]{0,30}\bin (english|german|french|spanish|portuguese|chinese)\b", re.I)
 _NAMES = {"english": "en", "german": "de", "french": "fr", "spanish": "es", "portuguese": "pt", "chinese": "zh"}
 

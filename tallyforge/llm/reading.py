@@ -32,7 +32,7 @@ LEVEL_SQL = "4.71 * letters_per_word + 0.5 * words_per_sentence - 21.43 + 0.2 *
 
 BAND_SQL = """CASE WHEN language <> 'en' OR words < 10 THEN NULL
      WHEN level <= 4 AND hardest <= 7.5 THEN 'basic'
-     WHEN level >= 22 AND easiest >= 18 THEN 'expert' END"""
+     WHEN level >= 22 AND easiest >= 18 AND letters_per_word >= 6.5 THEN 'expert' END"""
 
 
 def _clean(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
