@@ -1,10 +1,9 @@
 """Broken prompt and response pairs, by ordered rules.
 
 The rules, in the order in which they name a pair's one defect: nothing readable (``empty``);
-cut off (``truncated``, by the operator in ``truncation``, which also sees unclosed
-delimiters and abrupt endings); only refusal phrases and courtesies in any of the languages
-(``refusal``); the prompt or its question and no more (``copies_question``); another
-language or script than the prompt uses or asks for (``other_language``). ``defects`` keeps
+only refusal phrases and courtesies in any of the languages (``refusal``); the prompt or its
+question and no more (``copies_question``); cut off (``truncated``, by the operator in
+``truncation``, which also sees unclosed delimiters and abrupt endings); another language or script than the prompt uses or asks for (``other_language``). ``defects`` keeps
 every rule that fires; ``first_defect`` the first.
 """
 
@@ -23,7 +22,7 @@ from tallyforge.llm import kernels, truncation
 from tallyforge.llm.language import LANGUAGES, detect, detect_repeated
 from tallyforge.session import prepare
 
-ORDER = ("empty", "truncated", "refusal", "copies_question", "other_language")
+ORDER = ("empty", "refusal", "copies_question", "truncated", "other_language")
 REFUSAL_CHARS = 400
 
 #: What declines, and what only surrounds it.
