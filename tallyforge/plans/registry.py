@@ -7,12 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tallyforge.plans import quality_queries, records, resample_queries, scored_queries, sheet_queries
+from tallyforge.session import prepare
 
 MODULES = (records, sheet_queries, scored_queries, resample_queries, quality_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {k: f for m in MODULES for k, f in m.QUERIES.items()}
+    return {k: (lambda s, d, f=f: f(prepare(s), d)) for m in MODULES for k, f in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -20,4 +21,4 @@ def oracle_sql() -> dict[str, str]:
 
 
 def flagship(spark: SparkSession, d: str) -> DataFrame:
-    return sheet_queries.order_floor(spark, d)
+    return sheet_queries.order_floor(prepare(spark), d)

@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -17,12 +19,29 @@ def table(spark: SparkSession, root: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{root}/{name}.parquet")
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors once per session, through Spark's own file server,
+    so that Python workers find it wherever they start."""
+    sc = spark.sparkContext
+    root = Path(__file__).parent
+    if getattr(sc, "_tallyforge_shipped", False) or not root.is_dir():
+        return
+    path = os.path.join(tempfile.mkdtemp(prefix="package-"), "tallyforge.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        for p in sorted(root.rglob("*.py")):
+            z.write(p, f"tallyforge/{p.relative_to(root)}")
+    sc.addPyFile(path)
+    sc._tallyforge_shipped = True
+
+
 def prepare(spark: SparkSession) -> SparkSession:
-    """Bound what one Arrow batch holds, and make sure there is a checkpoint folder.
+    """Ship the package, bound what one Arrow batch holds, and make sure there is a
+    checkpoint folder.
 
     The folder is the one the cluster names in ``spark.checkpoint.dir``. Only a local
     session (tests) that names none gets a temporary one.
     """
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BATCH_BYTES))
     sc = spark.sparkContext
