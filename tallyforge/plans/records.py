@@ -43,3 +43,13 @@ def p3_table(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_sheets, p1_spans, p3_found, p3_schema, p3_table)}
+
+SQL = {
+    "p1_found": """WITH b AS (SELECT CASE WHEN json_valid(payload) THEN payload::JSON END AS p FROM run_bundles), c AS (SELECT unnest(json_extract(p, '$.cells[*]')) AS c FROM b WHERE p IS NOT NULL), o AS (SELECT unnest(json_extract(c, '$.orders[*]')) AS o FROM c),
+  s AS (SELECT unnest(json_extract(c, '$.sheets[*]')) AS s FROM c UNION ALL SELECT unnest(json_extract(o, '$.sheets[*]')) FROM o),
+  f AS (SELECT CAST(json_extract(s, '$.sheet_id') AS BIGINT) AS sheet_id, CASE WHEN json_type(s, '$.answers') = 'VARCHAR' THEN json_extract_string(s, '$.answers')::JSON ELSE json_extract(s, '$.answers') END AS a, CASE WHEN json_type(s, '$.label_to_id') = 'VARCHAR' THEN json_extract_string(s, '$.label_to_id')::JSON ELSE json_extract(s, '$.label_to_id') END AS l FROM s),
+  e AS (SELECT sheet_id, unnest(CASE WHEN json_type(a) = 'ARRAY' THEN json_extract(a, '$[*]') WHEN json_type(a) = 'OBJECT' AND list_contains(json_keys(a), 'q') THEN [a] ELSE [] END) AS e FROM f),
+  m AS (SELECT sheet_id, a, unnest(json_keys(a)) AS k FROM f WHERE json_type(a) = 'OBJECT' AND NOT list_contains(json_keys(a), 'q')), n AS (SELECT sheet_id, l, unnest(json_keys(l)) AS k FROM f WHERE json_type(l) = 'OBJECT'),
+  u AS (SELECT sheet_id, 'answers' AS child, CAST(json_extract_string(e, '$.q') AS INTEGER) AS k, CAST(json_extract_string(e, '$.position') AS INTEGER) AS v FROM e UNION ALL SELECT sheet_id, 'answers', CAST(k AS INTEGER), CAST(json_extract_string(a, '$."' || k || '"') AS INTEGER) FROM m
+  UNION ALL SELECT sheet_id, 'label_to_id', CAST(k AS INTEGER), CAST(json_extract_string(l, '$."' || k || '"') AS INTEGER) FROM n) SELECT DISTINCT * FROM u WHERE k IS NOT NULL AND v IS NOT NULL""",
+}
