@@ -95,7 +95,18 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 
-SQL: dict[str, str] = {}
+
+
+def _fold(x: str) -> str:
+    return f"regexp_replace(replace(lower(nfc_normalize({x})), 'ß', 'ss'), '[^\\p{{L}}\\p{{N}}]', '', 'g')"
+
+
+SQL: dict[str, str] = {
+    "p6_found": f"""WITH s AS (SELECT record_id AS id, model, question_id, condition, seed, {_fold('response_text')} AS f FROM scored WHERE response_text IS NOT NULL), g AS (SELECT id, min(id) OVER (PARTITION BY model, question_id, condition, seed, f) AS first_id FROM s WHERE f <> ''),
+  k AS (SELECT line_id, unnest(json_keys(payload)) AS k, payload FROM raw_lines WHERE json_valid(payload)), v AS (SELECT line_id, k, json_extract(payload, '$."' || k || '"') AS v FROM k),
+  r AS (SELECT line_id, string_agg(k || '=' || CASE json_type(v) WHEN 'VARCHAR' THEN 's' || {_fold("json_extract_string(v, '$')")} ELSE CAST(v AS VARCHAR) END, chr(1) ORDER BY k) AS f FROM v GROUP BY line_id), h AS (SELECT line_id AS id, min(line_id) OVER (PARTITION BY f) AS first_id FROM r)
+  SELECT 'scored' AS src, first_id, id AS copy_id FROM g WHERE id <> first_id UNION ALL SELECT 'raw_lines', first_id, id FROM h WHERE id <> first_id""",
+}
 
 
 def register(queries: dict, sql: dict) -> None:
