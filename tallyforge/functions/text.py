@@ -72,7 +72,7 @@ def blank(text: Column) -> Column:
 def looks_truncated(text: Column) -> Column:
     """Ends without terminal punctuation. A closed code fence, a boxed answer and a closed
     link are complete, a severed enumerator is not; the order of the clauses decides."""
-    t = F.regexp_replace(text, r"\s+$", "")
+    t = F.rtrim(text, F.lit(" \t\n\r\f"))
     return F.when(t.isNull() | (t == ""), False).when(t.rlike(r"(^|\n)[ \t]*[0-9]+[.)]$"), True).when(t.rlike(r"```$"), False).when(t.rlike(r"\\boxed\{[^{}]*\}\$?$"), False).when(
         t.rlike(r"\]\([^()]*\)$"), False).otherwise(~t.rlike(r"[.!?。！？][\"'”’»)*_\]]*$"))
 

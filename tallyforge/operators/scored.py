@@ -18,8 +18,10 @@ def exclusion_reason(cap_default: int = 800) -> Column:
 
 def bucket() -> Column:
     """eligible, scored_empty, scored_truncated or unscored: every row is in exactly one."""
-    reason, scored = exclusion_reason(), F.col("score_classifier").isNotNull()
-    return F.when(~scored | F.coalesce(reason == "failed-call", F.lit(False)), "unscored").when(reason == "empty", "scored_empty").when(reason == "truncated", "scored_truncated").otherwise("eligible")
+    names = {"failed-call": "unscored", "empty": "scored_empty", "truncated": "scored_truncated", "eligible": "eligible"}
+    by_reason = F.create_map(*[F.lit(x) for kv in names.items() for x in kv])
+    # the reason reads the whole text, so it is named once and looked up
+    return F.when(F.col("score_classifier").isNull(), "unscored").otherwise(by_reason[F.coalesce(exclusion_reason(), F.lit("eligible"))])
 
 
 def replicate_means(df: DataFrame, key: Sequence[str], value: str = "score_classifier") -> DataFrame:
