@@ -25,6 +25,7 @@ from tallyforge.session import prepare, settle
 
 CLASSES = 5
 MAX_SHIPPED = 20_000
+IN_PLAN = 500  # judges coded by a literal map; more are coded by a join
 STRENGTH = 20.0  # labels that a judge's type is worth
 PASSES = 15
 TOLERANCE = 1e-3
@@ -46,10 +47,10 @@ def _elog(a: np.ndarray) -> np.ndarray:
 
 
 def seed_types() -> np.ndarray:
-    """Pseudo-counts of four starting types: exact, leaning up, leaning down, random."""
+    """Pseudo-counts of five starting types: exact, leaning up, leaning down, random, reversed."""
     k = np.arange(CLASSES)
     d = k[None, :] - k[:, None]
-    types = [np.exp(-1.2 * np.abs(d)), np.exp(-1.2 * np.abs(d - 1)), np.exp(-1.2 * np.abs(d + 1)), np.ones_like(d, float)]
+    types = [np.exp(-1.2 * np.abs(d)), np.exp(-1.2 * np.abs(d - 1)), np.exp(-1.2 * np.abs(d + 1)), np.ones_like(d, float), np.exp(-1.2 * np.abs(k[None, :] + k[:, None] - CLASSES + 1))]
     return np.stack([10 * t / t.sum(1, keepdims=True) for t in types])
 
 
@@ -181,7 +182,7 @@ def fit(df: DataFrame, id_col: str = "record_id", judges_col: str = "score_class
     prepare(df.sparkSession)
     labels = _labels(df, id_col, judges_col, least)
     names = [r[0] for r in labels.select(F.explode("judge").alias("judge")).distinct().orderBy("judge").toLocalIterator()]
-    if len(names) <= max_shipped:
+    if len(names) <= min(max_shipped, IN_PLAN):
         code = F.create_map(*[x for i, n in enumerate(names) for x in (F.lit(n), F.lit(i))]) if names else F.create_map(F.lit(""), F.lit(0))
         records = labels.select("record_id", F.transform("judge", lambda x: code[x]).alias("j"), "s")
     else:
@@ -233,7 +234,7 @@ def consensus(df: DataFrame, id_col: str = "record_id", judges_col: str = "score
 def judge_table(df: DataFrame, id_col: str = "record_id", judges_col: str = "score_classifier_judges", least: int = 3) -> DataFrame:
     """(judge, n_scores, reliability, bias, judge_type): expected accuracy of each judge, its
     mean distance above the truth, and its most probable type (0 exact, 1 leaning up, 2
-    leaning down, 3 random at the start of the fit)."""
+    leaning down, 3 random, 4 reversed at the start of the fit)."""
     model, _ = fit(df, id_col, judges_col, least)
     acc = model.accuracy() if model.names else []
     k = np.arange(CLASSES)
