@@ -21,6 +21,12 @@ def draw(seed: int, key: Column, b: Column, i: Column, n: Column) -> Column:
     return F.pmod(F.conv(F.substring(F.md5(name), 1, 8), 16, 10).cast("bigint"), n)
 
 
+def _tasks(df: DataFrame) -> int:
+    """Tasks over which the few units are spread before each becomes many draws; without
+    that, adaptive execution would leave them, and all their draws, in one task."""
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
 def replicates(units: DataFrame, key: str, order: list[str], value: str, reps: int, seed: int) -> DataFrame:
     """(key, b, value): every unit drawn in each replicate, as often as it was drawn.
 
@@ -29,9 +35,10 @@ def replicates(units: DataFrame, key: str, order: list[str], value: str, reps: i
     """
     w = Window.partitionBy(key).orderBy(*order)
     numbered = units.select(key, (F.row_number().over(w) - 1).cast("bigint").alias("idx"), F.col(value).alias("value"), F.count("*").over(Window.partitionBy(key)).alias("n"))
-    drawn = numbered.select(key, "n", F.col("idx").alias("i"), F.explode(F.sequence(F.lit(0), F.lit(reps - 1))).alias("b"))
+    spread = numbered.repartition(_tasks(units), key, "idx")
+    drawn = spread.select(key, "n", F.col("idx").alias("i"), F.explode(F.sequence(F.lit(0), F.lit(reps - 1))).alias("b"))
     drawn = drawn.select(key, "b", draw(seed, F.col(key), F.col("b"), F.col("i"), F.col("n")).alias("idx"))
-    return drawn.join(numbered.select(key, "idx", "value"), [key, "idx"]).select(key, "b", "value")
+    return drawn.join(numbered.select(key, "idx", "value").hint("shuffle_hash"), [key, "idx"]).select(key, "b", "value")
 
 
 def interval(means: DataFrame, key: str, value: str, reps: int) -> DataFrame:
@@ -59,7 +66,7 @@ def permutation_p(units: DataFrame, key: str, order: list[str], group: str, valu
     rows = units.select(key, F.col(group).cast("int").alias("g"), F.col(value).alias("value"), F.row_number().over(w).alias("i"))
     size = rows.groupBy(key).agg(F.sum("g").alias("na"), F.count("*").alias("n"), (F.avg(F.when(F.col("g") == 1, F.col("value"))) - F.avg(F.when(F.col("g") == 0, F.col("value")))).alias("seen"))
     name = F.concat_ws("|", F.lit(str(seed)), F.col(key).cast("string"), F.col("b").cast("string"), F.col("i").cast("string"))
-    shuffled = rows.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(reps - 1)))).withColumn("r", F.row_number().over(Window.partitionBy(key, "b").orderBy(F.md5(name), "i")))
+    shuffled = rows.repartition(_tasks(units), key, "i").withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(reps - 1)))).withColumn("r", F.row_number().over(Window.partitionBy(key, "b").orderBy(F.md5(name), "i")))
     first = F.col("r") <= F.col("na")
     diff = shuffled.join(size, key).filter("na > 0 and na < n").groupBy(key, "b", "seen").agg((F.avg(F.when(first, F.col("value"))) - F.avg(F.when(~first, F.col("value")))).alias("d"))
     return diff.groupBy(key).agg(F.first("seen").alias("effect"), ((F.count_if(F.abs("d") >= F.abs("seen") - 1e-12) + 1) / (F.count("*") + 1.0)).alias("p"))
