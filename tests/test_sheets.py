@@ -14,7 +14,7 @@ def test_modal_tie_takes_lower(spark):
 def test_flips_over_shared_items(spark):
     x = {"a": {1: 0, 2: 1, 3: 3, 4: 2}, "b": {1: 3, 2: 1, 3: 2, 5: 0}}
     df = spark.createDataFrame([("m", k, q, p) for k, v in x.items() for q, p in v.items()], "m string, f string, q int, modal int")
-    assert rows(S.distances(df, ["m"], "f"), "shared", "side_flips", "endpoint_delta") == [(3, 1, 0)]
+    assert rows(S.distances(df, ["m"], "f"), "shared", "side_flips", "endpoint_delta") == [(3, 1, 1)]
 
 
 def test_pair_positions_of_known_answerers(spark):
