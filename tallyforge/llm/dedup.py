@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyforge.llm import kernels
-from tallyforge.session import prepare
+from tallyforge.session import prepare, written
 
 SALT_ABOVE = 10_000
 SALTS = 32
@@ -133,7 +133,8 @@ def _copies(df: DataFrame, id_col: str, body: str, keys: Sequence[str], hasher,
         F.xxhash64(F.lit(0), *[F.struct(F.col(f"`{c}`").isNull(), F.col(f"`{c}`")) for c in keys]).alias("k"),
         F.col(f"`{body}`").alias("body"),
     ).filter("id is not null and body is not null")
-    hashed = src.mapInArrow(hasher, "id bigint, k bigint, h1 bigint, h2 bigint, n bigint").filter("n > 0")
+    # the texts are hashed once; groups and members are both read from this narrow table
+    hashed = written(src.mapInArrow(hasher, "id bigint, k bigint, h1 bigint, h2 bigint, n bigint").filter("n > 0"))
     groups = hashed.groupBy("k", "h1", "h2").agg(F.min("id").alias("first_id"), F.count("*").alias("size")).filter("size > 1")
     members = hashed.join(groups, ["k", "h1", "h2"]).select("id", "first_id", "size")
     with_text = members.join(src.select("id", "body"), "id")
