@@ -29,9 +29,10 @@ MASKS = ((0, 1, 2, 3), (0, 1, 3, 4), (0, 2, 3, 5), (0, 1, 4, 5))
 SHARED = 2  # a window found in more distinct passages than this is a common phrase
 BLOCK_WORDS = 2_000_000
 MIN_HITS = 2
-TELLING = 0.15  # words in at most this share of the passages cost more when they differ
-MIN_SCORE = 12  # matching words of the best alignment less the cost of its changes
 MIN_SPAN = 15  # consecutive passage words that the alignment covers
+CHANGED = 5  # one change is allowed for so many passage words of the span
+MOST_CHANGES = 6  # a longer span with more of them holds a shorter one with few enough
+MIN_SCORE = 6  # no span within that allowance aligns at less
 SLACK = 24
 CLEARLY = 4  # an item whose words here match by so much less than another's is no leak
 MARKUP = r"<[/!]?[A-Za-z][^<>]*>|&(?:[A-Za-z]{2,8}|#[0-9]{1,6});"
@@ -79,10 +80,6 @@ class Index:
             hs.append(h)
             at.append(p)
         h, p = (np.concatenate(hs), np.concatenate(at)) if hs else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-        used = np.unique(np.stack([self.words, same[owner].astype(np.uint64)], 1), axis=0) if len(owner) else np.zeros((0, 2), np.uint64)
-        word, n = np.unique(used[:, 0], return_counts=True)
-        telling = np.isin(self.words, word[n <= TELLING * max(1, len(distinct))])
-        self.cost = np.where(telling, 3, 1).astype(np.int64)
         pair = np.unique(np.stack([h, same[owner[p]].astype(np.uint64)], 1), axis=0) if len(h) else np.zeros((0, 2), np.uint64)
         own, n = np.unique(pair[:, 0], return_counts=True)
         rare = np.isin(h, own[n <= SHARED])
@@ -127,13 +124,52 @@ def best_alignments(ps: list[np.ndarray], costs: list[np.ndarray], ds: list[np.n
     return best // one, np.where(best > 0, end - best % one, 0), stop
 
 
-def own_passages(group: list[tuple[int, int, int, int, int]]) -> list[tuple[int, int, int, int, int]]:
+def spans_within(ps: list[np.ndarray], ds: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Longest span of passage words that a pair of sequences shares with at most one change
+    for every ``CHANGED`` of them (0 if shorter than ``MIN_SPAN``), and with no change at all.
+
+    A word changed, left out or inserted is one change. A span starts and ends with two
+    matching words, so that no stray match lengthens it. For each number of changes the
+    earliest start of a span that ends here is kept.
+    """
+    if not ps:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    none = np.int32(1 << 30)
+    m, n = max(map(len, ps)), max(map(len, ds))
+    p, d = np.zeros((len(ps), m), np.uint64), np.ones((len(ps), n), np.uint64)
+    for i, (a, b) in enumerate(zip(ps, ds, strict=True)):
+        p[i, : len(a)], d[i, : len(b)] = a, b
+    same = np.zeros((m + 2, len(ps), n + 2), bool)  # a word of margin on each side
+    for i in range(m):
+        same[i + 1, :, 1:-1] = d == p[:, i : i + 1]
+    row = np.full((MOST_CHANGES + 1, len(ps), n + 1), none, np.int32)
+    within, verbatim = np.zeros(len(ps), np.int64), np.zeros(len(ps), np.int64)
+    for i in range(m):
+        new = np.full_like(row, none)
+        here = same[i + 1, :, 1:-1]
+        start, stop = np.where(same[i + 2, :, 2:], np.int32(i), none), here & same[i, :, :-2]
+        for k in range(MOST_CHANGES + 1):
+            at = np.where(here, np.minimum(row[k, :, :-1], start), none)
+            span = i + 1 - np.where(stop, at, none).min(axis=1).astype(np.int64)
+            ok = (span >= MIN_SPAN) & (k * CHANGED <= span)
+            within[ok] = np.maximum(within[ok], span[ok])
+            if k == 0:
+                verbatim = np.maximum(verbatim, span)
+            else:
+                at = np.minimum(np.minimum(at, row[k - 1, :, :-1]), np.minimum(row[k - 1, :, 1:], new[k - 1, :, :-1]))
+            new[k, :, 1:] = at
+        row = new
+    return within, verbatim
+
+
+def own_passages(group: list[tuple[int, int, int, int, int]], verbatim: frozenset[int] | set[int] = frozenset()) -> list[tuple[int, int, int, int, int]]:
     """Alignments (score, span, start, end, item) of one document without those that lie, for
     more than half, on words that another item matches clearly better: items of one mould
-    resemble each other's passages without being leaked by them."""
+    resemble each other's passages without being leaked by them. Items in ``verbatim``, of
+    which the document holds a whole span unchanged, stay whatever other items match."""
     kept: list[tuple[int, int, int, int, int]] = []
     for x in sorted(group, reverse=True):
-        if not any(y[0] >= x[0] + CLEARLY and 2 * (min(x[3], y[3]) - max(x[2], y[2])) > x[3] - x[2] for y in kept):
+        if x[4] in verbatim or not any(y[0] >= x[0] + CLEARLY and 2 * (min(x[3], y[3]) - max(x[2], y[2])) > x[3] - x[2] for y in kept):
             kept.append(x)
     return kept
 
@@ -156,7 +192,7 @@ def _scan(index: Index):
             groups: dict[tuple[int, int], list[tuple[int, int]]] = defaultdict(list)
             for d, i, k, q in zip(doc.tolist(), index.item[seed].tolist(), at.tolist(), index.at[seed].tolist(), strict=True):
                 groups[d, i].append((k, q - int(index.bounds[i])))
-            cases, ps, cs, ds, los = [], [], [], [], []
+            cases, ps, ds, los = [], [], [], []
             for (d, i), hits in groups.items():
                 p = index.words[index.bounds[i] : index.bounds[i + 1]]
                 hits.sort(key=lambda x: x[0] - x[1])
@@ -168,22 +204,27 @@ def _scan(index: Index):
                             hi = min(int(bounds[d + 1]), max(x - y for x, y in run_of) + len(p) + 2 * SLACK)
                             cases.append((d, i))
                             ps.append(p)
-                            cs.append(index.cost[index.bounds[i] : index.bounds[i + 1]])
                             ds.append(words[lo:hi])
                             los.append(lo)
                         run_of = []
                     run_of.append((k, q))
             aligned: dict[int, list[tuple[int, int, int, int, int]]] = defaultdict(list)
+            verbatim: dict[int, set[int]] = defaultdict(set)
             by_size = sorted(range(len(cases)), key=lambda c: len(ds[c]))
             for lo in range(0, len(by_size), 128):
                 part = by_size[lo : lo + 128]
-                score, span, stop = best_alignments([ps[c] for c in part], [cs[c] for c in part], [ds[c] for c in part])
-                for c, s, n, e in zip(part, score.tolist(), span.tolist(), stop.tolist(), strict=True):
-                    if s >= MIN_SCORE and n >= MIN_SPAN:
-                        aligned[cases[c][0]].append((s, n, los[c] + e - n, los[c] + e, cases[c][1]))
+                score, span, stop = best_alignments([ps[c] for c in part], [np.ones(len(ps[c]), np.int64) for c in part], [ds[c] for c in part])
+                maybe = np.flatnonzero(score >= MIN_SCORE)
+                within, exact = spans_within([ps[part[k]] for k in maybe], [ds[part[k]] for k in maybe])
+                for k, w, x in zip(maybe.tolist(), within.tolist(), exact.tolist(), strict=True):
+                    if w:
+                        c, s, n, e = part[k], int(score[k]), int(span[k]), int(stop[k])
+                        aligned[cases[c][0]].append((s, max(n, w), los[c] + e - n, los[c] + e, cases[c][1]))
+                        if x >= MIN_SPAN:
+                            verbatim[cases[c][0]].add(cases[c][1])
             best: dict[tuple[int, int], tuple[int, int]] = {}
             for d, group in aligned.items():
-                for s, n, a, e, i in own_passages(group):
+                for s, n, a, e, i in own_passages(group, verbatim[d]):
                     best[d, i] = max(best.get((d, i), (0, 0)), (s, n))
             found = [(c, *x) for c, x in best.items()]
             yield pa.RecordBatch.from_arrays(
@@ -202,8 +243,8 @@ def _scan(index: Index):
 def leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """(doc_id, item_id, score, span): documents that hold a passage of a held-out item.
 
-    The best alignment must cover ``MIN_SPAN`` consecutive passage words at ``MIN_SCORE``
-    or better; tags and entities in the documents do not count as words. Null ids and null or blank texts on either side give no rows;
+    The document must hold ``MIN_SPAN`` or more consecutive passage words with at most one
+    change for every ``CHANGED`` of them; tags and entities in the documents do not count as words. Null ids and null or blank texts on either side give no rows;
     an item whose passage is shorter than a window cannot be found. Rows repeated under one
     id count once. Other columns are ignored.
     """

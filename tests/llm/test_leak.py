@@ -92,3 +92,25 @@ def test_alignment_scores():
     assert score.tolist() == [17, 0] and span.tolist() == [20, 0]
     assert stop.tolist()[0] == 19 and leak.best_alignments([], [], [])[0].size == 0
     assert pytest.approx(leak.SHARED) == 2
+
+
+def test_changed_words_of_a_short_part(spark):
+    # words that few passages share, so that a change falls on a telling one
+    items = [(i, " ".join(f"w{i}x{k}" for k in range(30)) + ".") for i in range(12)]
+    data, want = [], []
+    for n, changes in ((15, (7,)), (15, (5, 9)), (15, (2,)), (15, (2, 12)), (18, (4, 9, 14))):
+        for i in range(12):
+            w = items[i][1].rstrip(".").split()[4 : 4 + n]
+            data.append((len(data), "before it " + " ".join("changed" if k in changes else x for k, x in enumerate(w)) + " after it"))
+            want.append((len(data) - 1, i))
+    far = items[0][1].split()[:20]
+    data.append((len(data), " ".join("changed" if k % 3 == 2 else x for k, x in enumerate(far))))
+    assert run(spark, data, items) == sorted(want, key=str)
+
+
+def test_a_verbatim_part_stays_beside_a_better_match(spark):
+    shared = [f"s{k}" for k in range(16)]
+    a = [*(f"a{k}" for k in range(10)), *shared, *(f"b{k}" for k in range(10))]
+    b = [*(f"c{k}" for k in range(10)), *shared, *(f"d{k}" for k in range(10))]
+    items = [(1, " ".join(a) + "."), (2, " ".join(b) + ".")]
+    assert run(spark, [(1, " ".join(a))], items) == [(1, 1), (1, 2)]
