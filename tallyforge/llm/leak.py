@@ -8,13 +8,15 @@ inside it are tolerated.
 
 The items are read in blocks of at most ``BLOCK_WORDS`` words; each block's seeds go to the
 executors as one index of bounded size and meet every document. Any number of items
-therefore works, at one pass over the documents per block.
+therefore works, at one pass over the documents per block. What several items share is counted
+over all of them, and what a document holds is settled over all blocks, so that the blocks do
+not show in the result.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter, defaultdict
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,29 +28,37 @@ from tallyforge.llm import kernels
 from tallyforge.session import prepare
 
 MASKS = ((0, 1, 2, 3), (0, 1, 3, 4), (0, 2, 3, 5), (0, 1, 4, 5))
-SHARED = 2  # a window found in more distinct passages than this is a common phrase
+SHARED = 2  # a sentence that more items than this share is an instruction or a stock question
 BLOCK_WORDS = 2_000_000
-MIN_HITS = 2
+MIN_HITS = 4  # every span within the allowance has so many, wherever its words changed
 MIN_SPAN = 15  # consecutive passage words that the alignment covers
 CHANGED = 5  # one change is allowed for so many passage words of the span
 MOST_CHANGES = 6  # a longer span with more of them holds a shorter one with few enough
-MIN_SCORE = 6  # no span within that allowance aligns at less
+MIN_SCORE = 6  # no span within that allowance aligns at less; a floor, the span decides
+BATCH = 512
 SLACK = 24
 CLEARLY = 4  # an item whose words here match by so much less than another's is no leak
 MARKUP = r"<[/!]?[A-Za-z][^<>]*>|&(?:[A-Za-z]{2,8}|#[0-9]{1,6});"
 _SENTENCE = re.compile(r"(?<=[.?!。？！])\s+")
 
 
-def passages(items: list[tuple[int, str | None]], common: int = 3) -> dict[int, str]:
+def _split(text: str | None) -> list[str]:
+    return [s for s in _SENTENCE.split(text or "") if s.strip()]
+
+
+def passages(items: list[tuple[int, str | None]], common: int = SHARED + 1, shared: set[str] | None = None) -> dict[int, str]:
     """The passage of each item: its sentences but for those that ``common`` or more items
-    share (instruction lines, stock questions) and a closing question."""
-    split = {i: [s for s in _SENTENCE.split(t or "") if s.strip()] for i, t in items}
-    seen = Counter(s for ss in split.values() for s in set(ss))
+    share (instruction lines, stock questions; ``shared``, where they are counted already)
+    and a closing question."""
+    split = {i: _split(t) for i, t in items}
+    if shared is None:
+        seen = Counter(s for ss in split.values() for s in set(ss))
+        shared = {s for s, n in seen.items() if n >= common}
     out = {}
     for i, ss in split.items():
         if len(ss) > 1 and ss[-1].rstrip().endswith(("?", "？")):
             ss = ss[:-1]
-        kept = [s for s in ss if seen[s] < common]
+        kept = [s for s in ss if s not in shared]
         out[i] = " ".join(kept)
     return out
 
@@ -73,17 +83,11 @@ class Index:
         self.ids = np.array(list(texts), np.int64)
         self.words, self.bounds = kernels.word_hashes(pa.array(list(texts.values()), pa.string()))
         owner = np.repeat(np.arange(len(self.ids)), np.diff(self.bounds))
-        distinct = {}
-        same = np.array([distinct.setdefault(self.words[a:b].tobytes(), n) for n, (a, b) in enumerate(zip(self.bounds[:-1], self.bounds[1:], strict=True))], np.int64)
         hs, at = [], []
         for p, h in _seeds(self.words, self.bounds):
             hs.append(h)
             at.append(p)
         h, p = (np.concatenate(hs), np.concatenate(at)) if hs else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-        pair = np.unique(np.stack([h, same[owner[p]].astype(np.uint64)], 1), axis=0) if len(h) else np.zeros((0, 2), np.uint64)
-        own, n = np.unique(pair[:, 0], return_counts=True)
-        rare = np.isin(h, own[n <= SHARED])
-        h, p = h[rare], p[rare]
         order = np.argsort(h, kind="stable")
         self.h, self.at = h[order], p[order]
         self.item = owner[self.at] if len(self.at) else self.at
@@ -124,40 +128,38 @@ def best_alignments(ps: list[np.ndarray], costs: list[np.ndarray], ds: list[np.n
     return best // one, np.where(best > 0, end - best % one, 0), stop
 
 
-def spans_within(ps: list[np.ndarray], ds: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Longest span of passage words that a pair of sequences shares with at most one change
-    for every ``CHANGED`` of them (0 if shorter than ``MIN_SPAN``), and with no change at all.
+def spans_within(ps: list[np.ndarray], ds: list[np.ndarray], width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Longest span of passage words that each document shares with at most one change for
+    every ``CHANGED`` of them (0 if shorter than ``MIN_SPAN``), and with no change at all.
 
-    A word changed, left out or inserted is one change. A span starts and ends with two
-    matching words, so that no stray match lengthens it. For each number of changes the
-    earliest start of a span that ends here is kept.
+    Word ``i`` of a passage meets words ``i`` to ``i + width - 1`` of its document. A word
+    changed, left out or inserted is one change. A span starts and ends with two matching
+    words, so that no stray match lengthens it. For each number of changes the earliest start
+    of a span that ends here is kept.
     """
-    if not ps:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    none = np.int32(1 << 30)
-    m, n = max(map(len, ps)), max(map(len, ds))
-    p, d = np.zeros((len(ps), m), np.uint64), np.ones((len(ps), n), np.uint64)
+    none = np.int16(1 << 14)
+    m = max(map(len, ps), default=0)
+    p, d = np.zeros((len(ps), m), np.uint64), np.ones((len(ps), m + width), np.uint64)
     for i, (a, b) in enumerate(zip(ps, ds, strict=True)):
-        p[i, : len(a)], d[i, : len(b)] = a, b
-    same = np.zeros((m + 2, len(ps), n + 2), bool)  # a word of margin on each side
+        p[i, : len(a)], d[i, : len(b)] = a, b[: m + width]
+    same = np.zeros((m + 2, len(ps), width), bool)
     for i in range(m):
-        same[i + 1, :, 1:-1] = d == p[:, i : i + 1]
-    row = np.full((MOST_CHANGES + 1, len(ps), n + 1), none, np.int32)
+        same[i + 1] = d[:, i : i + width] == p[:, i : i + 1]
+    row = np.full((MOST_CHANGES + 1, len(ps), width), none)
     within, verbatim = np.zeros(len(ps), np.int64), np.zeros(len(ps), np.int64)
     for i in range(m):
-        new = np.full_like(row, none)
-        here = same[i + 1, :, 1:-1]
-        start, stop = np.where(same[i + 2, :, 2:], np.int32(i), none), here & same[i, :, :-2]
+        here = same[i + 1]
+        new = np.where(here, np.minimum(row, np.where(same[i + 2], np.int16(i), none)), none)
+        stop = here & same[i]
+        for k in range(1, MOST_CHANGES + 1):
+            np.minimum(new[k], row[k - 1], out=new[k])
+            np.minimum(new[k, :, :-1], row[k - 1, :, 1:], out=new[k, :, :-1])
+            np.minimum(new[k, :, 1:], new[k - 1, :, :-1], out=new[k, :, 1:])
+        span = i + 1 - np.where(stop, new, none).min(axis=2).astype(np.int64)
+        verbatim = np.maximum(verbatim, span[0])
         for k in range(MOST_CHANGES + 1):
-            at = np.where(here, np.minimum(row[k, :, :-1], start), none)
-            span = i + 1 - np.where(stop, at, none).min(axis=1).astype(np.int64)
-            ok = (span >= MIN_SPAN) & (k * CHANGED <= span)
-            within[ok] = np.maximum(within[ok], span[ok])
-            if k == 0:
-                verbatim = np.maximum(verbatim, span)
-            else:
-                at = np.minimum(np.minimum(at, row[k - 1, :, :-1]), np.minimum(row[k - 1, :, 1:], new[k - 1, :, :-1]))
-            new[k, :, 1:] = at
+            ok = span[k] >= max(MIN_SPAN, k * CHANGED)
+            within[ok] = np.maximum(within[ok], span[k][ok])
         row = new
     return within, verbatim
 
@@ -174,10 +176,42 @@ def own_passages(group: list[tuple[int, int, int, int, int]], verbatim: frozense
     return kept
 
 
+def _runs(index: Index, bounds: np.ndarray, at: np.ndarray, seed: np.ndarray) -> list[tuple[int, int, int, int]]:
+    """(document, item, first and last diagonal) of each run of hits on neighbouring
+    diagonals that starts at ``MIN_HITS`` or more words of the document."""
+    doc, item = np.searchsorted(bounds, at, "right") - 1, index.item[seed]
+    diagonal = at - index.at[seed] + index.bounds[item]
+    order = np.lexsort((diagonal, item, doc))
+    doc, item, diagonal, at = doc[order], item[order], diagonal[order], at[order]
+    new = np.ones(len(order), bool)
+    new[1:] = (doc[1:] != doc[:-1]) | (item[1:] != item[:-1]) | (diagonal[1:] > diagonal[:-1] + MOST_CHANGES)
+    run, first = np.cumsum(new) - 1, np.flatnonzero(new)
+    last = np.append(first[1:], len(order)) - 1
+    hits = np.bincount(np.unique(np.stack([run, at], 1), axis=0)[:, 0], minlength=len(first)) if len(order) else np.zeros(0, np.int64)
+    some = hits >= MIN_HITS
+    first, last = first[some], last[some]
+    return list(zip(doc[first].tolist(), item[first].tolist(), diagonal[first].tolist(), diagonal[last].tolist(), strict=True))
+
+
+def _batches(runs: list[tuple[int, int, int, int]]) -> Iterator[tuple[list[tuple[int, int, int, int]], int]]:
+    """Runs of like width together, with the width that holds each of them; a wide run goes
+    in small batches."""
+    runs = sorted(runs, key=lambda r: r[3] - r[2])
+    lo = 0
+    while lo < len(runs):
+        n = max(1, min(BATCH, BATCH * 64 // (runs[lo][3] - runs[lo][2] + 1)))
+        part = runs[lo : lo + n]
+        yield part, part[-1][3] - part[-1][2] + 2 * MOST_CHANGES + 1
+        lo += n
+
+
+_ALIGNED = "doc_id bigint, row bigint, score int, span int, start bigint, stop bigint, item_id bigint, verbatim boolean"
+
+
 def _scan(index: Index):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            words, bounds = kernels.word_hashes(b.column(1))
+            words, bounds = kernels.word_hashes(b.column(2))
             hit_at, hit_seed = [], []
             for at, h in _seeds(words, bounds):
                 maybe = np.flatnonzero(index.filter[(h >> np.uint64(64 - index.bits)).astype(np.int64)])
@@ -186,60 +220,55 @@ def _scan(index: Index):
                 n = hi - lo
                 some = np.flatnonzero(n)
                 hit_at.append(np.repeat(at[some], n[some]))
-                hit_seed.append(np.concatenate([np.arange(x, y) for x, y in zip(lo[some], hi[some], strict=True)] or [np.zeros(0, np.int64)]))
+                n = n[some]
+                hit_seed.append(np.repeat(lo[some] - np.cumsum(n) + n, n) + np.arange(n.sum()))
             at, seed = np.concatenate(hit_at), np.concatenate(hit_seed)
-            doc = np.searchsorted(bounds, at, "right") - 1
-            groups: dict[tuple[int, int], list[tuple[int, int]]] = defaultdict(list)
-            for d, i, k, q in zip(doc.tolist(), index.item[seed].tolist(), at.tolist(), index.at[seed].tolist(), strict=True):
-                groups[d, i].append((k, q - int(index.bounds[i])))
-            cases, ps, ds, los = [], [], [], []
-            for (d, i), hits in groups.items():
-                p = index.words[index.bounds[i] : index.bounds[i + 1]]
-                hits.sort(key=lambda x: x[0] - x[1])
-                run_of: list[tuple[int, int]] = []
-                for k, q in [*hits, (1 << 60, 0)]:
-                    if run_of and k - q > run_of[-1][0] - run_of[-1][1] + SLACK:
-                        if len({x for x, _ in run_of}) >= MIN_HITS:
-                            lo = max(int(bounds[d]), min(x - y for x, y in run_of) - SLACK)
-                            hi = min(int(bounds[d + 1]), max(x - y for x, y in run_of) + len(p) + 2 * SLACK)
-                            cases.append((d, i))
-                            ps.append(p)
-                            ds.append(words[lo:hi])
-                            los.append(lo)
-                        run_of = []
-                    run_of.append((k, q))
-            aligned: dict[int, list[tuple[int, int, int, int, int]]] = defaultdict(list)
-            verbatim: dict[int, set[int]] = defaultdict(set)
-            by_size = sorted(range(len(cases)), key=lambda c: len(ds[c]))
-            for lo in range(0, len(by_size), 128):
-                part = by_size[lo : lo + 128]
-                score, span, stop = best_alignments([ps[c] for c in part], [np.ones(len(ps[c]), np.int64) for c in part], [ds[c] for c in part])
-                maybe = np.flatnonzero(score >= MIN_SCORE)
-                within, exact = spans_within([ps[part[k]] for k in maybe], [ds[part[k]] for k in maybe])
-                for k, w, x in zip(maybe.tolist(), within.tolist(), exact.tolist(), strict=True):
-                    if w:
-                        c, s, n, e = part[k], int(score[k]), int(span[k]), int(stop[k])
-                        aligned[cases[c][0]].append((s, max(n, w), los[c] + e - n, los[c] + e, cases[c][1]))
-                        if x >= MIN_SPAN:
-                            verbatim[cases[c][0]].add(cases[c][1])
-            best: dict[tuple[int, int], tuple[int, int]] = {}
-            for d, group in aligned.items():
-                for s, n, a, e, i in own_passages(group, verbatim[d]):
-                    best[d, i] = max(best.get((d, i), (0, 0)), (s, n))
-            found = [(c, *x) for c, x in best.items()]
+            found = []
+            for part, width in _batches(_runs(index, bounds, at, seed)):
+                ps = [index.words[index.bounds[i] : index.bounds[i + 1]] for _, i, _, _ in part]
+                ds = []
+                for (d, _, x, _), p in zip(part, ps, strict=True):
+                    lo = x - MOST_CHANGES
+                    before = np.ones(max(0, int(bounds[d]) - lo), np.uint64)
+                    ds.append(np.concatenate([before, words[max(lo, bounds[d]) : max(0, min(lo + len(p) + width, bounds[d + 1]))]]))
+                within, exact = spans_within(ps, ds, width)
+                some = np.flatnonzero(within)
+                ds, los = [], []
+                for k in some.tolist():
+                    d, _, x, y = part[k]
+                    los.append(max(int(bounds[d]), x - SLACK))
+                    ds.append(words[los[-1] : min(int(bounds[d + 1]), y + len(ps[k]) + 2 * SLACK)])
+                score, span, stop = best_alignments([ps[k] for k in some], [np.ones(len(ps[k]), np.int64) for k in some], ds)
+                for k, lo, s, n, e in zip(some.tolist(), los, score.tolist(), span.tolist(), stop.tolist(), strict=True):
+                    (d, i, _, _), stops = part[k], lo + e - int(bounds[part[k][0]])
+                    n = max(n, int(within[k]))
+                    found.append((d, s, n, stops - n, stops, int(index.ids[i]), bool(exact[k] >= MIN_SPAN)))
+            of = pa.array([f[0] for f in found], pa.int64())
+            types = (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.bool_())
             yield pa.RecordBatch.from_arrays(
-                [
-                    b.column(0).take(pa.array([c[0] for c, _, _ in found], pa.int64())),
-                    pa.array([int(index.ids[c[1]]) for c, _, _ in found], pa.int64()),
-                    pa.array([x for _, x, _ in found], pa.int32()),
-                    pa.array([x for _, _, x in found], pa.int32()),
-                ],
-                names=["doc_id", "item_id", "score", "span"],
+                [b.column(0).take(of), b.column(1).take(of), *[pa.array([f[k] for f in found], t) for k, t in enumerate(types, 1)]],
+                names=[c.split()[0] for c in _ALIGNED.split(", ")],
             )
 
     return run
 
 
+def _own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        found = []
+        for doc, group in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            verbatim = {x["item_id"] for x in group if x["verbatim"]}
+            found += [(doc, x[4], x[0], x[1]) for x in own_passages([(x["score"], x["span"], x["start"], x["stop"], x["item_id"]) for x in group], verbatim)]
+        types = (pa.int64(), pa.int64(), pa.int32(), pa.int32())
+        yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], t) for k, t in enumerate(types)], names=["doc_id", "item_id", "score", "span"])
+
+
+def _sentences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        rows = [(i, s) for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for s in set(_split(t))]
+        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.string())], names=["item_id", "sentence"])
+
+
 def leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """(doc_id, item_id, score, span): documents that hold a passage of a held-out item.
 
@@ -251,16 +280,21 @@ def leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str =
     spark = prepare(docs.sparkSession)
     items = items.select(F.col(f"`{item_id}`").cast("bigint").alias("item_id"), F.col(f"`{item_text}`").alias("text")).filter("item_id is not null and text is not null")
     docs = docs.select(F.col(f"`{doc_id}`").cast("bigint").alias("doc_id"), F.regexp_replace(F.col(f"`{text}`"), MARKUP, " ").alias("text")).filter("doc_id is not null and text is not null")
+    docs = docs.select("doc_id", F.xxhash64("text").alias("row"), "text")
+    each = items.mapInArrow(_sentences, "item_id bigint, sentence string").groupBy("sentence").agg(F.count_distinct("item_id").alias("n"))
+    shared = {r[0] for r in each.filter(F.col("n") > SHARED).select("sentence").collect()}
     out = None
-    for texts in _blocks(items):
-        part = docs.mapInArrow(_scan(Index(texts)), "doc_id bigint, item_id bigint, score int, span int")
+    for texts in _blocks(items, shared):
+        part = docs.mapInArrow(_scan(Index(texts)), _ALIGNED)
         out = part if out is None else out.unionByName(part)
     if out is None:
         return spark.createDataFrame([], "doc_id bigint, item_id bigint, score int, span int")
-    return out.groupBy("doc_id", "item_id").agg(F.max(F.struct("score", "span")).alias("m")).select("doc_id", "item_id", "m.score", "m.span")
+    # a few numbers for each match; texts stay where they are
+    groups = out.groupBy("doc_id", "row").agg(F.collect_list(F.struct("score", "span", "start", "stop", "item_id", "verbatim")).alias("found")).select("doc_id", "found")
+    return groups.mapInArrow(_own, "doc_id bigint, item_id bigint, score int, span int").groupBy("doc_id", "item_id").agg(F.max(F.struct("score", "span")).alias("m")).select("doc_id", "item_id", "m.score", "m.span")
 
 
-def _blocks(items: DataFrame) -> Iterator[dict[int, str]]:
+def _blocks(items: DataFrame, shared: set[str]) -> Iterator[dict[int, str]]:
     """Passages in blocks of a bounded number of characters, streamed to the driver."""
     block: list[tuple[int, str]] = []
     size = 0
@@ -268,7 +302,7 @@ def _blocks(items: DataFrame) -> Iterator[dict[int, str]]:
         block.append((r[0], r[1]))
         size += len(r[1]) // 5 + 1
         if size > BLOCK_WORDS:
-            yield passages(block)
+            yield passages(block, shared=shared)
             block, size = [], 0
     if block:
-        yield passages(block)
+        yield passages(block, shared=shared)

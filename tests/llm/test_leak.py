@@ -114,3 +114,22 @@ def test_a_verbatim_part_stays_beside_a_better_match(spark):
     b = [*(f"c{k}" for k in range(10)), *shared, *(f"d{k}" for k in range(10))]
     items = [(1, " ".join(a) + "."), (2, " ".join(b) + ".")]
     assert run(spark, [(1, " ".join(a))], items) == [(1, 1), (1, 2)]
+
+
+MOULD = [(i, " ".join(f"under clause {k + 7 * i} of the charter the two clerks moved all ledgers to the old mill" for k in range(4)) + ".") for i in range(12)]
+
+
+def test_a_part_whose_windows_many_items_share(spark):
+    run_of = " ".join(f"s{k}" for k in range(16))
+    items = [(i, f"{' '.join(f'a{i}x{k}' for k in range(9))} {run_of} {' '.join(f'b{i}x{k}' for k in range(9))}.") for i in range(4)]
+    assert run(spark, [(1, f"then {run_of} again"), (2, run_of.replace("s7", "else"))], items) == [(d, i) for d in (1, 2) for i in range(4)]
+
+
+def test_blocks_do_not_show(spark, monkeypatch):
+    w = words(2)
+    data = [(1, "Read the passage and choose one option. " * 3), *[(k + 2, " ".join(words(k)[3:22])) for k in range(12)], (20, " ".join(w[:20]) + " and " + " ".join(words(30)[:20]))]
+    items = ITEMS + [(50, ITEMS[2][1].replace(" " + w[5] + " ", " else ", 1)), *[(60 + i, t) for i, t in MOULD]]
+    data += [(100 + i, " ".join(leak.passages(MOULD)[i].split()[3:40])) for i in range(12)]
+    whole = run(spark, data, items)
+    monkeypatch.setattr(leak, "BLOCK_WORDS", 80)
+    assert len(whole) >= 25 and run(spark, data, items) == whole
