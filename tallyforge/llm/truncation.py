@@ -3,12 +3,12 @@
 One scan reads every text: it folds it into a hash, takes min-hash band keys of its five-word
 shingles, looks at how it closes, and counts for each word how often it closes a sentence or
 line. Texts with the same letters and digits share one reading. Distinct texts that meet in a
-band are verified against the longest of the band (similarity 0.8 or more) and aligned; the
-copy whose alignment ends early is cut. All others are judged by their closing: marks of a
+band are verified against every longer one there that could reach a similarity of 0.8 by its
+number of shingles, and aligned; the copy whose alignment ends early is cut. All others are judged by their closing: marks of a
 cut, terminal punctuation, or else the terminality of the closing word.
 
-No pairs are formed within a band but those with its longest text, so a band of any size
-costs as many comparisons as it has texts.
+Pairs are joined on band and size class, so texts of unlike length never meet. A band of
+many distinct texts of one length still costs the square of their number.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from tallyforge.llm import kernels
 from tallyforge.session import prepare, written
 
-SHINGLE, BANDS, ROWS = 5, 5, 3
+SHINGLE, BANDS, ROWS = 5, 10, 3  # two texts of similarity 0.8 share no band in 1 of 1,300 cases
 SIMILAR = 0.8
 EARLY_WORDS = 4
 TERSE_WORDS = 6
@@ -106,7 +106,7 @@ def closing(text: str) -> int:
     return OPEN
 
 
-_FACTS = "kind int, src string, id bigint, h1 bigint, h2 bigint, n bigint, closing int, word bigint, total bigint, closed bigint, bands array<bigint>"
+_FACTS = "kind int, src string, id bigint, h1 bigint, h2 bigint, n bigint, closing int, word bigint, total bigint, closed bigint, shingles bigint, bands array<bigint>"
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -122,6 +122,8 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         band: list[list[int] | None] = [None] * b.num_rows
         for o, k in zip(owners.tolist(), keys.view(np.int64).tolist(), strict=True):
             band[o] = k
+        sh, of = kernels.shingles(hashes, bounds, SHINGLE)
+        sizes = np.bincount(of[np.unique(sh ^ kernels.mix64(of), return_index=True)[1]], minlength=b.num_rows)
         count = np.diff(bounds)
         last = np.zeros(b.num_rows, np.uint64)
         last[count > 0] = hashes[bounds[1:][count > 0] - 1]
@@ -141,7 +143,7 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             [
                 pa.array(np.zeros(b.num_rows, np.int32)), b.column(0), b.column(1), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), pa.array(n),
                 pa.array([closing(t) for t in col.to_pylist()], pa.int32()), pa.array(last.view(np.int64)), pa.array(count.astype(np.int64)),
-                pa.array(np.zeros(b.num_rows, np.int64)), pa.array(band, pa.list_(pa.int64())),
+                pa.array(np.zeros(b.num_rows, np.int64)), pa.array(sizes.astype(np.int64)), pa.array(band, pa.list_(pa.int64())),
             ],
             names=[c.split()[0] for c in _FACTS.split(", ")],
         )
@@ -157,7 +159,7 @@ def _vocabulary(seen: dict[int, list[int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
         [
             pa.array(np.ones(n, np.int32)), pa.nulls(n, pa.string()), zero, zero, zero, zero, pa.array(np.zeros(n, np.int32)), pa.array(list(seen), pa.int64()),
-            pa.array([x[0] for x in seen.values()], pa.int64()), pa.array([x[1] for x in seen.values()], pa.int64()), pa.nulls(n, pa.list_(pa.int64())),
+            pa.array([x[0] for x in seen.values()], pa.int64()), pa.array([x[1] for x in seen.values()], pa.int64()), zero, pa.nulls(n, pa.list_(pa.int64())),
         ],
         names=[c.split()[0] for c in _FACTS.split(", ")],
     )
@@ -200,10 +202,12 @@ def facts(texts: DataFrame) -> DataFrame:
 
 def early_copies(texts: DataFrame, read: DataFrame) -> DataFrame:
     """(h1, h2, n) of distinct texts that a longer near-copy continues."""
-    distinct = read.filter("kind = 0 and bands is not null").groupBy("h1", "h2", "n").agg(F.min(F.struct("src", "id")).alias("r"), F.first("bands").alias("bands"))
-    banded = distinct.select("h1", "h2", "n", "r", F.posexplode("bands").alias("band", "key"))
-    longest = banded.groupBy("band", "key").agg(F.max(F.struct("n", "r")).alias("top"), F.count("*").alias("size")).filter("size > 1")
-    pairs = banded.join(longest, ["band", "key"]).filter("n < top.n").select("h1", "h2", "n", "r", F.col("top.r").alias("q")).distinct()
+    distinct = read.filter("kind = 0 and bands is not null").groupBy("h1", "h2", "n").agg(F.min(F.struct("src", "id")).alias("r"), F.first("shingles").alias("size"), F.first("bands").alias("bands"))
+    banded = distinct.select("h1", "h2", "n", "r", "size", F.floor(F.log("size") / F.log(F.lit(1 / SIMILAR))).alias("step"), F.posexplode("bands").alias("band", "key"))
+    # of two texts of similarity 0.8 one has at most a quarter more shingles: their size classes are the same or neighbours
+    longer = banded.select("band", "key", "step", F.col("r").alias("q"), F.col("n").alias("m"), F.col("size").alias("most"))
+    near = banded.withColumn("step", F.explode(F.array(F.col("step") - 1, "step", F.col("step") + 1))).join(longer, ["band", "key", "step"])
+    pairs = near.filter(F.col("n") < F.col("m")).filter(F.least("size", "most") >= SIMILAR * F.greatest("size", "most") - 1e-6).select("h1", "h2", "n", "r", "q").distinct()
     pairs = written(pairs)
     body = texts.select("src", F.col("id").cast("bigint").alias("id"), "text")
     both = pairs.join(body.select(F.struct("src", "id").alias("r"), F.col("text").alias("short")), "r").join(body.select(F.struct("src", "id").alias("q"), F.col("text").alias("long")), "q")

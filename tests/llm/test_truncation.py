@@ -61,3 +61,11 @@ def test_full_budget_counts_whatever_the_text(spark):
     got = T.cut_records(s, sh)
     assert rows(got.filter("cut"), "src", "id") == [("scored", 1), ("sheets", 1)]
     assert rows(T.cut_shares(got), "src", "records", "cut") == [("scored", 3, 1), ("sheets", 1, 1)]
+
+
+def test_a_longer_copy_behind_longer_band_mates(spark):
+    short = " ".join(f"w{k}" for k in range(100)) + "."
+    long = short[:-1] + " " + " ".join(f"v{k}" for k in range(15)) + "."
+    far = [long[:-1] + " " + " ".join(f"x{i}y{k}" for k in range(40)) + "." for i in range(30)]
+    got = verdicts(spark, list(enumerate([short, long, *far])))
+    assert got.pop(0) == "cut-copy" and set(got.values()) == {"whole"}
