@@ -30,6 +30,7 @@ SIMILAR = 0.8
 EARLY_WORDS = 4
 TERSE_WORDS = 6
 CLOSES = 0.9  # terminality from which an unpunctuated closing word ends a sentence
+HARDLY = 0.005  # terminality below which a word does not end a list entry either
 SUPPORT = 20, 1e-5  # occurrences, and share of all words, from which terminality tells
 STOCK = 0.001  # share of a word's occurrences that close unpunctuated stock answers
 
@@ -235,7 +236,7 @@ def cut_texts(texts: DataFrame) -> DataFrame:
     vocabulary = vocabulary.join(stock, "word", "left").join(F.broadcast(whole))
     share = F.col("closed") / F.col("seen")
     known = F.coalesce(F.col("seen") >= F.greatest(F.lit(SUPPORT[0]), SUPPORT[1] * F.col("words")), F.lit(False))
-    stuck = known & (F.col("closed") == 0) & (F.coalesce("stock", F.lit(0)) < STOCK * F.col("seen"))
+    stuck = known & (share < HARDLY) & (F.coalesce("stock", F.lit(0)) < STOCK * F.col("seen"))
     open_ = F.when(F.col("listed") == 1, stuck).otherwise(~known | (share < CLOSES))
     unsure = groups.filter("whole = 0 and marked = 0").join(vocabulary, "word", "left").select("h1", "h2", "n", open_.alias("open"), share.alias("terminality"))
     # whole texts without a longer copy need no join; only what is suspicious is matched back

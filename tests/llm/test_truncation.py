@@ -69,3 +69,11 @@ def test_a_longer_copy_behind_longer_band_mates(spark):
     far = [long[:-1] + " " + " ".join(f"x{i}y{k}" for k in range(40)) + "." for i in range(30)]
     got = verdicts(spark, list(enumerate([short, long, *far])))
     assert got.pop(0) == "cut-copy" and set(got.values()) == {"whole"}
+
+
+def test_a_stray_close_does_not_free_a_list_entry(spark):
+    entry = "The office reviewed the files.\n\nOverall view: the rule is"
+    for times in (1, 3):
+        body = "The state is open to all. " * 1500 * times
+        assert verdicts(spark, [(1, entry), (2, body), (3, "So it is. " * times + "They know.")])[1] == "cut-open"
+    assert verdicts(spark, [(1, entry), (2, "The state is open to all. " * 1500), (3, "So it is. " * 100 + "They know.")])[1] == "whole"
