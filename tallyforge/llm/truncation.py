@@ -7,8 +7,9 @@ band are verified against every longer one there that could reach a similarity o
 number of shingles, and aligned; the copy whose alignment ends early is cut. All others are judged by their closing: marks of a
 cut, terminal punctuation, or else the terminality of the closing word.
 
-Pairs are joined on band and size class, so texts of unlike length never meet. A band of
-many distinct texts of one length still costs the square of their number.
+A band is read in the order of its texts' sizes, each beside those within a quarter of its
+own, so texts of unlike length never meet. A band of many distinct texts of one length still
+costs the square of their number.
 """
 
 from __future__ import annotations
@@ -189,10 +190,37 @@ def ends_early(short: str, long: str) -> bool:
     return len(x) - base - (m.a + m.size) <= 1 and len(y) - max(0, base - n) - (m.b + m.size) >= EARLY_WORDS
 
 
+_PAIRS = "src string, id bigint, src2 string, id2 bigint"
+
+
+def _mates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs (shorter, longer) of texts that share a band and whose numbers of shingles allow
+    the similarity; rows come sorted by band key and size."""
+    now, window = None, []
+    for b in batches:
+        key = b.column(0).to_numpy()
+        same = np.zeros(len(key), bool)
+        same[1:] = key[1:] == key[:-1]
+        alone = ~same
+        alone[:-1] &= ~same[1:]
+        alone[:1] = alone[-1:] = False  # these may go on in the batch before or after
+        some = b.take(pa.array(np.flatnonzero(~alone)))
+        found = []
+        for k, *x in zip(*[c.to_pylist() for c in some.columns], strict=True):
+            if k != now:
+                now, window = k, []
+            window = [y for y in window if y[0] >= SIMILAR * x[0] - 1e-6]
+            found += [(*x[2:], *y[2:]) if x[1] < y[1] else (*y[2:], *x[2:]) for y in window if x[1] != y[1]]
+            window.append(x)
+        types = (pa.string(), pa.int64(), pa.string(), pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], t) for i, t in enumerate(types)], names=[c.split()[0] for c in _PAIRS.split(", ")])
+
+
 def _early(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        ok = [ends_early(s, t) for s, t in zip(b.column(3).to_pylist(), b.column(4).to_pylist(), strict=True)]
-        yield b.select([0, 1, 2]).filter(pa.array(ok, pa.bool_()))
+        ok = [ends_early(s, t) for s, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
+        h1, h2, n = kernels.fold_hashes(b.column(0).filter(pa.array(ok, pa.bool_())))
+        yield pa.RecordBatch.from_arrays([pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), pa.array(n)], names=["h1", "h2", "n"])
 
 
 def facts(texts: DataFrame) -> DataFrame:
@@ -203,16 +231,13 @@ def facts(texts: DataFrame) -> DataFrame:
 
 def early_copies(texts: DataFrame, read: DataFrame) -> DataFrame:
     """(h1, h2, n) of distinct texts that a longer near-copy continues."""
-    distinct = read.filter("kind = 0 and bands is not null").groupBy("h1", "h2", "n").agg(F.min(F.struct("src", "id")).alias("r"), F.first("shingles").alias("size"), F.first("bands").alias("bands"))
-    banded = distinct.select("h1", "h2", "n", "r", "size", F.floor(F.log("size") / F.log(F.lit(1 / SIMILAR))).alias("step"), F.posexplode("bands").alias("band", "key"))
-    # of two texts of similarity 0.8 one has at most a quarter more shingles: their size classes are the same or neighbours
-    longer = banded.select("band", "key", "step", F.col("r").alias("q"), F.col("n").alias("m"), F.col("size").alias("most"))
-    near = banded.withColumn("step", F.explode(F.array(F.col("step") - 1, "step", F.col("step") + 1))).join(longer, ["band", "key", "step"])
-    pairs = near.filter(F.col("n") < F.col("m")).filter(F.least("size", "most") >= SIMILAR * F.greatest("size", "most") - 1e-6).select("h1", "h2", "n", "r", "q").distinct()
+    distinct = read.filter("kind = 0 and bands is not null").groupBy("h1", "h2", "n").agg(F.min(F.struct("src", "id")).alias("r"), F.max("shingles").alias("size"), F.first("bands").alias("bands"))
+    banded = distinct.select(F.explode("bands").alias("key"), F.col("size").cast("int").alias("size"), F.col("n").cast("int").alias("n"), "r.src", "r.id")
+    pairs = banded.repartition("key").sortWithinPartitions("key", "size").mapInArrow(_mates, _PAIRS).distinct().select(F.struct("src", "id").alias("r"), F.struct("src2", "id2").alias("q"))
     pairs = written(pairs)
     body = texts.select("src", F.col("id").cast("bigint").alias("id"), "text")
-    both = pairs.join(body.select(F.struct("src", "id").alias("r"), F.col("text").alias("short")), "r").join(body.select(F.struct("src", "id").alias("q"), F.col("text").alias("long")), "q")
-    return both.select("h1", "h2", "n", "short", "long").mapInArrow(_early, "h1 bigint, h2 bigint, n bigint").distinct()
+    both = pairs.join(body.select(F.struct("src", "id").alias("r"), F.col("text").alias("short")), "r").join(body.select(F.struct(F.col("src").alias("src2"), F.col("id").alias("id2")).alias("q"), F.col("text").alias("long")), "q")
+    return both.select("short", "long").mapInArrow(_early, "h1 bigint, h2 bigint, n bigint").distinct()
 
 
 def cut_texts(texts: DataFrame) -> DataFrame:
