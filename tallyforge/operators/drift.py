@@ -5,8 +5,9 @@ the types it was seen with. A field of several types gets one typed branch per t
 canonical value. Between a collector's consecutive files, alternatives that appear, vanish or
 take another's content under a new name are reported.
 
-Every statistic is a count per (collector, file, field, type, bucket of content), summed per
-task before it is shuffled; its size follows files and fields, not records.
+Every statistic is a count per (collector, file, field, type, hash of content), summed per
+task before it is shuffled. Contents are compared by a join on those hashes, for the fields
+that vanished or are new only.
 """
 
 from __future__ import annotations
@@ -17,7 +18,6 @@ from pyspark.sql import functions as F
 from tallyforge.session import written
 
 PRESENT = 0.2  # a file has a field if this share of its readable records hold it non-null
-BUCKETS = 64
 SAME = {"string": 0.3, "number": 0.4, "boolean": 0.6, "object": 0.5, "array": 0.5}
 """Least overlap of content, by type, for a vanished field to go on under a new name."""
 
@@ -63,7 +63,7 @@ def union_schema(records: DataFrame, depth: int = 3) -> DataFrame:
 def _tokens() -> F.Column:
     """What a value's content looks like: tokens whose distribution outlives a renaming."""
     text = "try_variant_get(value, '$', 'string')"
-    shape = f"regexp_replace(regexp_replace({text}, '[A-Za-z]+', 'a'), '[0-9]', '9')"
+    shape = f"regexp_replace(regexp_replace({text}, '[A-Za-z]+', 'a'), CASE WHEN left(ltrim({text}), 1) IN ('{{', '[') THEN '[0-9]+' ELSE '[0-9]' END, '9')"
     numbered = "regexp_replace(regexp_replace(s, '[0-9]+', '#'), '(`?#`?: [A-Z]+(, )?)+', '#*')"
     return F.expr(
         f"""CASE type WHEN 'string' THEN array(concat('v', {text}), concat('s', CASE WHEN {shape} RLIKE '[^a ]' THEN {shape} ELSE {text} END))
@@ -73,35 +73,37 @@ def _tokens() -> F.Column:
     )
 
 
-def profiles(lines: DataFrame, **names: str) -> DataFrame:
-    """(collector, file_no, field, type, share, content): the fields that each file has.
+def contents(lines: DataFrame, **names: str) -> DataFrame:
+    """(collector, file_no, field, type, tag, token, n): how often each value (tag ``v``) and
+    shape (``s``) occurs, by its hash."""
+    bucketed = alternatives(readable(lines, **names)).select("collector", "file_no", F.col("path").alias("field"), "type", F.explode(_tokens()).alias("token"))
+    return bucketed.groupBy("collector", "file_no", "field", "type", F.substring("token", 1, 1).alias("tag"), F.xxhash64("token").alias("token")).agg(F.count("*").alias("n"))
+
+
+def profiles(lines: DataFrame, counts: DataFrame, **names: str) -> DataFrame:
+    """(collector, file_no, field, type, share, n): the fields that each file has.
 
     ``type`` is the most frequent of a field's types (the first by name on a tie), ``share``
-    the share of readable records that hold it, ``content`` the shares of its content's
-    buckets.
+    the share of readable records that hold the field, ``n`` its values of that type.
     """
-    records = readable(lines, **names)
-    total = records.groupBy("collector", "file_no").agg(F.count("*").alias("records"))
-    values = alternatives(records)
-    bucketed = values.select("collector", "file_no", F.col("path").alias("field"), "type", F.explode(_tokens()).alias("token"))
-    tag = F.substring("token", 1, 1)
-    counts = bucketed.groupBy("collector", "file_no", "field", "type", tag.alias("tag"), F.pmod(F.xxhash64("token"), F.lit(BUCKETS)).cast("int").alias("bucket")).agg(F.count("*").alias("n"))
-    by_type = counts.groupBy("collector", "file_no", "field", "type").agg(
-        F.sum(F.when(F.col("tag") == "v", F.col("n"))).alias("n"),
-        F.map_from_entries(F.collect_list(F.struct(F.concat("tag", F.col("bucket").cast("string")), F.col("n")))).alias("content"),
-    )
+    total = readable(lines, **names).groupBy("collector", "file_no").agg(F.count("*").alias("records"))
+    by_type = counts.filter("tag = 'v'").groupBy("collector", "file_no", "field", "type").agg(F.sum("n").alias("n"))
     best = by_type.groupBy("collector", "file_no", "field").agg(
-        F.sum("n").alias("held"), F.max_by(F.struct("type", "n", "content"), F.struct("n", F.expr("-ascii(type) * 1000 - ascii(substr(type, 2, 1))"))).alias("b")
+        F.sum("n").alias("held"), F.max_by(F.struct("type", "n"), F.struct("n", F.expr("-ascii(type) * 1000 - ascii(substr(type, 2, 1))"))).alias("b")
     )
     share = F.col("held") / F.col("records")
-    return best.join(total, ["collector", "file_no"]).filter(share >= PRESENT).select(
-        "collector", "file_no", "field", F.col("b.type").alias("type"), share.alias("share"), F.transform_values("b.content", lambda _, v: v / F.col("b.n")).alias("content")
-    )
+    return best.join(total, ["collector", "file_no"]).filter(share >= PRESENT).select("collector", "file_no", "field", "b.type", share.alias("share"), "b.n")
 
 
-def _overlap(tag: str) -> str:
-    keys = f"filter(map_keys(gone.content), k -> k LIKE '{tag}%')"
-    return f"aggregate({keys}, cast(0 AS double), (a, k) -> a + least(gone.content[k], coalesce(come.content[k], 0)))"
+def _overlaps(pairs: DataFrame, counts: DataFrame) -> DataFrame:
+    """``pairs`` with ``overlap``, the share of like content of a vanished and a new field:
+    of their values or their shapes, whichever is larger. Pairs without any are left out."""
+    old = counts.select("collector", F.col("file_no").alias("before"), F.col("field").alias("f"), "type", "tag", "token", F.col("n").alias("was"))
+    new = counts.select("collector", "file_no", F.col("field").alias("g"), "type", "tag", "token", F.col("n").alias("is"))
+    by = [c for c in pairs.columns if c not in ("gone", "come")]
+    both = pairs.join(old, ["collector", "before", "f", "type"]).join(new, ["collector", "file_no", "g", "type", "tag", "token"])
+    shared = both.groupBy(*by, "tag").agg(F.sum(F.least(F.col("was") / F.col("gone.n"), F.col("is") / F.col("come.n"))).alias("overlap"), F.first("gone").alias("gone"), F.first("come").alias("come"))
+    return shared.groupBy(*by).agg(F.max("overlap").alias("overlap"), F.first("gone").alias("gone"), F.first("come").alias("come"))
 
 
 def changes(lines: DataFrame, **names: str) -> DataFrame:
@@ -112,9 +114,10 @@ def changes(lines: DataFrame, **names: str) -> DataFrame:
     Lines that are not JSON objects, null collectors and null file numbers do not count; a
     file without a readable record is passed over. A collector's first file has no changes.
     """
-    p = written(profiles(lines, **names))  # a row per file and field, read four times below
+    counts = written(contents(lines, **names))
+    p = written(profiles(lines, counts, **names))  # a row per file and field, read four times below
     files = p.select("collector", "file_no").distinct().withColumn("before", F.lag("file_no").over(Window.partitionBy("collector").orderBy("file_no"))).filter("before is not null")
-    cell = F.struct("type", "share", "content")
+    cell = F.struct("type", "share", "n")
     now = files.join(p, ["collector", "file_no"]).select("collector", "file_no", "field", cell.alias("come"))
     old = files.join(p.withColumnRenamed("file_no", "before"), ["collector", "before"]).select("collector", "file_no", "field", cell.alias("gone"))
     both = now.join(old, ["collector", "file_no", "field"], "full")
@@ -122,8 +125,9 @@ def changes(lines: DataFrame, **names: str) -> DataFrame:
     gone = step.filter("come is null").select("collector", "file_no", F.col("field").alias("f"), "gone")
     come = step.filter("gone is null").select("collector", "file_no", F.col("field").alias("g"), "come")
     least = F.expr("CASE gone.type " + " ".join(f"WHEN '{t}' THEN {v}" for t, v in SAME.items()) + " END")
-    score = F.expr(f"greatest({_overlap('v')}, {_overlap('s')}) - 0.2 * abs(gone.share - come.share) - 0.01 * levenshtein(lower(f), lower(g)) / greatest(length(f), length(g))")
-    like = gone.join(come, ["collector", "file_no"]).filter("gone.type = come.type").withColumn("score", score).filter((F.col("score") >= least - 0.05))
+    score = F.expr("overlap - 0.2 * abs(gone.share - come.share) - 0.01 * levenshtein(lower(f), lower(g)) / greatest(length(f), length(g))")
+    pairs = gone.join(come, ["collector", "file_no"]).filter("gone.type = come.type").withColumn("type", F.col("gone.type")).join(files, ["collector", "file_no"])
+    like = _overlaps(pairs, counts).withColumn("score", score).filter((F.col("score") >= least - 0.05))
     rank = F.struct(-F.col("score"), "f", "g")
     first = like.withColumn("a", F.row_number().over(Window.partitionBy("collector", "file_no", "f").orderBy(rank))).withColumn("b", F.row_number().over(Window.partitionBy("collector", "file_no", "g").orderBy(rank)))
     renamed = first.filter("a = 1 and b = 1").select("collector", "file_no", "f", "g")

@@ -62,3 +62,12 @@ def test_union_schema_and_consistent_table(spark):
     assert {r.fields.get("failure_mode") for r in t} == {"refused", "other", None}
     assert all("fail_kind" not in r.fields for r in t)
     assert t[0].branches["n:number"] is not None
+
+
+def test_unlike_content_of_long_files_is_no_renaming(spark):
+    old = [{"schema": "battery-run/1", "note": f"left{'abcdefghij'[i % 10]}{'klmnopqrst'[i // 10 % 10]}{'uvwxyz'[i // 100]}"} for i in range(400)]
+    new = [{"schema": "battery-run/1", "host": r["note"].replace("left", "other")} for r in old]
+    got = rows(drift.changes(lines(spark, {("c", 1): old, ("c", 2): new})), "field", "change_kind")
+    assert got == [("host", "added"), ("note", "removed")]
+    kept = [{"schema": r["schema"], "remark": r["note"]} for r in old]
+    assert rows(drift.changes(lines(spark, {("c", 1): old, ("c", 2): kept})), "field", "change_kind", "new_field") == [("note", "renamed", "remark")]
