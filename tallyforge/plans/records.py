@@ -38,8 +38,7 @@ def p3_schema(spark: SparkSession, d: str) -> DataFrame:
 
 def p3_table(spark: SparkSession, d: str) -> DataFrame:
     t = drift.consistent(table(spark, d, "drift_lines"))
-    wanted = ["schema", "model", "condition", "renumbered", "label_to_id", "failure_mode", "max_tokens", "tokens_out"]
-    return t.select("line_id", "collector", "file_no", *[F.col("fields")[w].alias(w) for w in wanted])
+    return t.select("line_id", "collector", "file_no", F.to_json("fields").alias("fields"), F.to_json("branches").alias("branches"))
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_sheets, p1_spans, p3_found, p3_schema, p3_table)}

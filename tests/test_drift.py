@@ -71,3 +71,12 @@ def test_unlike_content_of_long_files_is_no_renaming(spark):
     assert got == [("host", "added"), ("note", "removed")]
     kept = [{"schema": r["schema"], "remark": r["note"]} for r in old]
     assert rows(drift.changes(lines(spark, {("c", 1): old, ("c", 2): kept})), "field", "change_kind", "new_field") == [("note", "renamed", "remark")]
+
+
+def test_the_registered_table_keeps_every_field(spark, tmp_path):
+    from tallyforge.plans import records
+
+    lines(spark, {("c", 1): BASE, ("c", 2): [r | {"later": r["n"]} for r in BASE]}).write.parquet(f"{tmp_path}/drift_lines.parquet")
+    got = records.p3_table(spark, str(tmp_path)).filter("line_id = 13").collect()[0]
+    assert set(json.loads(got.fields)) == {"schema", "failure_mode", "flag", "n", "at", "later"}
+    assert {"later:number", "at:string", "flag:boolean"} <= set(json.loads(got.branches))
