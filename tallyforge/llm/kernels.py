@@ -13,6 +13,7 @@ import unicodedata
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 BLOCK = 1 << 18
 _TOP = 0x110000
@@ -66,6 +67,7 @@ class Tables:
                     total, p = (total + u * p) % _MOD, p * b % _MOD
                 v[cp] = total
             self.vals.append(v)
+        self.compose = _uncomposed()
         self.pow, self.inv = [], []
         for b in _BASES:
             n = 3 * BLOCK + 2
@@ -73,6 +75,21 @@ class Tables:
             self.inv.append(_powers(pow(b, -1, _MOD), n))
 
 
+def _uncomposed() -> np.ndarray:
+    """Code points that may change when a text is composed: those that do so alone, marks,
+    and the second halves of composed letters and syllables."""
+    out = np.zeros(_TOP, bool)
+    for lo, hi in ((0x300, 0x3400), (0xA000, 0xAC00), (0xF900, 0x20000), (0x2F800, 0x2FA20)):
+        for cp in range(lo, hi):
+            ch = chr(cp)
+            out[cp] |= bool(unicodedata.combining(ch)) or not unicodedata.is_normalized("NFC", ch)
+            parts = unicodedata.decomposition(ch).split()
+            if len(parts) == 2 and parts[0][0] != "<":
+                out[int(parts[1], 16)] = True
+    out[0x1161:0x1176] = out[0x11A8:0x11C3] = True  # vowels and finals of Hangul syllables
+    return out
+
+
 def _powers(b: int, n: int) -> np.ndarray:
     out = np.ones(n, np.uint64)
     out[1:] = np.uint64(b)
@@ -84,9 +101,6 @@ def tables() -> Tables:
     return Tables()
 
 
-_MARKS = ("Mn", "Mc", "Me")
-
-
 def string_array(col) -> pa.Array:
     """One contiguous string array with 32-bit offsets; nulls become empty."""
     if isinstance(col, pa.ChunkedArray):
@@ -117,18 +131,28 @@ def code_points(col) -> tuple[np.ndarray, np.ndarray]:
         return b.astype(np.uint32), off
     text = raw.decode("utf-8", "replace")
     cps = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-    # combining marks live at U+0300 and above in blocks that composed text hardly uses
-    if bool(((cps >= 0x300) & (cps < 0x370)).any()):
-        parts = [unicodedata.normalize("NFC", s or "") for s in arr.to_pylist()]
-        off = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int64)
-        return np.frombuffer("".join(parts).encode("utf-32-le", "surrogatepass"), np.uint32), off
     lead = np.zeros(len(b) + 1, np.int64)
     np.cumsum((b & 0xC0) != 0x80, out=lead[1:])
     if lead[-1] != len(cps):
-        parts = [s or "" for s in arr.to_pylist()]
-        off = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int64)
-        return np.frombuffer("".join(parts).encode("utf-32-le", "surrogatepass"), np.uint32), off
-    return cps, lead[off]
+        return _joined([s or "" for s in arr.to_pylist()])
+    off = lead[off]
+    # a text is composed for what it holds itself, never for its neighbours in the batch
+    at = np.flatnonzero(tables().compose[cps])
+    if len(at) == 0:
+        return cps, off
+    which = np.unique(np.searchsorted(off, at, "right") - 1)
+    parts, sizes, done = [], np.diff(off), 0
+    for k in which.tolist():
+        part = np.frombuffer(unicodedata.normalize("NFC", arr[k].as_py()).encode("utf-32-le", "surrogatepass"), np.uint32)
+        parts += [cps[done : off[k]], part]
+        sizes[k], done = len(part), off[k + 1]
+    return np.concatenate([*parts, cps[done:]]), np.concatenate([[0], np.cumsum(sizes)])
+
+
+def _joined(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    parts = [unicodedata.normalize("NFC", s) for s in texts]
+    off = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int64)
+    return np.frombuffer("".join(parts).encode("utf-32-le", "surrogatepass"), np.uint32), off
 
 
 def fold_hashes(col, pre=None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -163,24 +187,41 @@ def fold_hashes(col, pre=None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return h[0], h[1], length
 
 
+def _folded_blocks(text: str, step: int):
+    """What counts of a text, folded, block by block; a block ends before a character that
+    does not combine with the one before it."""
+    t = tables()
+    at = 0
+    while at < len(text):
+        end = min(at + step, len(text))
+        while end < len(text) and t.compose[ord(text[end])]:
+            end += 1
+        piece = text[at:end]
+        if not piece.isascii():
+            piece = unicodedata.normalize("NFC", piece)
+        at = end
+        block = np.frombuffer(piece.encode("utf-32-le", "surrogatepass"), np.uint32)
+        kept = block[t.keep[block]]
+        if (t.width[kept] > 1).any():
+            kept = np.frombuffer("".join(map(chr, kept)).casefold().encode("utf-32-le"), np.uint32)
+        yield t.vals[0][kept]
+
+
 def same_folded(a: str | None, b: str | None, step: int = 4096) -> bool:
     """Whether two texts agree in their letters and digits, by two pointers that skip the rest.
 
     Each pointer advances over a block, drops what does not count and compares what both
     sides have; neither text is ever folded as a whole.
     """
-    t = tables()
-    xs = [np.frombuffer(unicodedata.normalize("NFC", s or "").encode("utf-32-le", "surrogatepass"), np.uint32) for s in (a, b)]
-    at, rest = [0, 0], [np.zeros(0, np.uint64), np.zeros(0, np.uint64)]
+    sides = [_folded_blocks(s or "", step) for s in (a, b)]
+    rest = [np.zeros(0, np.uint64), np.zeros(0, np.uint64)]
     while True:
         for k in (0, 1):
-            while len(rest[k]) == 0 and at[k] < len(xs[k]):
-                block = xs[k][at[k] : at[k] + step]
-                at[k] += step
-                kept = block[t.keep[block]]
-                if (t.width[kept] > 1).any():
-                    kept = np.frombuffer("".join(map(chr, kept)).casefold().encode("utf-32-le"), np.uint32)
-                rest[k] = t.vals[0][kept]
+            while len(rest[k]) == 0:
+                more = next(sides[k], None)
+                if more is None:
+                    break
+                rest[k] = more
         n = min(len(rest[0]), len(rest[1]))
         if n == 0:
             return len(rest[0]) == len(rest[1])
@@ -189,13 +230,21 @@ def same_folded(a: str | None, b: str | None, step: int = 4096) -> bool:
         rest = [rest[0][n:], rest[1][n:]]
 
 
+def fold_digest(text: str | None, step: int = 1 << 16) -> int:
+    """A third hash of a text's letters and digits, not polynomial, streamed block by block."""
+    h = xxhash.xxh3_64()
+    for block in _folded_blocks(text or "", step):
+        h.update(block.tobytes())
+    return h.intdigest()
+
+
 def words(col, pre=None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Words (runs of letters and digits, case aside) of all texts: their 64-bit hashes, first
     and past-last character, and per text the number of words before it; and the code points.
-    A word spanning two blocks is cut there."""
+    A word that goes on in the next block is carried over, so blocks do not show."""
     t = tables()
     cps, off = pre or code_points(col)
-    hashes, starts, stops = [], [], []
+    sums, widths, starts, stops = [], [], [], []
     for lo in range(0, len(cps), BLOCK):
         c = cps[lo : lo + BLOCK]
         hi = lo + len(c)
@@ -212,14 +261,29 @@ def words(col, pre=None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray
         np.cumsum(t.width[c], out=pos[1:])
         acc = np.zeros(len(c) + 1, np.uint64)
         np.cumsum(t.vals[0][c] * t.pow[0][pos[:-1]], out=acc[1:])
-        hashes.append(mix64((acc[e] - acc[s]) * t.inv[0][pos[s]] + (pos[e] - pos[s]).astype(np.uint64)))
+        sums.append((acc[e] - acc[s]) * t.inv[0][pos[s]])
+        widths.append(pos[e] - pos[s])
         starts.append(s + lo)
         stops.append(e + lo)
-    if not hashes:
+    if not sums:
         none = np.zeros(0, np.int64)
         return np.zeros(0, np.uint64), none, none, np.zeros(len(off), np.int64), cps
-    at = np.concatenate(starts)
-    return np.concatenate(hashes), at, np.concatenate(stops), np.searchsorted(at, off, "left"), cps
+    total, width, at, end = map(np.concatenate, (sums, widths, starts, stops))
+    edge = np.flatnonzero((at[1:] == end[:-1]) & (at[1:] % BLOCK == 0)) + 1
+    if len(edge):
+        edge = edge[off[np.minimum(np.searchsorted(off, at[edge]), len(off) - 1)] != at[edge]]
+    if len(edge):
+        whole = np.ones(len(at), bool)
+        head = -1
+        for k in edge.tolist():
+            head = head if not whole[k - 1] else k - 1
+            total[head] = np.uint64((int(total[head]) + int(total[k]) * pow(_BASES[0], int(width[head]), _MOD)) % _MOD)
+            width[head] += width[k]
+            end[head] = end[k]
+            whole[k] = False
+        total, width, at, end = total[whole], width[whole], at[whole], end[whole]
+    hashes = mix64(total + width.astype(np.uint64))
+    return hashes, at, end, np.searchsorted(at, off, "left"), cps
 
 
 def word_hashes(col) -> tuple[np.ndarray, np.ndarray]:

@@ -15,15 +15,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyforge.llm import kernels, truncation
-from tallyforge.llm.language import LANGUAGES, detect, detect_repeated
+from tallyforge.llm.language import LANGUAGES, Model, detect, detect_repeated, learn
 from tallyforge.session import prepare
 
 ORDER = ("empty", "refusal", "copies_question", "truncated", "other_language")
-REFUSAL_CHARS = 400
 
 #: What declines, and what only surrounds it.
 _DECLINES = re.compile(
@@ -42,19 +42,27 @@ _COURTESY = re.compile(
     r"|抱歉|对不起|谢谢|很遗憾|请|es tut mir leid|danke|bitte|leider|entschuldigung|désolé|je regrette|merci|lo siento|gracias|por favor|desculpe|obrigad|sinto muito)"
 )
 _QUIET = re.compile(r"[’'`*_#>]")
-_SENTENCES = re.compile(r"(?<=[.!?。！？])|\n{2,}")
-_ASKS = re.compile(r"\b(?:answer|reply|respond|write)\b[^.?!]{0,30}\bin (english|german|french|spanish|portuguese|chinese)\b", re.I)
-_NAMES = {"english": "en", "german": "de", "french": "fr", "spanish": "es", "portuguese": "pt", "chinese": "zh"}
+_SENTENCE = re.compile(r"(?:[^.!?。！？\n]|\n(?!\n))*[.!?。！？]?")
+_ASKS = re.compile(
+    r"\b(?:answer|reply|respond|write)\b[^.?!]{0,30}\bin (english|german|french|spanish|portuguese|chinese)\b|\bauf (englisch|deutsch|französisch|spanisch|portugiesisch|chinesisch)\b"
+    r"|\ben (anglais|allemand|français|espagnol|portugais|chinois|inglés|alemán|francés|español|portugués|chino)\b|\bem (inglês|alemão|francês|espanhol|português|chinês)\b|用(英文|英语|德语|法语|西班牙语|葡萄牙语|中文)",
+    re.I,
+)
+#: How the languages are called where a prompt asks for one.
+_NAMES = {
+    "en": "english englisch anglais inglés inglês 英文 英语", "de": "german deutsch allemand alemán alemão 德语", "fr": "french französisch français francés francês 法语",
+    "es": "spanish spanisch espagnol español espanhol 西班牙语", "pt": "portuguese portugiesisch portugais portugués português 葡萄牙语", "zh": "chinese chinesisch chinois chino chinês 中文",
+}
+_NAMED = {w: LANGUAGES.index(k) for k, v in _NAMES.items() for w in v.split()}
 
 
 def declines(text: str) -> bool:
-    """Whether a text declines and says nothing else: at least one refusal phrase, and every
-    sentence is one or a courtesy. A refusal that goes on to answer does not count."""
-    if len(text) > REFUSAL_CHARS:
-        return False
+    """Whether a text declines and says nothing else, however long: at least one refusal
+    phrase, and every sentence is one or a courtesy. Reading stops at the first sentence that
+    is neither, so a refusal that goes on to answer does not count."""
     found = False
-    for s in _SENTENCES.split(_QUIET.sub("", text.lower())):
-        s = s.strip(" \t\r\n -–—\"\u00a0\u200b")
+    for m in _SENTENCE.finditer(text):
+        s = _QUIET.sub("", m[0].lower()).strip(" \t\r\n -–—\"\u00a0\u200b")
         if any(map(str.isalnum, s)):
             s = " ".join(s.split())
             if _DECLINES.search(s):
@@ -64,6 +72,13 @@ def declines(text: str) -> bool:
     return found
 
 
+@functools.lru_cache(maxsize=4096)
+def _asked(prompt: str) -> int:
+    """The language that a prompt asks for, as an index; -1 for none."""
+    m = _ASKS.search(prompt)
+    return _NAMED[next(g for g in m.groups() if g).lower()] if m else -1
+
+
 def _fold(text: str) -> str:
     return "".join(filter(str.isalnum, text.casefold()))
 
@@ -73,8 +88,22 @@ def _folded(text: str) -> str:
     return _fold(text)
 
 
-def _end(text: str | None) -> str | None:
-    return _folded(text)[-6:] if text else None
+def _end(text: str | None) -> str:
+    """The last six letters and digits of a text, tags aside, however far from its end."""
+    text = text or ""
+    if "<" in text:
+        text = truncation._TAG.sub("", text)
+    reach = 64
+    while True:
+        got = _fold(text[-reach:])
+        if len(got) >= 6 or reach >= len(text):
+            return got[-6:]
+        reach *= 16
+
+
+@functools.lru_cache(maxsize=4096)
+def _end_of_prompt(text: str | None) -> str:
+    return _end(text)
 
 
 def copies(prompt: str, question: str | None, response: str) -> bool:
@@ -91,36 +120,61 @@ def copies(prompt: str, question: str | None, response: str) -> bool:
     return False
 
 
+def _after(text: str, asked: str | None) -> str | None:
+    """What follows a copy of ``asked`` at the start of a text; None without a copy."""
+    want = _folded(asked or "")
+    at = 0
+    for i, ch in enumerate(text):
+        if at == len(want):
+            return text[i:] if at >= 8 else None
+        if ch.isalnum():
+            f = ch.casefold()
+            if not want.startswith(f, at):
+                return None
+            at += len(f)
+    return None
+
+
 _OUT = "src string, id bigint, empty boolean, refusal boolean, copies_question boolean, other_language boolean"
 
 
-def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        prompts, questions = b.column(2).to_pylist(), b.column(3).to_pylist()
-        col = kernels.string_array(b.column(4))
-        texts = col.to_pylist()
-        lang, han, n = detect(col)
-        plang = detect_repeated(b.column(2))
-        empty = np.array([k == 0 or (k < 40 and truncation.closing(t) == truncation.BLANK) for k, t in zip(n.tolist(), texts, strict=True)], bool)
-        refusal = np.array([bool(k) and k <= REFUSAL_CHARS and declines(t) for k, t in zip(n.tolist(), texts, strict=True)], bool)
-        repeats, other = np.zeros(b.num_rows, bool), np.zeros(b.num_rows, bool)
-        for i, (p, q, t) in enumerate(zip(prompts, questions, texts, strict=True)):
-            if empty[i] or p is None:
-                continue
-            if _fold(t[-60:])[-6:] in (_end(p), _end(q)):
-                repeats[i] = copies(p, q, t)
-            asked = _ASKS.search(p)
-            want = LANGUAGES.index(_NAMES[asked[1].lower()]) if asked else plang[i]
-            if want < 0 or (n[i] < 8 and han[i] < 0.3):
-                continue
-            if lang[i] >= 0:
-                other[i] = lang[i] != want
-            else:
-                other[i] = LANGUAGES[want] == "zh" and han[i] < 0.1 and n[i] > 12
-        yield pa.RecordBatch.from_arrays(
-            [b.column(0), b.column(1), *[pa.array(x) for x in (empty, refusal, repeats, other)]],
-            names=["src", "id", "empty", "refusal", "copies_question", "other_language"],
-        )
+def _judge(model: Model):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            prompts, questions = b.column(2).to_pylist(), b.column(3).to_pylist()
+            col = kernels.string_array(b.column(4))
+            texts = col.to_pylist()
+            lang, han, n = detect(col, model)
+            plang = detect_repeated(b.column(2), model)
+            empty = n == 0
+            for i in np.flatnonzero(pc.match_substring(col, "<").to_numpy(zero_copy_only=False)).tolist():
+                empty[i] = truncation.closing(texts[i]) == truncation.BLANK
+            refusal, repeats, other = np.zeros((3, b.num_rows), bool)
+            for i in np.flatnonzero(~empty).tolist():
+                p, q, t = prompts[i], questions[i], texts[i]
+                refusal[i] = declines(t)
+                if p is None:
+                    continue
+                if _end(t) in (_end_of_prompt(p), _end_of_prompt(q)):
+                    repeats[i] = copies(p, q, t)
+                asked = _asked(p)
+                want = asked if asked >= 0 else plang[i]
+                if want < 0 or (n[i] < 8 and han[i] < 0.3):
+                    continue
+                if lang[i] == want:
+                    continue
+                rest = _after(t, q) or _after(t, p)
+                mine, chinese, size = (x[0] for x in detect(pa.array([rest]), model)) if rest else (lang[i], han[i], n[i])
+                if mine >= 0:
+                    other[i] = mine != want
+                else:
+                    other[i] = LANGUAGES[want] == "zh" and chinese < 0.1 and size > 12
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), b.column(1), *[pa.array(x) for x in (empty, refusal, repeats, other)]],
+                names=["src", "id", "empty", "refusal", "copies_question", "other_language"],
+            )
+
+    return run
 
 
 def defects(pairs: DataFrame, cut: DataFrame) -> DataFrame:
@@ -133,7 +187,7 @@ def defects(pairs: DataFrame, cut: DataFrame) -> DataFrame:
     """
     prepare(pairs.sparkSession)
     src = pairs.select("src", F.col("id").cast("bigint").alias("id"), "prompt", "question", "response").filter("id is not null")
-    judged = src.mapInArrow(_judge, _OUT).filter("empty or refusal or copies_question or other_language")
+    judged = src.mapInArrow(_judge(learn(src, F.col("id"), F.col("response"))), _OUT).filter("empty or refusal or copies_question or other_language")
     both = judged.join(cut.select("src", "id", F.lit(True).alias("truncated")), ["src", "id"], "full")
     flags = F.array(*[F.when(F.col(d), F.lit(d)) for d in ORDER])
     return both.select("src", "id", F.array_compact(flags).alias("defects"))

@@ -11,7 +11,7 @@ from tallyforge.llm.language import LANGUAGES, detect
     [
         ("I'd rather not go into this.", True), ("UNFORTUNATELY, I WONT BE ANSWERING THIS ONE. I HOPE YOU UNDERSTAND.", True), ("Thank you for asking. I have\nto decline.", True), ("抱歉，我无法回答这个问题。", True), ("Prefiero no responder a esa pregunta.", True),
         ("Dazu kann ich leider keine Auskunft geben.", True), ("I have to decline. Still, a few facts can be stated. The office closed.", False), ("Officials declined to comment, which is itself informative.", False), ("Rather not fair to banks", False), ("Thank you.", False), ("", False),
-        ("I can't help with that. " * 60, False),
+        ("I can't help with that. " * 60, True),
     ],
 )
 def test_refusals(text, yes):
@@ -47,3 +47,14 @@ def test_defects(spark):
     first = dict(rows(P.first_defect(P.defects(df, cut)), "id", "defect"))
     assert first[8] == "refusal" and first[11] == "refusal"
     assert P.defects(df.limit(0), cut.limit(0)).count() == 0
+
+
+def test_long_refusals_and_far_ends():
+    assert P.declines("I cannot comment on this. " * 40) and not P.declines("I cannot comment on this. " * 40 + "It rose by two percent.")
+    assert P._end("What is the cost of it?" + "*" * 900) == "costofit"[-6:]
+    assert P._end("<b>What is the cost</b> of <i>it</i>?</div>") == "costofit"[-6:]
+
+
+def test_a_copied_question_does_not_tell_the_language():
+    assert P._after("What is  the COST of it?\n\nEs kostet viel.", "What is the cost of it?") == "?\n\nEs kostet viel."
+    assert P._after("What is dear?", "What is the cost of it?") is None
