@@ -1,3 +1,5 @@
+import base64
+
 from conftest import rows
 from tallyforge.llm import reading as R
 
@@ -25,19 +27,26 @@ def test_bands(spark):
     assert bands(spark, []) == {}
 
 
-def test_coverage_rank_is_the_smallest_vocabulary(spark):
-    data = [(1, "a a a a a a a a a b"), (2, "a b c d e f g h i j"), (3, "b b b c")]
-    df = spark.createDataFrame(data, "doc_id long, text string")
-    counts = {}
-    for _, t in data:
-        for w in t.split():
-            counts[w] = counts.get(w, 0) + 1
-    got = {r.doc_id: r for r in R.reading_levels(df).collect()}
-    assert got[1].coverage_rank == 1 and got[3].coverage_rank == 3 and got[2].coverage_rank == 9
-    assert got[1].words == 10 and got[1].sentences == 1
-    clean = R._clean(df, "doc_id", "text")
-    words, rank = R.ranks(clean, keep=3)
-    assert len(words) == 3 and sorted(rank.tolist()) == [1, 2, 3]
+def test_coverage_rank_is_the_smallest_vocabulary(spark, tmp_path):
+    order = ["the", "of", "house", "Of", "river", "estuary"]
+    path = tmp_path / "v.tiktoken"
+    path.write_text("".join(f"{base64.b64encode(b' ' + w.encode()).decode()} {10 * i}\n" for i, w in enumerate(order)))
+    rank = {w: 10 * i + 1 for i, w in enumerate(order) if w.islower()}
+    texts = {1: "the the the of house", 2: "the estuary river house of the unknown. OF 12 34 56", 3: "unknown words only", 4: "12 34"}
+    want = {}
+    for i, t in texts.items():
+        r = sorted(rank.get(w, 52) for w in t.replace(".", "").lower().split() if not w.isdigit())
+        want[i] = next(v for v in range(1, 60) if sum(x <= v for x in r) >= R.COVER * len(r)) if r else 1
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r.doc_id: r for r in R.reading_levels(df, vocabulary=str(path)).collect()}
+    assert {i: r.coverage_rank for i, r in got.items()} == want
+    assert got[2].words == 11 and got[2].sentences == 2
+
+
+def test_the_rank_decides_bands(spark):
+    plain = "The men in the old house had to go to the town for the good of all of us and so on to the end of it. " * 3
+    rare = "The mendicants in the dilapidated edifice perambulated townwards benevolently for everyone's betterment and onwards until its cessation occurred. " * 3
+    assert [b for _, b in sorted(bands(spark, [(1, plain), (2, rare)]).items())] != ["expert", "expert"]
 
 
 def test_profile(spark):
