@@ -21,6 +21,10 @@ def p2_shares(spark: SparkSession, d: str) -> DataFrame:
     return truncation.cut_shares(truncation.cut_records(table(spark, d, "scored"), table(spark, d, "sheets")))
 
 
+def p2_verdicts(spark: SparkSession, d: str) -> DataFrame:
+    return truncation.cut_records(table(spark, d, "scored"), table(spark, d, "sheets")).groupBy("src", "verdict").agg(F.count("*").alias("records"))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return consensus.consensus(table(spark, d, "scored")).select("record_id", "consensus")
 
@@ -90,7 +94,7 @@ def p9_profile(spark: SparkSession, d: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        p2_found, p2_shares, p4_found, p4_judges, p4_agreement, p5_found, p5_all, p6_found, p6_collapsed,
+        p2_found, p2_shares, p2_verdicts, p4_found, p4_judges, p4_agreement, p5_found, p5_all, p6_found, p6_collapsed,
         p7_found, p7_leaks, p7_items, p8_mix, p8_shares, p9_found, p9_levels, p9_profile,
     )
 }

@@ -4,19 +4,28 @@ One scan reads every text: it folds it into a hash, takes min-hash band keys of
 shingles, looks at how it closes, and counts for each word how often it closes a sentence or
 line. Texts with the same letters and digits share one reading. Distinct texts that meet in a
 band are verified against every longer one there that could reach a similarity of 0.8 by its
-number of shingles, and aligned; the copy whose alignment ends early is cut. All others are judged by their closing: marks of a
-cut, terminal punctuation, or else the terminality of the closing word.
+number of shingles; a verified pair is aligned from end to end, and the copy whose alignment
+ends early is cut. All others are judged by their closing: marks of a cut, terminal
+punctuation, or else the terminality of the closing word.
 
 A band is read in the order of its texts' sizes, each beside those within a quarter of its
 own, so texts of unlike length never meet. A band of many distinct texts of one length still
-costs the square of their number.
+costs the square of their number. A copy that lost more than a fifth of its source is no
+near-copy at that similarity and is judged by its closing alone: a lower bar takes refusals and
+other terse answers for cut copies of the longer texts that begin like them.
+
+Answer sheets are lists of one-phrase lines over a handful of words: their shingles collide by
+chance between any two sheets, so min-hash bands hold all of them and tell nothing. A sheet is
+instead aligned with the list that its prompt asks for, and its last line is judged by the
+terminality of its closing word over the lines of all sheets.
 """
 
 from __future__ import annotations
 
+import bisect
 import re
+from collections import Counter
 from collections.abc import Iterator
-from difflib import SequenceMatcher
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +42,7 @@ TERSE_WORDS = 6
 CLOSES = 0.9  # terminality from which an unpunctuated closing word ends a sentence
 HARDLY = 0.005  # terminality below which a word does not end a list entry either
 SUPPORT = 20, 1e-5  # occurrences, and share of all words, from which terminality tells
+OPTION_CLOSES = 0.05  # terminality from which a word ends an option of a sheet
 STOCK = 0.001  # share of a word's occurrences that close unpunctuated stock answers
 
 BLANK, COMPLETE, CUT, OPEN, LISTED, TERSE = 0, 1, 2, 3, 4, 5
@@ -168,26 +178,59 @@ def _vocabulary(seen: dict[int, list[int]]) -> pa.RecordBatch:
 
 
 def ends_early(short: str, long: str) -> bool:
-    """Whether ``short`` follows ``long`` to its own end while ``long`` goes on.
-
-    Similarity of the five-word shingles must be at least 0.8.
+    """Whether ``short`` follows ``long`` to its own end while ``long`` goes on."""
+    return bool(_early_pairs(pa.array([short], pa.string()), pa.array([long], pa.string()))[0])
+
+
+def _early_pairs(short: pa.Array, long: pa.Array) -> np.ndarray:
+    """:func:`ends_early` of each pair: similarity ``SIMILAR`` of their five-word
+    shingles, and an alignment of all their words that ends early."""
+    n = len(short)
+    x, bx = kernels.word_hashes(short)
+    y, by = kernels.word_hashes(long)
+    (sx, ox), (sy, oy) = kernels.shingles(x, bx, SHINGLE), kernels.shingles(y, by, SHINGLE)
+    # one key for a shingle of a pair; the odd multiplier keeps pairs apart
+    kx, ky = (np.unique(s ^ kernels.mix64(o.astype(np.uint64) + np.uint64(1)), return_index=True) for s, o in ((sx, ox), (sy, oy)))
+    mine, theirs = np.bincount(ox[kx[1]], minlength=n), np.bincount(oy[ky[1]], minlength=n)
+    both = np.bincount(ox[kx[1][np.isin(kx[0], ky[0])]], minlength=n)
+    ok = (mine > 0) & (both >= SIMILAR * (mine + theirs - both)) & (np.diff(by) - np.diff(bx) >= EARLY_WORDS)
+    for i in np.flatnonzero(ok).tolist():
+        ok[i] = _stops_inside(x[bx[i] : bx[i + 1]].tolist(), y[by[i] : by[i + 1]].tolist())
+    return ok
+
+
+def _stops_inside(x: list[int], y: list[int]) -> bool:
+    """Whether an alignment of the words of ``x`` with those of ``y`` reaches the end of ``x``
+    (its last word, which may be a piece, aside) and leaves ``EARLY_WORDS`` of ``y``.
+
+    Runs of three words that occur once in either text are anchors; the longest chain of
+    anchors in the same order in both is the alignment, and it is walked on from its last.
     """
-    col = pa.array([short, long], pa.string())
-    h, bounds = kernels.word_hashes(col)
-    sh, owner = kernels.shingles(h, bounds, SHINGLE)
-    a, b = set(sh[owner == 0].tolist()), set(sh[owner == 1].tolist())
-    if not a or not b or len(a & b) < SIMILAR * len(a | b) or len(b - a) < EARLY_WORDS:
-        return False
-    x, y = h[: bounds[1]].tolist(), h[bounds[1] :].tolist()
-    if len(y) - len(x) < EARLY_WORDS:
+    where: dict[tuple[int, ...], int] = {}
+    for j in range(len(y) - 2):
+        k = (y[j], y[j + 1], y[j + 2])
+        where[k] = -1 if k in where else j
+    seen: dict[tuple[int, ...], int] = {}
+    for i in range(len(x) - 2):
+        k = (x[i], x[i + 1], x[i + 2])
+        seen[k] = -1 if k in seen else i
+    tails: list[int] = []  # smallest end of a chain of each length
+    last: list[int] = []
+    for k, i in seen.items():
+        j = where.get(k, -1)
+        if i >= 0 and j >= 0:
+            at = bisect.bisect_left(tails, j)
+            if at == len(tails):
+                tails.append(j)
+                last.append(i)
+            else:
+                tails[at], last[at] = j, i
+    if not tails:
         return False
-    n = 3 * (len(y) - len(x)) + 60
-    base = max(0, len(x) - n)
-    blocks = [m for m in SequenceMatcher(None, x[base:], y[max(0, base - n) :], autojunk=False).get_matching_blocks() if m.size >= 3]
-    if not blocks:
-        return False
-    m = blocks[-1]
-    return len(x) - base - (m.a + m.size) <= 1 and len(y) - max(0, base - n) - (m.b + m.size) >= EARLY_WORDS
+    i, j = last[-1] + 3, tails[-1] + 3
+    while i < len(x) and j < len(y) and (x[i] == y[j] or (i + 1 < len(x) and j + 1 < len(y) and x[i + 1] == y[j + 1])):
+        i, j = i + 1, j + 1
+    return len(x) - i <= 1 and len(y) - j - (len(x) - i) >= EARLY_WORDS
 
 
 _PAIRS = "src string, id bigint, src2 string, id2 bigint"
@@ -218,8 +261,8 @@ def _mates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _early(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        ok = [ends_early(s, t) for s, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
-        h1, h2, n = kernels.fold_hashes(b.column(0).filter(pa.array(ok, pa.bool_())))
+        short, long = kernels.string_array(b.column(0)), kernels.string_array(b.column(1))
+        h1, h2, n = kernels.fold_hashes(short.filter(pa.array(_early_pairs(short, long))))
         yield pa.RecordBatch.from_arrays([pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), pa.array(n)], names=["h1", "h2", "n"])
 
 
@@ -283,79 +326,112 @@ _ITEM = re.compile(r"^\W*(\d{1,4})\W+(.*)$")
 _LISTED = re.compile(r"^[ \t]*(\d{1,4})[.):\]]?[ \t]+\S")
 
 
-def sheet_cut(prompt: str | None, response: str | None) -> bool | None:
-    """Whether an answer sheet stops before its list does; None if nothing is readable.
+def _listed(text: str) -> tuple[list[str], list[tuple[int, str]]]:
+    """The readable lines of a sheet, and number and option of those that answer an item."""
+    lines = [x for x in text.rstrip(_SPACE).split("\n") if any(map(str.isalnum, _TAG.sub("", x) if "<" in x else x))]
+    return lines, [(int(m[1]), _PUNCTUATION.sub(" ", m[2]).strip().casefold()) for m in map(_ITEM.match, lines) if m]
+
+
+def sheet_state(prompt: str | None, response: str | None) -> tuple[bool | None, str | None]:
+    """Whether an answer sheet stops before its list does, as (cut, word): None and None if
+    nothing is readable; None and a word if the terminality of that last word decides.
 
-    A sheet answers the numbered lines of its prompt. It is cut if its last line is a piece
-    of an option or a bare number, or if the answered numbers are exactly a leading part of
-    the prompt's. Skipped lines elsewhere are no cut. A response that answers no line is
-    judged as a text by its closing (an unpunctuated one is then cut).
+    The sheet is aligned with the numbered lines of its prompt: it is cut if the answered
+    numbers are exactly a leading part of the prompt's, or if its last line is a bare number.
+    Skipped lines elsewhere are no cut. A response that answers no line is judged as a text by
+    its closing (an unpunctuated one is then cut).
     """
     text = response or ""
     how = closing(text)
     if how == BLANK:
-        return None
+        return None, None
     asked = [int(m[1]) for m in map(_LISTED.match, (prompt or "").split("\n")) if m]
-    lines = [x for x in text.rstrip(_SPACE).split("\n") if any(map(str.isalnum, _TAG.sub("", x) if "<" in x else x))]
-    got = [(int(m[1]), m[2]) for m in map(_ITEM.match, lines) if m]
-    options: dict[str, int] = {}
-    for _, o in got:
-        key = re.sub(r"\W+", " ", o).strip().casefold()
-        options[key] = options.get(key, 0) + 1
-    if not asked or len(got) < 2 or sum(len(k) for k in options) > 40 * len(options):
-        return how in (CUT, OPEN)
-    known = set(options) if len(got) < 4 else {k for k, n in options.items() if n > 1 or len(options) <= 6} | _OPTIONS
+    lines, got = _listed(text)
+    options = {o for _, o in got}
+    if not asked or len(got) < 2 or sum(map(len, options)) > 40 * len(options):
+        return how in (CUT, OPEN), None
     last = lines[-1]
-    m = _ITEM.match(last)
-    if m or re.fullmatch(r"\W*\d{1,4}\W*", last):
-        o = re.sub(r"\W+", " ", m[2]).strip().casefold() if m else ""
-        if not o or (o not in _OPTIONS and (o not in known or any(k != o and k.startswith(o) for k in _OPTIONS))):
-            return True
+    if _ITEM.match(last) or _BARE.fullmatch(last):
+        option = got[-1][1] if _ITEM.match(last) else ""
+        if not option:
+            return True, None
         answered = {q for q, _ in got}
         missing = [q not in answered for q in asked]
         if any(missing) and missing == sorted(missing):
-            return True
-        return how == CUT and bool(_MARK.search(text.rstrip(_SPACE)[-16:]))
+            return True, None
+        if how == CUT and _MARK.search(text.rstrip(_SPACE)[-16:]):
+            return True, None
+        return None, option.rsplit(" ", 1)[-1]
     if how == CUT:
-        return True
+        return True, None
     # a closing line after the answers: whole, unless the line itself breaks off
-    return how == OPEN and not (last.rstrip().endswith((")", ".")) or all(q in {a for a, _ in got} for q in asked))
+    return how == OPEN and not (last.rstrip().endswith((")", ".")) or all(q in {a for a, _ in got} for q in asked)), None
 
 
-#: The four options of a sheet in the languages that occur.
-_OPTIONS = {
-    "strongly disagree", "disagree", "agree", "strongly agree",
-    "lehne stark ab", "lehne ab", "stimme zu", "stimme stark zu",
-    "pas du tout d accord", "pas d accord", "d accord", "tout à fait d accord",
-    "muy en desacuerdo", "en desacuerdo", "de acuerdo", "muy de acuerdo",
-    "discordo totalmente", "discordo", "concordo", "concordo totalmente",
-    "非常不同意", "不同意", "同意", "非常同意",
-}
+_PUNCTUATION = re.compile(r"\W+")
+_BARE = re.compile(r"\W*\d{1,4}\W*")
+_SHEETS = "kind int, id bigint, cut boolean, word string, total bigint, closed bigint"
+_SHEET_NAMES = [c.split()[0] for c in _SHEETS.split(", ")]
 
 
 def _sheets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row per sheet (kind 0), and for each word of the options how often it occurs in
+    lines before a sheet's last and how often it closes them (kind 1)."""
+    seen: dict[str, list[int]] = {}
     for b in batches:
-        got = [sheet_cut(p, t) for p, t in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(got, pa.bool_())], names=["id", "cut"])
+        prompts, texts = b.column(1).to_pylist(), b.column(2).to_pylist()
+        got = [sheet_state(p, t) for p, t in zip(prompts, texts, strict=True)]
+        options = Counter(o for t in texts for _, o in _listed(t or "")[1][:-1])
+        for o, n in options.items():
+            words = o.split(" ")
+            for w in words:
+                seen.setdefault(w, [0, 0])[0] += n
+            seen[words[-1]][1] += n
+        n, none = b.num_rows, pa.nulls(b.num_rows, pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array(np.zeros(n, np.int32)), b.column(0), pa.array([g[0] for g in got], pa.bool_()), pa.array([g[1] for g in got], pa.string()), none, none], names=_SHEET_NAMES)
+        if len(seen) > 200_000:
+            yield _options(seen)
+            seen = {}
+    yield _options(seen)
+
+
+def _options(seen: dict[str, list[int]]) -> pa.RecordBatch:
+    n = len(seen)
+    return pa.RecordBatch.from_arrays(
+        [pa.array(np.ones(n, np.int32)), pa.nulls(n, pa.int64()), pa.nulls(n, pa.bool_()), pa.array(list(seen), pa.string()), pa.array([x[0] for x in seen.values()], pa.int64()), pa.array([x[1] for x in seen.values()], pa.int64())],
+        names=_SHEET_NAMES,
+    )
 
 
 def cut_sheets(sheets: DataFrame, id_col: str = "sheet_id", prompt: str = "forcing_prompt", text: str = "response_text") -> DataFrame:
-    """(id, cut) of every answer sheet with a readable response; rows of null ids are left out."""
+    """(id, cut) of every answer sheet with a readable response; rows of null ids are left out.
+
+    A last line is whole if its closing word closes ``OPTION_CLOSES`` of its occurrences, and
+    at least two of them, in the lines before the last of all sheets.
+    """
     prepare(sheets.sparkSession)
     src = sheets.select(F.col(f"`{id_col}`").cast("bigint").alias("id"), F.col(f"`{prompt}`"), F.col(f"`{text}`")).filter(f"id is not null and `{text}` is not null")
-    return src.mapInArrow(_sheets, "id bigint, cut boolean").filter("cut is not null")
+    read = written(src.mapInArrow(_sheets, _SHEETS))
+    words = read.filter("kind = 1").groupBy("word").agg(F.sum("total").alias("total"), F.sum("closed").alias("closed"))
+    closes = words.filter((F.col("closed") >= 2) & (F.col("closed") >= OPTION_CLOSES * F.col("total"))).select("word", F.lit(True).alias("closes"))
+    rows = read.filter("kind = 0 and (cut is not null or word is not null)")
+    return rows.join(closes, "word", "left").select("id", F.coalesce("cut", F.col("closes").isNull()).alias("cut"))
 
 
 def cut_records(scored: DataFrame, sheets: DataFrame) -> DataFrame:
-    """(src, id, model, channel, cut): all records with readable text, cut by whatever cause.
+    """(src, id, model, channel, verdict, cut): all records with readable text, cut by whatever cause.
 
-    A record whose ``tokens_out`` reached ``max_tokens`` is cut however its text ends.
+    ``verdict`` is that of :func:`cut_texts`, ``cut-list`` for a sheet that stops before its
+    list, or ``cut-budget`` where ``tokens_out`` reached ``max_tokens`` and the text shows
+    nothing: such a record is cut however it ends.
     """
     full = F.coalesce(F.col("tokens_out") >= F.col("max_tokens"), F.lit(False))
-    a = cut_texts(scored.select(F.lit("scored").alias("src"), F.col("record_id").alias("id"), F.col("response_text").alias("text"))).select("id", (F.col("verdict") != "whole").alias("cut"))
+    a = cut_texts(scored.select(F.lit("scored").alias("src"), F.col("record_id").alias("id"), F.col("response_text").alias("text"))).select("id", "verdict")
     a = scored.select(F.col("record_id").cast("bigint").alias("id"), "model", "channel", full.alias("full")).join(a, "id").withColumn("src", F.lit("scored"))
-    b = sheets.select(F.col("sheet_id").cast("bigint").alias("id"), "model", "channel", full.alias("full")).join(cut_sheets(sheets), "id").withColumn("src", F.lit("sheets"))
-    return a.unionByName(b).select("src", "id", "model", "channel", (F.col("cut") | F.col("full")).alias("cut"))
+    b = cut_sheets(sheets).select("id", F.when(F.col("cut"), "cut-list").otherwise("whole").alias("verdict"))
+    b = sheets.select(F.col("sheet_id").cast("bigint").alias("id"), "model", "channel", full.alias("full")).join(b, "id").withColumn("src", F.lit("sheets"))
+    verdict = F.when((F.col("verdict") == "whole") & F.col("full"), "cut-budget").otherwise(F.col("verdict"))
+    return a.unionByName(b).select("src", "id", "model", "channel", verdict.alias("verdict")).withColumn("cut", F.col("verdict") != "whole")
 
 
 def cut_shares(records: DataFrame) -> DataFrame:

@@ -43,16 +43,21 @@ def test_verdicts(spark):
 PROMPT = "Rate each. Options: Strongly Disagree | Disagree | Agree | Strongly Agree.\n\n" + "\n".join(f"{q}. Statement number {q} holds." for q in (4, 2, 7, 1, 9, 3))
 
 
-@pytest.mark.parametrize(
-    ("response", "cut"),
-    [
+SHEETS = [
         ("4. Agree\n2. Disagree\n7. Agree\n1. Agree\n9. Agree\n3. Agree", False), ("4. Agree\n2. Disagree\n7. Agree\n1. Agree", True), ("4. Agree\n2. Disagree\n7. Agree\n1. Agree\n9. Agr", True), ("4. Agree\n2. Disagree\n7. Agree\n1", True),
         ("4. Agree\n7. Agree\n1. Agree\n9. Agree\n3. Agree", False), ("**4.** Agree\n**2.** Strongly Disagree\n**7.** Agree\n**1.** Strongly", True), ("4) De acuerdo\n2) De acuerdo\n7) En desacuerdo\n1) De acuerdo\n9) De acuerdo\n3) De acuerdo", False),
         ("I would rather not say.", False), ("**", None), (None, None), ("4. Agree\n2. Disagree\n7. Agree\n1. Agree\n9. Agree\n3. Agree\n\nEnd of sheet.", False), ("I think that the whole of the list is in", True),
-    ],
-)
-def test_sheets(response, cut):
-    assert T.sheet_cut(PROMPT, response) is cut
+]
+
+
+def test_sheets(spark):
+    known = "4. Agree\n4. Agree\n2. Strongly Agree\n7. Disagree\n7. Disagree\n1. Strongly Disagree\n9. En desacuerdo\n9. En desacuerdo\n9. De acuerdo\n9. De acuerdo\n3. Agree"
+    data = [(i, PROMPT, t) for i, (t, _) in enumerate(SHEETS)] + [(100, PROMPT, known), (None, PROMPT, known)]
+    df = spark.createDataFrame(data, "sheet_id long, forcing_prompt string, response_text string")
+    got = dict(rows(T.cut_sheets(df), "id", "cut"))
+    assert got.pop(100) is False
+    assert got == {i: cut for i, (_, cut) in enumerate(SHEETS) if cut is not None}
+    assert T.cut_sheets(df.limit(0)).count() == 0
 
 
 def test_full_budget_counts_whatever_the_text(spark):
