@@ -303,20 +303,23 @@ def shingles(hashes: np.ndarray, bounds: np.ndarray, size: int) -> tuple[np.ndar
     return h, np.searchsorted(bounds, at, "right") - 1
 
 
-def bands(hashes: np.ndarray, bounds: np.ndarray, size: int, n_bands: int, rows: int) -> tuple[np.ndarray, np.ndarray]:
-    """Min-hash band keys of each text with a shingle: (texts, band keys of shape (len, n_bands))."""
+def bands(hashes: np.ndarray, bounds: np.ndarray, size: int, n_bands: int, rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Min-hash band keys of each text with a shingle: (texts, band keys of shape (len,
+    n_bands), and four bits of each min-hash, sixteen to an integer)."""
     h, owner = shingles(hashes, bounds, size)
+    marks = -(-n_bands * rows // 16)
     if not len(h):
-        return np.zeros(0, np.int64), np.zeros((0, n_bands), np.uint64)
+        return np.zeros(0, np.int64), np.zeros((0, n_bands), np.uint64), np.zeros((0, marks), np.uint64)
     first = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
-    out = np.zeros((len(first), n_bands), np.uint64)
+    out, mark = np.zeros((len(first), n_bands), np.uint64), np.zeros((len(first), marks), np.uint64)
     for k in range(n_bands):
         acc = np.full(len(first), k + 1, np.uint64)
         for r in range(rows):
             i = k * rows + r
             x = (h ^ np.uint64((i * 0x9E3779B97F4A7C15 + 0x1B873593) % _MOD)) * np.uint64((i * 0xC2B2AE3D27D4EB4F + 0x165667B19E3779F9) % _MOD | 1)
-            x ^= x >> np.uint64(31)
-            acc = (acc ^ np.minimum.reduceat(x, first)) * np.uint64(0x9FB21C651E98DF25)
+            least = np.minimum.reduceat(x, first)
+            mark[:, i // 16] |= (mix64(least) >> np.uint64(60)) << np.uint64(4 * (i % 16))
+            acc = (acc ^ least) * np.uint64(0x9FB21C651E98DF25)
             acc ^= acc >> np.uint64(28)
         out[:, k] = acc
-    return owner[first], out
+    return owner[first], out, mark

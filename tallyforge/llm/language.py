@@ -101,13 +101,6 @@ def _vote(read) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     return np.where(zh, LANGUAGES.index("zh"), lang), sure, chinese, chars
 
 
-def detect_repeated(col, model: Model = None) -> np.ndarray:
-    """Index into LANGUAGES per text, each distinct text being read once."""
-    coded = kernels.string_array(col).dictionary_encode()
-    lang, _, _ = detect(coded.dictionary, model)
-    return lang[coded.indices.to_numpy()] if len(coded) else np.zeros(0, np.int64)
-
-
 def detect(col, model: Model = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Per text: index into LANGUAGES (-1 if nothing tells), the share of Han characters
     among its letters and digits, and the number of these."""

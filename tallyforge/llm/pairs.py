@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyforge.llm import kernels, truncation
-from tallyforge.llm.language import LANGUAGES, Model, detect, detect_repeated, learn
+from tallyforge.llm.language import LANGUAGES, Model, detect, learn
 from tallyforge.session import prepare
 
 ORDER = ("empty", "refusal", "copies_question", "truncated", "other_language")
@@ -42,7 +42,7 @@ _COURTESY = re.compile(
     r"|抱歉|对不起|谢谢|很遗憾|请|es tut mir leid|danke|bitte|leider|entschuldigung|désolé|je regrette|merci|lo siento|gracias|por favor|desculpe|obrigad|sinto muito)"
 )
 _QUIET = re.compile(r"[’'`*_#>]")
-_SENTENCE = re.compile(r"(?:[^.!?。！？\n]|\n(?!\n))*[.!?。！？]?")
+_STOP = re.compile(r"[.!?。！？]|\n{2,}")
 _ASKS = re.compile(
     r"\b(?:answer|reply|respond|write)\b[^.?!]{0,30}\bin (english|german|french|spanish|portuguese|chinese)\b|\bauf (englisch|deutsch|französisch|spanisch|portugiesisch|chinesisch)\b"
     r"|\ben (anglais|allemand|français|espagnol|portugais|chinois|inglés|alemán|francés|español|portugués|chino)\b|\bem (inglês|alemão|francês|espanhol|português|chinês)\b|用(英文|英语|德语|法语|西班牙语|葡萄牙语|中文)",
@@ -56,15 +56,21 @@ _NAMES = {
 _NAMED = {w: LANGUAGES.index(k) for k, v in _NAMES.items() for w in v.split()}
 
 
+def _sentence(text: str, at: int) -> tuple[str, int]:
+    """The sentence that starts at ``at``, folded for matching, and where the next one starts."""
+    m = _STOP.search(text, at)
+    end = m.end() if m else len(text)
+    return " ".join(_QUIET.sub("", text[at:end].lower()).strip(" \t\r\n -–—\"\u00a0\u200b").split()), end
+
+
 def declines(text: str) -> bool:
     """Whether a text declines and says nothing else, however long: at least one refusal
     phrase, and every sentence is one or a courtesy. Reading stops at the first sentence that
     is neither, so a refusal that goes on to answer does not count."""
-    found = False
-    for m in _SENTENCE.finditer(text):
-        s = _QUIET.sub("", m[0].lower()).strip(" \t\r\n -–—\"\u00a0\u200b")
+    found, at = False, 0
+    while at < len(text):
+        s, at = _sentence(text, at)
         if any(map(str.isalnum, s)):
-            s = " ".join(s.split())
             if _DECLINES.search(s):
                 found = True
             elif not _COURTESY.match(s):
@@ -72,7 +78,19 @@ def declines(text: str) -> bool:
     return found
 
 
-@functools.lru_cache(maxsize=4096)
+def _may_decline(texts: list[str]) -> np.ndarray:
+    """Texts whose first sentence with letters is a refusal phrase or a courtesy, matched for
+    all texts at once; no other text can be a refusal."""
+    first = []
+    for t in texts:
+        s, at = _sentence(t, 0)
+        while at < len(t) and not any(map(str.isalnum, s)):
+            s, at = _sentence(t, at)
+        first.append(s)
+    col = pa.array(first, pa.string())
+    return pc.or_(pc.match_substring_regex(col, _DECLINES.pattern), pc.match_substring_regex(col, _COURTESY.pattern)).to_numpy(zero_copy_only=False)
+
+
 def _asked(prompt: str) -> int:
     """The language that a prompt asks for, as an index; -1 for none."""
     m = _ASKS.search(prompt)
@@ -102,7 +120,7 @@ def _end(text: str | None) -> str:
 
 
 @functools.lru_cache(maxsize=4096)
-def _end_of_prompt(text: str | None) -> str:
+def _end_of_question(text: str | None) -> str:
     return _end(text)
 
 
@@ -141,27 +159,28 @@ _OUT = "src string, id bigint, empty boolean, refusal boolean, copies_question b
 def _judge(model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            prompts, questions = b.column(2).to_pylist(), b.column(3).to_pylist()
+            asked = b.column(2).dictionary_encode()
+            prompts = asked.dictionary.to_pylist()
+            wants = detect(asked.dictionary, model)[0] if len(asked.dictionary) else np.zeros(0, np.int64)
+            wants = [k if k >= 0 else w for k, w in zip(map(_asked, prompts), wants.tolist(), strict=True)]
+            ends = [_end(p) for p in prompts]
+            which, questions = asked.indices.to_pylist(), b.column(3).to_pylist()
             col = kernels.string_array(b.column(4))
             texts = col.to_pylist()
-            lang, han, n = detect(col, model)
-            plang = detect_repeated(b.column(2), model)
-            empty = n == 0
+            lang, han, n = (x.tolist() for x in detect(col, model))
+            empty = np.array(n) == 0
             for i in np.flatnonzero(pc.match_substring(col, "<").to_numpy(zero_copy_only=False)).tolist():
                 empty[i] = truncation.closing(texts[i]) == truncation.BLANK
             refusal, repeats, other = np.zeros((3, b.num_rows), bool)
+            for i in np.flatnonzero(_may_decline(texts) & ~empty).tolist():
+                refusal[i] = declines(texts[i])
             for i in np.flatnonzero(~empty).tolist():
-                p, q, t = prompts[i], questions[i], texts[i]
-                refusal[i] = declines(t)
-                if p is None:
+                if which[i] is None:
                     continue
-                if _end(t) in (_end_of_prompt(p), _end_of_prompt(q)):
+                p, q, t, want = prompts[which[i]], questions[i], texts[i], wants[which[i]]
+                if _end(t) in (ends[which[i]], _end_of_question(q)):
                     repeats[i] = copies(p, q, t)
-                asked = _asked(p)
-                want = asked if asked >= 0 else plang[i]
-                if want < 0 or (n[i] < 8 and han[i] < 0.3):
-                    continue
-                if lang[i] == want:
+                if want < 0 or lang[i] == want or (n[i] < 8 and han[i] < 0.3):
                     continue
                 rest = _after(t, q) or _after(t, p)
                 mine, chinese, size = (x[0] for x in detect(pa.array([rest]), model)) if rest else (lang[i], han[i], n[i])

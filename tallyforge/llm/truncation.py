@@ -37,6 +37,7 @@ from tallyforge.session import prepare, written
 
 SHINGLE, BANDS, ROWS = 5, 10, 3  # two texts of similarity 0.8 share no band in 1 of 1,300 cases
 SIMILAR = 0.8
+MOST_DIFFER = 16  # of 30 min-hashes; two texts of similarity 0.8 differ in more once in 200,000 cases
 EARLY_WORDS = 4
 TERSE_WORDS = 6
 CLOSES = 0.9  # terminality from which an unpunctuated closing word ends a sentence
@@ -118,7 +119,7 @@ def closing(text: str) -> int:
     return OPEN
 
 
-_FACTS = "kind int, src string, id bigint, h1 bigint, h2 bigint, n bigint, closing int, word bigint, total bigint, closed bigint, shingles bigint, bands array<bigint>"
+_FACTS = "kind int, src string, id bigint, h1 bigint, h2 bigint, n bigint, closing int, word bigint, total bigint, closed bigint, shingles bigint, bands array<bigint>, marks array<bigint>"
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -130,10 +131,11 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, starts, stop, bounds, cps = kernels.words(col, pre)
         number = np.concatenate([[0], np.cumsum((cps >= 48) & (cps < 58))])
         digits = number[stop] - number[starts]
-        owners, keys = kernels.bands(hashes, bounds, SHINGLE, BANDS, ROWS)
+        owners, keys, marks = kernels.bands(hashes, bounds, SHINGLE, BANDS, ROWS)
         band: list[list[int] | None] = [None] * b.num_rows
-        for o, k in zip(owners.tolist(), keys.view(np.int64).tolist(), strict=True):
-            band[o] = k
+        mark: list[list[int] | None] = [None] * b.num_rows
+        for o, k, m in zip(owners.tolist(), keys.view(np.int64).tolist(), marks.view(np.int64).tolist(), strict=True):
+            band[o], mark[o] = k, m
         sh, of = kernels.shingles(hashes, bounds, SHINGLE)
         sizes = np.bincount(of[np.unique(sh ^ kernels.mix64(of), return_index=True)[1]], minlength=b.num_rows)
         count = np.diff(bounds)
@@ -155,7 +157,7 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             [
                 pa.array(np.zeros(b.num_rows, np.int32)), b.column(0), b.column(1), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), pa.array(n),
                 pa.array([closing(t) for t in col.to_pylist()], pa.int32()), pa.array(last.view(np.int64)), pa.array(count.astype(np.int64)),
-                pa.array(np.zeros(b.num_rows, np.int64)), pa.array(sizes.astype(np.int64)), pa.array(band, pa.list_(pa.int64())),
+                pa.array(np.zeros(b.num_rows, np.int64)), pa.array(sizes.astype(np.int64)), pa.array(band, pa.list_(pa.int64())), pa.array(mark, pa.list_(pa.int64())),
             ],
             names=[c.split()[0] for c in _FACTS.split(", ")],
         )
@@ -171,7 +173,7 @@ def _vocabulary(seen: dict[int, list[int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
         [
             pa.array(np.ones(n, np.int32)), pa.nulls(n, pa.string()), zero, zero, zero, zero, pa.array(np.zeros(n, np.int32)), pa.array(list(seen), pa.int64()),
-            pa.array([x[0] for x in seen.values()], pa.int64()), pa.array([x[1] for x in seen.values()], pa.int64()), zero, pa.nulls(n, pa.list_(pa.int64())),
+            pa.array([x[0] for x in seen.values()], pa.int64()), pa.array([x[1] for x in seen.values()], pa.int64()), zero, pa.nulls(n, pa.list_(pa.int64())), pa.nulls(n, pa.list_(pa.int64())),
         ],
         names=[c.split()[0] for c in _FACTS.split(", ")],
     )
@@ -237,8 +239,8 @@ _PAIRS = "src string, id bigint, src2 string, id2 bigint"
 
 
 def _mates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs (shorter, longer) of texts that share a band and whose numbers of shingles allow
-    the similarity; rows come sorted by band key and size."""
+    """Pairs (shorter, longer) of texts that share a band and may reach the similarity by
+    their numbers of shingles and their min-hashes; rows come sorted by band key and size."""
     now, window = None, []
     for b in batches:
         key = b.column(0).to_numpy()
@@ -249,16 +251,27 @@ def _mates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         alone[:1] = alone[-1:] = False  # these may go on in the batch before or after
         some = b.take(pa.array(np.flatnonzero(~alone)))
         found = []
-        for k, *x in zip(*[c.to_pylist() for c in some.columns], strict=True):
+        for k, size, n, m1, m2, src, i in zip(*[c.to_pylist() for c in some.columns], strict=True):
             if k != now:
                 now, window = k, []
-            window = [y for y in window if y[0] >= SIMILAR * x[0] - 1e-6]
-            found += [(*x[2:], *y[2:]) if x[1] < y[1] else (*y[2:], *x[2:]) for y in window if x[1] != y[1]]
-            window.append(x)
+            least = SIMILAR * size - 1e-6
+            if window and window[0][0] < least:
+                window = [y for y in window if y[0] >= least]
+            for _, n2, o1, o2, src2, i2 in window:
+                if n != n2 and _differ(m1 ^ o1) + _differ(m2 ^ o2) <= MOST_DIFFER:
+                    found.append((src, i, src2, i2) if n < n2 else (src2, i2, src, i))
+            window.append((size, n, m1, m2, src, i))
         types = (pa.string(), pa.int64(), pa.string(), pa.int64())
         yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], t) for i, t in enumerate(types)], names=[c.split()[0] for c in _PAIRS.split(", ")])
 
 
+def _differ(x: int) -> int:
+    """How many groups of four bits are not zero."""
+    x |= x >> 1
+    x |= x >> 2
+    return (x & 0x1111111111111111).bit_count()
+
+
 def _early(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         short, long = kernels.string_array(b.column(0)), kernels.string_array(b.column(1))
@@ -274,8 +287,8 @@ def facts(texts: DataFrame) -> DataFrame:
 
 def early_copies(texts: DataFrame, read: DataFrame) -> DataFrame:
     """(h1, h2, n) of distinct texts that a longer near-copy continues."""
-    distinct = read.filter("kind = 0 and bands is not null").groupBy("h1", "h2", "n").agg(F.min(F.struct("src", "id")).alias("r"), F.max("shingles").alias("size"), F.first("bands").alias("bands"))
-    banded = distinct.select(F.explode("bands").alias("key"), F.col("size").cast("int").alias("size"), F.col("n").cast("int").alias("n"), "r.src", "r.id")
+    distinct = read.filter("kind = 0 and bands is not null").groupBy("h1", "h2", "n").agg(F.min(F.struct("src", "id")).alias("r"), F.max("shingles").alias("size"), F.first("bands").alias("bands"), F.first("marks").alias("marks"))
+    banded = distinct.select(F.explode("bands").alias("key"), F.col("size").cast("int").alias("size"), F.col("n").cast("int").alias("n"), F.col("marks")[0].alias("m1"), F.col("marks")[1].alias("m2"), "r.src", "r.id")
     pairs = banded.repartition("key").sortWithinPartitions("key", "size").mapInArrow(_mates, _PAIRS).distinct().select(F.struct("src", "id").alias("r"), F.struct("src2", "id2").alias("q"))
     pairs = written(pairs)
     body = texts.select("src", F.col("id").cast("bigint").alias("id"), "text")
