@@ -27,37 +27,64 @@ _TYPE = """CASE WHEN s = 'VOID' THEN NULL WHEN s = 'BOOLEAN' THEN 'boolean' WHEN
 
 def readable(lines: DataFrame, payload: str = "payload", collector: str = "collector", file_no: str = "file_no") -> DataFrame:
     """(collector, file_no, record): the lines that are JSON objects."""
+    text = F.col(f"`{payload}`")
     return (
-        lines.select(F.col(f"`{collector}`").alias("collector"), F.col(f"`{file_no}`").alias("file_no"), F.try_parse_json(F.col(f"`{payload}`")).alias("record"))
-        .filter("collector is not null and file_no is not null and try_variant_get(record, '$', 'map<string,variant>') is not null")
+        lines.filter(F.ltrim(text, F.lit(" \t\r\n")).startswith("{"))
+        .select(F.col(f"`{collector}`").alias("collector"), F.col(f"`{file_no}`").alias("file_no"), F.try_parse_json(text).alias("record"))
+        .filter("collector is not null and file_no is not null and record is not null")
     )
 
 
-def alternatives(records: DataFrame, depth: int = 1) -> DataFrame:
-    """(collector, file_no, path, type, value): each value of each path, tagged by its type.
+def _fields(records: DataFrame) -> DataFrame:
+    """(collector, file_no, pos, field, s, type, value): the top-level fields of each record;
+    one row without a field for a record that has none. Nulls have no type."""
+    each = records.sparkSession.tvf.variant_explode_outer(F.col("record").outer()).alias("e")
+    flat = records.lateralJoin(each).select("collector", "file_no", "e.pos", F.col("e.key").alias("field"), "e.value")
+    return flat.withColumn("s", F.schema_of_variant("value")).withColumn("type", F.expr(_TYPE))
 
-    ``depth`` 1 gives the top-level fields; more go into objects (``a.b``) and arrays
-    (``a[]``). Nulls are left out.
+
+def alternatives(records: DataFrame, depth: int | None = None) -> DataFrame:
+    """(collector, file_no, path, type, n): how often each path holds each type in each file.
+
+    Paths go into objects (``a.b``) and arrays (``a[]``), to ``depth`` levels or, without one,
+    as deep as any record does: a level is counted and its nested values are written before
+    the next, and the descent ends when none are left. Nulls are left out.
     """
-    spark = records.sparkSession
     level = records.select("collector", "file_no", F.lit("").alias("path"), F.col("record").alias("value"))
     out = None
-    for i in range(depth):
-        level.createOrReplaceTempView("_drift_level")
-        step = "concat(path, CASE WHEN e.key IS NULL THEN '[]' WHEN path = '' THEN e.key ELSE concat('.', e.key) END)"
-        level = spark.sql(f"SELECT collector, file_no, {step} AS path, e.value AS value FROM _drift_level, LATERAL variant_explode(value) AS e")
-        typed = level.withColumn("s", F.schema_of_variant("value")).withColumn("type", F.expr(_TYPE)).filter("type is not null")
-        part = typed.select("collector", "file_no", "path", "type", "s", "value")
-        out = part if out is None else out.unionByName(part)
-        if i + 1 < depth:
-            level = typed.filter("type in ('object', 'array')").select("collector", "file_no", "path", "value")
+    while depth is None or depth > 0:
+        each = records.sparkSession.tvf.variant_explode(F.col("value").outer()).alias("e")
+        step = F.expr("concat(path, CASE WHEN e.key IS NULL THEN '[]' WHEN path = '' THEN e.key ELSE concat('.', e.key) END)")
+        typed = level.lateralJoin(each).select("collector", "file_no", step.alias("path"), F.schema_of_variant("e.value").alias("s"), F.col("e.value").alias("value")).withColumn("type", F.expr(_TYPE))
+        counts = typed.filter("type is not null").groupBy("collector", "file_no", "path", "type").agg(F.count("*").alias("n"))
+        out = counts if out is None else out.unionByName(counts)
+        nested = typed.filter("s LIKE 'OBJECT<_%' or s LIKE 'ARRAY<_%'").filter("s not in ('OBJECT<>', 'ARRAY<>')").select("collector", "file_no", "path", "value")
+        if depth is not None:
+            depth -= 1
+            level = nested
+            continue
+        level = written(nested)
+        if level.isEmpty():
+            break
     return out
 
 
-def union_schema(records: DataFrame, depth: int = 3) -> DataFrame:
+def union_schema(records: DataFrame, depth: int | None = None) -> DataFrame:
     """(path, alternatives, n): the fused schema; several alternatives form a tagged union."""
-    counts = alternatives(records, depth).groupBy("path", "type").count()
-    return counts.groupBy("path").agg(F.array_sort(F.collect_list("type")).alias("alternatives"), F.sum("count").alias("n"))
+    counts = alternatives(records, depth).groupBy("path", "type").agg(F.sum("n").alias("n"))
+    return counts.groupBy("path").agg(F.array_sort(F.collect_list("type")).alias("alternatives"), F.sum("n").alias("n"))
+
+
+def appearing(records: DataFrame, depth: int | None = None) -> DataFrame:
+    """(collector, path, type, file_no, kind, n): each alternative that appears after a
+    collector's first file, where it does first; ``kind`` is ``path`` if the path is new with
+    it, ``type`` if the path then gets a further type. ``n`` counts it over all files."""
+    counts = alternatives(records, depth)
+    first = counts.groupBy("collector", "path", "type").agg(F.min("file_no").alias("file_no"), F.sum("n").alias("n"))
+    paths = first.groupBy("collector", "path").agg(F.min("file_no").alias("path_from"))
+    start = first.groupBy("collector").agg(F.min("file_no").alias("start"))
+    got = first.join(paths, ["collector", "path"]).join(start, "collector").filter("file_no > start")
+    return got.select("collector", "path", "type", "file_no", F.when(F.col("file_no") == F.col("path_from"), "path").otherwise("type").alias("kind"), "n")
 
 
 def _tokens() -> F.Column:
@@ -73,22 +100,21 @@ def _tokens() -> F.Column:
     )
 
 
-def contents(lines: DataFrame, **names: str) -> DataFrame:
-    """(collector, file_no, field, type, tag, token, n): how often each value (tag ``v``) and
-    shape (``s``) occurs, by its hash."""
-    bucketed = alternatives(readable(lines, **names)).select("collector", "file_no", F.col("path").alias("field"), "type", F.explode(_tokens()).alias("token"))
-    return bucketed.groupBy("collector", "file_no", "field", "type", F.substring("token", 1, 1).alias("tag"), F.xxhash64("token").alias("token")).agg(F.count("*").alias("n"))
+def counted(fields: DataFrame) -> DataFrame:
+    """(collector, file_no, field, type, n, records): values of each field and type, and
+    the records that begin with them (whose sum over a file is its number of records)."""
+    begins = F.count_if(F.coalesce("pos", F.lit(0)) == 0)
+    return fields.groupBy("collector", "file_no", "field", "type").agg(F.count("*").alias("n"), begins.alias("records"))
 
 
-def profiles(lines: DataFrame, counts: DataFrame, **names: str) -> DataFrame:
+def profiles(counts: DataFrame) -> DataFrame:
     """(collector, file_no, field, type, share, n): the fields that each file has.
 
     ``type`` is the most frequent of a field's types (the first by name on a tie), ``share``
     the share of readable records that hold the field, ``n`` its values of that type.
     """
-    total = readable(lines, **names).groupBy("collector", "file_no").agg(F.count("*").alias("records"))
-    by_type = counts.filter("tag = 'v'").groupBy("collector", "file_no", "field", "type").agg(F.sum("n").alias("n"))
-    best = by_type.groupBy("collector", "file_no", "field").agg(
+    total = counts.groupBy("collector", "file_no").agg(F.sum("records").alias("records"))
+    best = counts.filter("field is not null and type is not null").groupBy("collector", "file_no", "field").agg(
         F.sum("n").alias("held"), F.max_by(F.struct("type", "n"), F.struct("n", F.expr("-ascii(type) * 1000 - ascii(substr(type, 2, 1))"))).alias("b")
     )
     share = F.col("held") / F.col("records")
@@ -114,8 +140,8 @@ def changes(lines: DataFrame, **names: str) -> DataFrame:
     Lines that are not JSON objects, null collectors and null file numbers do not count; a
     file without a readable record is passed over. A collector's first file has no changes.
     """
-    counts = written(contents(lines, **names))
-    p = written(profiles(lines, counts, **names))  # a row per file and field, read four times below
+    fields = _fields(readable(lines, **names))
+    p = written(profiles(written(counted(fields))))  # a row per file and field, read four times below
     files = p.select("collector", "file_no").distinct().withColumn("before", F.lag("file_no").over(Window.partitionBy("collector").orderBy("file_no"))).filter("before is not null")
     cell = F.struct("type", "share", "n")
     now = files.join(p, ["collector", "file_no"]).select("collector", "file_no", "field", cell.alias("come"))
@@ -126,7 +152,11 @@ def changes(lines: DataFrame, **names: str) -> DataFrame:
     come = step.filter("gone is null").select("collector", "file_no", F.col("field").alias("g"), "come")
     least = F.expr("CASE gone.type " + " ".join(f"WHEN '{t}' THEN {v}" for t, v in SAME.items()) + " END")
     score = F.expr("overlap - 0.2 * abs(gone.share - come.share) - 0.01 * levenshtein(lower(f), lower(g)) / greatest(length(f), length(g))")
-    pairs = gone.join(come, ["collector", "file_no"]).filter("gone.type = come.type").withColumn("type", F.col("gone.type")).join(files, ["collector", "file_no"])
+    pairs = written(gone.join(come, ["collector", "file_no"]).filter("gone.type = come.type").withColumn("type", F.col("gone.type")).join(files, ["collector", "file_no"]))
+    sides = F.explode(F.array(F.struct(F.col("before").alias("file_no"), F.col("f").alias("field")), F.struct("file_no", F.col("g").alias("field")))).alias("x")
+    needed = written(pairs.select("collector", "type", sides).select("collector", "x.file_no", "x.field", "type").distinct())
+    tokens = fields.join(needed, ["collector", "file_no", "field", "type"]).select("collector", "file_no", "field", "type", F.explode(_tokens()).alias("token"))
+    counts = tokens.groupBy("collector", "file_no", "field", "type", F.substring("token", 1, 1).alias("tag"), F.xxhash64("token").alias("token")).agg(F.count("*").alias("n"))
     like = _overlaps(pairs, counts).withColumn("score", score).filter((F.col("score") >= least - 0.05))
     rank = F.struct(-F.col("score"), "f", "g")
     first = like.withColumn("a", F.row_number().over(Window.partitionBy("collector", "file_no", "f").orderBy(rank))).withColumn("b", F.row_number().over(Window.partitionBy("collector", "file_no", "g").orderBy(rank)))
@@ -138,22 +168,36 @@ def changes(lines: DataFrame, **names: str) -> DataFrame:
     )
 
 
-def consistent(lines: DataFrame, line_id: str = "line_id", payload: str = "payload", collector: str = "collector", file_no: str = "file_no") -> DataFrame:
-    """Every readable line in one table: (line_id, collector, file_no, fields, branches).
+BRANCHES = {"string": "string", "number": "double", "boolean": "boolean", "object": "string", "array": "string"}
+"""Types of a tagged union and what their branch holds; objects and arrays are JSON text."""
+
 
-    ``fields`` maps a field's first name in its collector to its canonical value as text;
-    ``branches`` maps ``name:type`` to the value for each type it occurs with. Names follow
-    the renamings that :func:`changes` finds; a name none applies to stays as it is.
+def consistent(lines: DataFrame, line_id: str = "line_id", payload: str = "payload", collector: str = "collector", file_no: str = "file_no") -> DataFrame:
+    """Every readable line in one table: (line_id, collector, file_no, fields, strings,
+    numbers, booleans, objects, arrays).
+
+    ``fields`` maps a field's first name in its collector to its canonical value, which is
+    text. The typed branches hold the value once more under its type: ``numbers`` as double,
+    ``booleans`` as boolean, the others as text; a conflict between types thus splits into
+    branches and never loses a value. Names follow the renamings that :func:`changes` finds; a
+    name none applies to stays. Where a record holds a field under its old and its new name,
+    the later in the record counts.
     """
     names = {"payload": payload, "collector": collector, "file_no": file_no}
-    steps = changes(lines, **names).filter("change_kind = 'renamed'").groupBy("collector").agg(F.array_sort(F.collect_list(F.struct("file_no", "field", "new_field"))).alias("steps"))
-    src = lines.select(F.col(f"`{line_id}`").alias("line_id"), F.col(f"`{collector}`").alias("collector"), F.col(f"`{file_no}`").alias("file_no"), F.try_parse_json(F.col(f"`{payload}`")).alias("record"))
-    known = src.withColumn("m", F.expr("try_variant_get(record, '$', 'map<string,variant>')")).filter("m is not null").join(steps, "collector", "left")
-    origin = "aggregate(reverse(filter(coalesce(steps, array()), s -> s.file_no <= file_no)), k, (n, s) -> CASE WHEN s.new_field = n THEN s.field ELSE n END)"
-    kind = "CASE WHEN schema_of_variant(v) = 'BOOLEAN' THEN 'boolean' WHEN schema_of_variant(v) = 'STRING' THEN 'string' WHEN schema_of_variant(v) LIKE 'OBJECT<%' THEN 'object' WHEN schema_of_variant(v) LIKE 'ARRAY<%' THEN 'array' ELSE 'number' END"
-    entries = f"transform(filter(map_entries(m), e -> schema_of_variant(e.value) <> 'VOID'), e -> named_struct('k', e.key, 'v', e.value))"
-    held = known.withColumn("e", F.expr(entries)).withColumn(
-        "e", F.expr(f"transform(e, x -> named_struct('name', {origin.replace(' k,', ' x.k,')}, 'type', {kind.replace('(v)', '(x.v)')}, 'value', try_variant_get(x.v, '$', 'string')))")
-    )
-    merged = "aggregate(e, cast(map() as map<string,string>), (a, x) -> map_concat(map_filter(a, (k, v) -> k <> {key}), map({key}, x.value)))"
-    return held.select("line_id", "collector", "file_no", F.expr(merged.format(key="x.name")).alias("fields"), F.expr(merged.format(key="concat(x.name, ':', x.type)")).alias("branches"))
+    steps = changes(lines, **names).filter("change_kind = 'renamed'")
+    steps = written(steps.groupBy("collector").agg(F.array_sort(F.collect_list(F.struct("file_no", "field", "new_field"))).alias("steps")))
+    text = F.col(f"`{payload}`")
+    src = lines.filter(F.ltrim(text, F.lit(" \t\r\n")).startswith("{")).select(F.col(f"`{line_id}`").alias("line_id"), F.col(f"`{collector}`").alias("collector"), F.col(f"`{file_no}`").alias("file_no"), F.try_parse_json(text).alias("record"))
+    src = src.filter("record is not null").join(steps, "collector", "left")
+    # the renamings up to a line's file, newest first; none for most lines, which then skip all of this
+    src = src.withColumn("past", F.expr("CASE WHEN steps IS NOT NULL THEN reverse(filter(steps, s -> s.file_no <= file_no)) END"))
+    origin = "CASE WHEN past IS NULL THEN e.key ELSE aggregate(past, e.key, (n, s) -> CASE WHEN s.new_field = n THEN s.field ELSE n END) END"
+    entries = f"transform(map_entries(try_variant_get(record, '$', 'map<string,variant>')), e -> named_struct('name', {origin}, 's', schema_of_variant(e.value), 'value', e.value))"
+    held = src.select("line_id", "collector", "file_no", "past", F.expr(entries).alias("e"))
+    held = held.withColumn("e", F.expr("filter(e, x -> x.s <> 'VOID')"))
+    held = held.withColumn("e", F.expr("CASE WHEN past IS NULL THEN e ELSE filter(e, (x, i) -> NOT exists(slice(e, i + 2, size(e)), y -> y.name = x.name)) END"))
+    kind = {"string": "x.s = 'STRING'", "boolean": "x.s = 'BOOLEAN'", "object": "x.s LIKE 'OBJECT<%'", "array": "x.s LIKE 'ARRAY<%'"}
+    kind["number"] = "NOT (" + " OR ".join(kind.values()) + ")"
+    branch = lambda t: F.expr(f"map_from_entries(transform(filter(e, x -> {kind[t]}), x -> struct(x.name, try_variant_get(x.value, '$', '{BRANCHES[t]}'))))")
+    fields = F.expr("map_from_entries(transform(e, x -> struct(x.name, try_variant_get(x.value, '$', 'string'))))")
+    return held.select("line_id", "collector", "file_no", fields.alias("fields"), *[branch(t).alias(f"{t}s") for t in BRANCHES])

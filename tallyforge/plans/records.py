@@ -36,12 +36,16 @@ def p3_schema(spark: SparkSession, d: str) -> DataFrame:
     return drift.union_schema(drift.readable(table(spark, d, "drift_lines"))).select("path", F.concat_ws("|", "alternatives").alias("alternatives"), "n")
 
 
+def p3_alternatives(spark: SparkSession, d: str) -> DataFrame:
+    return drift.appearing(drift.readable(table(spark, d, "drift_lines")))
+
+
 def p3_table(spark: SparkSession, d: str) -> DataFrame:
     t = drift.consistent(table(spark, d, "drift_lines"))
-    return t.select("line_id", "collector", "file_no", F.to_json("fields").alias("fields"), F.to_json("branches").alias("branches"))
+    return t.select("line_id", "collector", "file_no", *[F.to_json(c).alias(c) for c in t.columns[3:]])
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_sheets, p1_spans, p3_found, p3_schema, p3_table)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_sheets, p1_spans, p3_found, p3_schema, p3_alternatives, p3_table)}
 
 SQL = {
     "p1_found": """WITH b AS (SELECT CASE WHEN json_valid(payload) THEN payload::JSON END AS p FROM run_bundles), c AS (SELECT unnest(json_extract(p, '$.cells[*]')) AS c FROM b WHERE p IS NOT NULL), o AS (SELECT unnest(json_extract(c, '$.orders[*]')) AS o FROM c),

@@ -61,7 +61,8 @@ def test_union_schema_and_consistent_table(spark):
     t = drift.consistent(lines(spark, files)).filter("file_no = 2").collect()
     assert {r.fields.get("failure_mode") for r in t} == {"refused", "other", None}
     assert all("fail_kind" not in r.fields for r in t)
-    assert t[0].branches["n:number"] is not None
+    assert t[0].numbers["n"] is not None and t[0].strings["schema"] == "battery-run/1"
+    assert set(t[0].booleans) == {"flag"} and t[0].objects == t[0].arrays == {}
 
 
 def test_unlike_content_of_long_files_is_no_renaming(spark):
@@ -79,4 +80,19 @@ def test_the_registered_table_keeps_every_field(spark, tmp_path):
     lines(spark, {("c", 1): BASE, ("c", 2): [r | {"later": r["n"]} for r in BASE]}).write.parquet(f"{tmp_path}/drift_lines.parquet")
     got = records.p3_table(spark, str(tmp_path)).filter("line_id = 13").collect()[0]
     assert set(json.loads(got.fields)) == {"schema", "failure_mode", "flag", "n", "at", "later"}
-    assert {"later:number", "at:string", "flag:boolean"} <= set(json.loads(got.branches))
+    assert set(json.loads(got.numbers)) == {"n", "later"} and {"at", "schema"} <= set(json.loads(got.strings)) and set(json.loads(got.booleans)) == {"flag"}
+
+
+def test_conflicts_split_into_typed_branches_and_old_names_merge(spark):
+    files = {("c", 1): BASE, ("c", 2): [r | {"n": "x"} for r in moved("failure_mode", "fail_kind")], ("c", 3): [moved("failure_mode", "fail_kind")[0] | {"failure_mode": "late", "n": {"a": [1]}}]}
+    t = {r.line_id: r for r in drift.consistent(lines(spark, files)).collect()}
+    assert t[1].numbers["n"] == 0.0 and t[13].strings["n"] == "x" and json.loads(t[25].objects["n"]) == {"a": [1]}
+    assert t[25].fields["failure_mode"] == "late" and json.loads(t[25].fields["n"]) == {"a": [1]}
+
+
+def test_alternatives_that_appear_at_any_depth(spark):
+    deep = lambda x: {"a": {"b": [{"c": {"d": [{"e": x}]}}]}}
+    files = {("c", 1): [deep(1)], ("c", 2): [deep("s"), {"z": None}], ("c", 3): [deep("s"), {"z": True}], ("d", 1): [{"q": 1}]}
+    got = rows(drift.appearing(drift.readable(lines(spark, files))), "collector", "path", "type", "file_no", "kind", "n")
+    assert got == [("c", "a.b[].c.d[].e", "string", 2, "type", 2), ("c", "z", "boolean", 3, "path", 1)]
+    assert drift.appearing(drift.readable(lines(spark, {}))).count() == 0
