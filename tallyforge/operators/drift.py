@@ -157,7 +157,7 @@ def changes(lines: DataFrame, **names: str) -> DataFrame:
     needed = written(pairs.select("collector", "type", sides).select("collector", "x.file_no", "x.field", "type").distinct())
     tokens = fields.join(needed, ["collector", "file_no", "field", "type"]).select("collector", "file_no", "field", "type", F.explode(_tokens()).alias("token"))
     counts = tokens.groupBy("collector", "file_no", "field", "type", F.substring("token", 1, 1).alias("tag"), F.xxhash64("token").alias("token")).agg(F.count("*").alias("n"))
-    like = _overlaps(pairs, counts).withColumn("score", score).filter((F.col("score") >= least - 0.05))
+    like = _overlaps(pairs, written(counts)).withColumn("score", score).filter((F.col("score") >= least - 0.05))
     rank = F.struct(-F.col("score"), "f", "g")
     first = like.withColumn("a", F.row_number().over(Window.partitionBy("collector", "file_no", "f").orderBy(rank))).withColumn("b", F.row_number().over(Window.partitionBy("collector", "file_no", "g").orderBy(rank)))
     renamed = first.filter("a = 1 and b = 1").select("collector", "file_no", "f", "g")

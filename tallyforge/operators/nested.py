@@ -98,6 +98,18 @@ def flatten_records(df: DataFrame, payload: str, tables: list[Table], keep: list
     return {t.name: parsed.selectExpr(*names, f"inline({t.expression('_record')})") for t in tables}
 
 
+def stacked(df: DataFrame, payload: str, tables: dict[str, Table], columns: dict[str, dict[str, str]]) -> DataFrame:
+    """Rows of several tables under common ``columns`` (table name to output column to
+    expression over the table's row ``r``), with the table's name as ``child``: one parse of
+    each payload and one ``inline`` for all of them."""
+    parsed = df.select(F.try_parse_json(F.col(f"`{payload}`")).alias("_record")).filter("_record is not null")
+    parts = []
+    for name, t in tables.items():
+        fields = ", ".join(f"'{c}', {e}" for c, e in columns[name].items())
+        parts.append(f"transform({t.expression('_record')}, r -> named_struct('child', '{name}', {fields}))")
+    return parsed.selectExpr(f"inline(concat({', '.join(parts)}))")
+
+
 _CELL = Level("cells", {"model": ("model", "string"), "condition": ("condition", "string"), "provider": ("provider.served", "string")}, index="cell_no")
 _ORDER = Level("orders", {"shuffle_seed": ("shuffle_seed", "bigint")}, index="order_no")
 _SHEET = Level("sheets", {"sheet_id": ("sheet_id", "bigint"), "seed": ("seed", "bigint"), "renumbered": ("renumbered", "boolean"),
