@@ -6,8 +6,9 @@ combining, and every further member of a group is compared with the group's firs
 two skipping pointers (kernels.same_folded) before it counts as a copy.
 
 A group of copies may hold any share of the rows: only (key, hash, id) triples are grouped,
-as partial minima and counts, and the text comparison of a large group is salted, with the
-group's one first row repeated per salt.
+as partial minima and counts; members of a large group find their first row, and are compared
+with it, under a salt, the first row being repeated per salt. Rows that collide on all hashes
+but differ are grouped once more by a third hash, which is not polynomial.
 """
 
 from __future__ import annotations
@@ -117,16 +118,33 @@ def same_record(a: str | None, b: str | None) -> bool:
     return True
 
 
-def _verify(same):
+def record_digest(payload: str | None) -> int:
+    """A third hash of a JSON object, of its paths and folded values in the order of the paths."""
+    h = xxhash.xxh3_64()
+    for path, v in sorted(_leaves(_parse(payload) or {}, ""), key=lambda x: x[0]):
+        h.update(f"{path}={kernels.fold_digest(v) if isinstance(v, str) else _scalar(v)};")
+    return h.intdigest()
+
+
+def _verify(same, digest):
+    """Rows come sorted by group, salt and id; each is compared with the first of its group."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, last, body = None, None, None
         for b in batches:
-            a, c = b.column(2).to_pylist(), b.column(3).to_pylist()
-            yield b.select([0, 1]).filter(pa.array([x == y or same(x, y) for x, y in zip(a, c, strict=True)], pa.bool_()))
+            out = []
+            for first, salt, i, text in zip(*[c.to_pylist() for c in b.columns], strict=True):
+                if (first, salt) != group:
+                    group, last, body = (first, salt), i, text
+                elif i != last:
+                    last = i
+                    out.append((first, i, None if text == body or same(body, text) else digest(text) - (1 << 63)))
+            yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], pa.int64()) for k in range(3)], names=["first_id", "copy_id", "other"])
 
     return run
 
 
-def _copies(df: DataFrame, id_col: str, body: str, keys: Sequence[str], hasher, same) -> DataFrame:
+def _copies(df: DataFrame, id_col: str, body: str, keys: Sequence[str], hasher, same, digest) -> DataFrame:
     prepare(df.sparkSession)
     src = df.select(
         F.col(f"`{id_col}`").cast("bigint").alias("id"),
@@ -135,18 +153,21 @@ def _copies(df: DataFrame, id_col: str, body: str, keys: Sequence[str], hasher,
     ).filter("id is not null and body is not null")
     # the texts are hashed once; groups and members are both read from this narrow table
     hashed = written(src.mapInArrow(hasher, "id bigint, k bigint, h1 bigint, h2 bigint, n bigint").filter("n > 0"))
-    groups = hashed.groupBy("k", "h1", "h2").agg(F.min("id").alias("first_id"), F.count("*").alias("size")).filter("size > 1")
-    members = hashed.join(groups, ["k", "h1", "h2"]).select("id", "first_id", "size")
+    groups = written(hashed.groupBy("k", "h1", "h2").agg(F.min("id").alias("first_id"), F.count("*").alias("size")).filter("size > 1"))
+    salt = F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")
+    every = F.sequence(F.lit(0), F.lit(SALTS - 1))
+    hot = groups.filter(F.col("size") > SALT_ABOVE).select("k", "h1", "h2", F.col("first_id").alias("hot"), F.explode(every).alias("salt"))
+    cold = groups.filter(F.col("size") <= SALT_ABOVE).select(F.col("k").alias("part"), "h1", "h2", "first_id")
+    # a row of a hot group has its first row already and is spread by its own id
+    members = hashed.withColumn("salt", salt).join(hot, ["k", "h1", "h2", "salt"], "left").withColumn("part", F.when(F.col("hot").isNull(), F.col("k")).otherwise(F.col("id")))
+    members = members.join(cold, ["part", "h1", "h2"], "left").select("id", F.coalesce("hot", "first_id").alias("first_id"), F.col("hot").isNotNull().alias("large"), "salt").filter("first_id is not null")
     with_text = members.join(src.select("id", "body"), "id")
-    salts = F.when(F.col("size") > SALT_ABOVE, SALTS).otherwise(1)
-    copies = with_text.filter("id <> first_id").select(
-        "first_id", F.col("id").alias("copy_id"), F.col("body").alias("copy_body"), F.pmod(F.xxhash64("id"), salts).cast("int").alias("salt")
-    )
-    firsts = with_text.filter("id = first_id").dropDuplicates(["id"]).select(
-        "first_id", F.col("body").alias("first_body"), F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt")
-    )
-    pairs = copies.join(firsts, ["first_id", "salt"]).select("first_id", "copy_id", "first_body", "copy_body")
-    return pairs.mapInArrow(_verify(same), "first_id bigint, copy_id bigint")
+    parts = F.when(~F.col("large"), F.array(F.lit(0))).when(F.col("id") == F.col("first_id"), every).otherwise(F.array("salt"))
+    spread = with_text.select("first_id", F.explode(parts).alias("salt"), "id", "body")
+    checked = written(spread.repartition("first_id", "salt").sortWithinPartitions("first_id", "salt", "id").mapInArrow(_verify(same, digest), "first_id bigint, copy_id bigint, other bigint"))
+    others = checked.filter("other is not null")
+    again = others.join(others.groupBy("first_id", "other").agg(F.min("copy_id").alias("least")), ["first_id", "other"]).filter("copy_id <> least")
+    return checked.filter("other is null").select("first_id", "copy_id").unionByName(again.select(F.col("least").alias("first_id"), "copy_id").distinct())
 
 
 def text_copies(df: DataFrame, id_col: str, text_col: str, keys: Sequence[str] = ()) -> DataFrame:
@@ -158,7 +179,7 @@ def text_copies(df: DataFrame, id_col: str, text_col: str, keys: Sequence[str] =
     under one id count as one. An empty table gives no rows; other columns are ignored,
     whatever their names.
     """
-    return _copies(df, id_col, text_col, keys, _hash_texts, kernels.same_folded)
+    return _copies(df, id_col, text_col, keys, _hash_texts, kernels.same_folded, kernels.fold_digest)
 
 
 def record_copies(df: DataFrame, id_col: str, payload_col: str) -> DataFrame:
@@ -168,7 +189,7 @@ def record_copies(df: DataFrame, id_col: str, payload_col: str) -> DataFrame:
     field that is null differs from one that is absent. Payloads that are not JSON objects
     have no copies.
     """
-    return _copies(df, id_col, payload_col, (), _hash_records, same_record)
+    return _copies(df, id_col, payload_col, (), _hash_records, same_record, record_digest)
 
 
 def collapse(df: DataFrame, id_col: str, pairs: DataFrame) -> DataFrame:

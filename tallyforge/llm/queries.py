@@ -54,8 +54,14 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_collapsed(spark: SparkSession, d: str) -> DataFrame:
-    lines = table(spark, d, "raw_lines")
-    return dedup.collapse(lines.select("line_id", "file_name"), "line_id", dedup.record_copies(lines, "line_id", "payload"))
+    """Every record once, of both tables, and how many copies of it there are."""
+    pairs = p6_found(spark, d)
+    ids = {"scored": "record_id", "raw_lines": "line_id"}
+    kept = [
+        dedup.collapse(table(spark, d, src).select(F.col(key).alias("id")), "id", pairs.filter(F.col("src") == src)).select(F.lit(src).alias("src"), "id", "n_copies")
+        for src, key in ids.items()
+    ]
+    return kept[0].unionByName(kept[1])
 
 
 def p7_leaks(spark: SparkSession, d: str) -> DataFrame:
@@ -105,11 +111,15 @@ def _fold(x: str) -> str:
     return f"regexp_replace(replace(lower(nfc_normalize({x})), 'ß', 'ss'), '[^\\p{{L}}\\p{{N}}]', '', 'g')"
 
 
-SQL: dict[str, str] = {
-    "p6_found": f"""WITH s AS (SELECT record_id AS id, model, question_id, condition, seed, {_fold('response_text')} AS f FROM scored WHERE response_text IS NOT NULL), g AS (SELECT id, min(id) OVER (PARTITION BY model, question_id, condition, seed, f) AS first_id FROM s WHERE f <> ''),
+_COPIES = f"""s AS (SELECT record_id AS id, model, question_id, condition, seed, {_fold('response_text')} AS f FROM scored WHERE response_text IS NOT NULL), g AS (SELECT id, min(id) OVER (PARTITION BY model, question_id, condition, seed, f) AS first_id FROM s WHERE f <> ''),
   k AS (SELECT line_id, unnest(json_keys(payload)) AS k, payload FROM raw_lines WHERE json_valid(payload)), v AS (SELECT line_id, k, json_extract(payload, '$."' || k || '"') AS v FROM k),
-  r AS (SELECT line_id, string_agg(k || '=' || CASE json_type(v) WHEN 'VARCHAR' THEN 's' || {_fold("json_extract_string(v, '$')")} ELSE CAST(v AS VARCHAR) END, chr(1) ORDER BY k) AS f FROM v GROUP BY line_id), h AS (SELECT line_id AS id, min(line_id) OVER (PARTITION BY f) AS first_id FROM r)
-  SELECT 'scored' AS src, first_id, id AS copy_id FROM g WHERE id <> first_id UNION ALL SELECT 'raw_lines', first_id, id FROM h WHERE id <> first_id""",
+  r AS (SELECT line_id, string_agg(k || '=' || CASE json_type(v) WHEN 'VARCHAR' THEN 's' || {_fold("json_extract_string(v, '$')")} ELSE CAST(v AS VARCHAR) END, chr(1) ORDER BY k) AS f FROM v GROUP BY line_id), h AS (SELECT line_id AS id, min(line_id) OVER (PARTITION BY f) AS first_id FROM r),
+  pairs AS (SELECT 'scored' AS src, first_id, id AS copy_id FROM g WHERE id <> first_id UNION ALL SELECT 'raw_lines', first_id, id FROM h WHERE id <> first_id)"""
+
+SQL: dict[str, str] = {
+    "p6_found": f"WITH {_COPIES} SELECT * FROM pairs",
+    "p6_collapsed": f"""WITH {_COPIES}, a AS (SELECT 'scored' AS src, record_id AS id FROM scored UNION ALL SELECT 'raw_lines', line_id FROM raw_lines), n AS (SELECT src, first_id AS id, count(*) AS more FROM pairs GROUP BY src, first_id)
+  SELECT src, id, coalesce(more, 0) + 1 AS n_copies FROM a LEFT JOIN n USING (src, id) WHERE NOT EXISTS (SELECT 1 FROM pairs p WHERE p.src = a.src AND p.copy_id = a.id)""",
 }
 
 

@@ -75,6 +75,24 @@ def test_words_and_bands():
     assert b.tolist() == [0, 2, 2, 2, 4] and h[0] == h[3] and h[1] == h[2]
     text = " ".join(f"w{i}" for i in range(200))
     h, b = kernels.word_hashes(pa.array([text, text + " more", "a b"]))
-    owner, keys = kernels.bands(h, b, 5, 5, 3)
+    owner, keys, _ = kernels.bands(h, b, 5, 5, 3)
     assert owner.tolist() == [0, 1] and (keys[0] == keys[1]).any()
     assert kernels.bands(np.zeros(0, np.uint64), np.zeros(1, np.int64), 5, 5, 3)[1].shape == (0, 5)
+
+
+def test_rows_that_only_collide_are_grouped_among_themselves(spark, monkeypatch):
+    def clash(batches):
+        for b in batches:
+            one = pa.array([1] * b.num_rows, pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), one, one, one], names=["id", "k", "h1", "h2", "n"])
+
+    monkeypatch.setattr(dedup, "_hash_texts", clash)
+    data = [(1, "a b"), (2, "A-B"), (3, "c"), (4, "C!"), (5, "d"), (6, "ab"), (7, "(c)")]
+    got = rows(dedup.text_copies(spark.createDataFrame(data, "id long, t string"), "id", "t"))
+    assert got == [(1, 2), (1, 6), (3, 4), (3, 7)]
+    monkeypatch.setattr(dedup, "SALT_ABOVE", 2)
+    assert rows(dedup.text_copies(spark.createDataFrame(data, "id long, t string"), "id", "t")) == got
+
+
+def test_record_digest_ignores_form():
+    assert dedup.record_digest('{"a": "X y", "b": [1, null]}') == dedup.record_digest('{"b":[1.0,null],"a":"x-Y"}') != dedup.record_digest('{"a": "x", "b": [1]}')
