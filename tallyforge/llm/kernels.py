@@ -238,10 +238,11 @@ def fold_digest(text: str | None, step: int = 1 << 16) -> int:
     return h.intdigest()
 
 
-def words(col, pre=None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def words(col, pre=None, each_sign: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Words (runs of letters and digits, case aside) of all texts: their 64-bit hashes, first
     and past-last character, and per text the number of words before it; and the code points.
-    A word that goes on in the next block is carried over, so blocks do not show."""
+    A word that goes on in the next block is carried over, so blocks do not show. With
+    ``each_sign`` every sign of a script without spaces (Han, kana) is a word of its own."""
     t = tables()
     cps, off = pre or code_points(col)
     sums, widths, starts, stops = [], [], [], []
@@ -256,6 +257,12 @@ def words(col, pre=None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray
         stop = keep.copy()
         stop[:-1] &= ~keep[1:]
         stop[inner - 1] = keep[inner - 1]
+        if each_sign:
+            sign = keep & _signs(c)
+            start |= sign
+            stop |= sign
+            start[1:] |= keep[1:] & sign[:-1]
+            stop[:-1] |= keep[:-1] & sign[1:]
         s, e = np.flatnonzero(start), np.flatnonzero(stop) + 1
         pos = np.zeros(len(c) + 1, np.int64)
         np.cumsum(t.width[c], out=pos[1:])
@@ -272,6 +279,8 @@ def words(col, pre=None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray
     edge = np.flatnonzero((at[1:] == end[:-1]) & (at[1:] % BLOCK == 0)) + 1
     if len(edge):
         edge = edge[off[np.minimum(np.searchsorted(off, at[edge]), len(off) - 1)] != at[edge]]
+    if len(edge) and each_sign:
+        edge = edge[~_signs(cps[at[edge]]) & ~_signs(cps[at[edge] - 1])]
     if len(edge):
         whole = np.ones(len(at), bool)
         head = -1
@@ -286,9 +295,13 @@ def words(col, pre=None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray
     return hashes, at, end, np.searchsorted(at, off, "left"), cps
 
 
-def word_hashes(col) -> tuple[np.ndarray, np.ndarray]:
+def _signs(cps: np.ndarray) -> np.ndarray:
+    return ((cps >= 0x3040) & (cps < 0x3100)) | ((cps >= 0x3400) & (cps < 0xA000)) | (cps >= 0x20000)
+
+
+def word_hashes(col, each_sign: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words and, for each text, the number of words before it."""
-    got = words(col)
+    got = words(col, each_sign=each_sign)
     return got[0], got[3]
 
 

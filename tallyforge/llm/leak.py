@@ -7,7 +7,8 @@ local alignment of the whole passage decides, so substitutions, insertions and o
 inside it are tolerated.
 
 The items are read in blocks of at most ``BLOCK_WORDS`` words; each block's seeds go to the
-executors as one index of bounded size and meet every document. Any number of items
+executors as one index of bounded size, the build side of a hash join that every document
+probes as it is read. Any number of items
 therefore works, at one pass over the documents per block. What several items share is counted
 over all of them, and what a document holds is settled over all blocks, so that the blocks do
 not show in the result.
@@ -15,6 +16,7 @@ not show in the result.
 
 from __future__ import annotations
 
+import functools
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -81,7 +83,7 @@ class Index:
 
     def __init__(self, texts: dict[int, str]) -> None:
         self.ids = np.array(list(texts), np.int64)
-        self.words, self.bounds = kernels.word_hashes(pa.array(list(texts.values()), pa.string()))
+        self.words, self.bounds = kernels.word_hashes(pa.array(list(texts.values()), pa.string()), each_sign=True)
         owner = np.repeat(np.arange(len(self.ids)), np.diff(self.bounds))
         hs, at = [], []
         for p, h in _seeds(self.words, self.bounds):
@@ -91,9 +93,15 @@ class Index:
         order = np.argsort(h, kind="stable")
         self.h, self.at = h[order], p[order]
         self.item = owner[self.at] if len(self.at) else self.at
-        self.bits = 18
-        self.filter = np.zeros(1 << self.bits, bool)
-        self.filter[(self.h >> np.uint64(64 - self.bits)).astype(np.int64)] = True
+        # a slot for some forty seeds' worth of bits, whatever their number: one in forty windows passes by chance
+        self.bits = max(16, int(40 * len(self.h)).bit_length())
+
+    @functools.cached_property
+    def filter(self) -> np.ndarray:
+        """Which leading bits of a hash some seed has; made where it is used, not shipped."""
+        out = np.zeros(1 << self.bits, bool)
+        out[(self.h >> np.uint64(64 - self.bits)).astype(np.int64)] = True
+        return out
 
 
 def best_alignments(ps: list[np.ndarray], costs: list[np.ndarray], ds: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -211,7 +219,7 @@ _ALIGNED = "doc_id bigint, row bigint, score int, span int, start bigint, stop b
 def _scan(index: Index):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            words, bounds = kernels.word_hashes(b.column(2))
+            words, bounds = kernels.word_hashes(b.column(2), each_sign=True)
             hit_at, hit_seed = [], []
             for at, h in _seeds(words, bounds):
                 maybe = np.flatnonzero(index.filter[(h >> np.uint64(64 - index.bits)).astype(np.int64)])
@@ -274,8 +282,8 @@ def leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str =
 
     The document must hold ``MIN_SPAN`` or more consecutive passage words with at most one
     change for every ``CHANGED`` of them; tags and entities in the documents do not count as words. Null ids and null or blank texts on either side give no rows;
-    an item whose passage is shorter than a window cannot be found. Rows repeated under one
-    id count once. Other columns are ignored.
+    an item whose passage is shorter than a window cannot be found. In scripts without spaces
+    every sign counts as a word. Rows repeated under one id count once. Other columns are ignored.
     """
     spark = prepare(docs.sparkSession)
     items = items.select(F.col(f"`{item_id}`").cast("bigint").alias("item_id"), F.col(f"`{item_text}`").alias("text")).filter("item_id is not null and text is not null")

@@ -133,3 +133,19 @@ def test_blocks_do_not_show(spark, monkeypatch):
     whole = run(spark, data, items)
     monkeypatch.setattr(leak, "BLOCK_WORDS", 80)
     assert len(whole) >= 25 and run(spark, data, items) == whole
+
+
+def test_scripts_without_spaces(spark):
+    passage = "夜间登记员在河边的旧磨坊里检查了三百份许可证，而潮汐表在送达时已经湿透。"
+    docs = spark.createDataFrame([(1, f"前言。{passage}后记。"), (2, "完全不同的一段文字，谈的是另一件事情，与前面的内容毫无关系。"), (3, passage[:12])], "doc_id long, text string")
+    items = spark.createDataFrame([(7, f"请阅读。{passage}")], "item_id long, text string")
+    assert rows(leak.leaks(docs, items), "doc_id", "item_id") == [(1, 7)]
+
+
+@pytest.mark.parametrize("words", [2_000, 2_000_000])
+def test_blocks_of_the_real_items_do_not_show(spark, data, monkeypatch, words):
+    monkeypatch.setattr(leak, "BLOCK_WORDS", words)
+    docs, items = (spark.read.parquet(f"{data}/{t}.parquet") for t in ("documents", "eval_items"))
+    got = rows(leak.leaks(docs, items), "doc_id", "item_id")
+    monkeypatch.setattr(leak, "BLOCK_WORDS", 50_000)
+    assert got and got == rows(leak.leaks(docs, items), "doc_id", "item_id")
