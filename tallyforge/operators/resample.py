@@ -1,24 +1,46 @@
 """Resampling whose draws are functions of their names, not of a generator's state.
 
-Draw ``i`` of replicate ``b`` for a key is the first 32 bits of md5("seed|key|b|i") modulo n:
-results depend neither on partitioning nor on row order, and SQL can repeat them.
+Draw ``i`` of replicate ``b`` for a key starts from a number made of the seed, the key's md5, b
+and i, and raises it three times to the fifth power modulo a prime, a bijection each time:
+results depend neither on partitioning nor on row order, and SQL, Spark and numpy compute the
+same ones.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyforge.functions import stats
 
+PRIME = 2**31 - 1
+STEPS = (7919, 104729, 1299709)  # for seed, replicate and draw
+ROUNDS = (12345, 67890, 424242)
+
 
 def draw(seed: int, key: Column, b: Column, i: Column, n: Column) -> Column:
     """Index 0..n-1 of one draw."""
-    name = F.concat_ws("|", F.lit(str(seed)), key.cast("string"), b.cast("string"), i.cast("string"))
-    return F.pmod(F.conv(F.substring(F.md5(name), 1, 8), 16, 10).cast("bigint"), n)
+    name = F.conv(F.substring(F.md5(key.cast("string")), 1, 8), 16, 10).cast("bigint")
+    x = (name + F.lit(seed * STEPS[0]).cast("bigint") + b.cast("bigint") * STEPS[1] + i.cast("bigint") * STEPS[2]) % PRIME
+    for c in ROUNDS:
+        square = x * x % PRIME
+        x = (square * square % PRIME * x + c) % PRIME
+    return x % n
+
+
+def draws(seed: int, key: str, b: np.ndarray, i: np.ndarray, n: int) -> np.ndarray:
+    """:func:`draw` for arrays of replicates and draws."""
+    start = int(hashlib.md5(key.encode()).hexdigest()[:8], 16) + seed * STEPS[0]
+    x = (np.int64(start) + b.astype(np.int64) * STEPS[1] + i.astype(np.int64) * STEPS[2]) % PRIME
+    for c in ROUNDS:
+        square = x * x % PRIME
+        x = (square * square % PRIME * x + c) % PRIME
+    return x % n
 
 
 def _tasks(df: DataFrame) -> int:
@@ -50,6 +72,14 @@ def interval(means: DataFrame, key: str, value: str, reps: int) -> DataFrame:
     return means.groupBy(key).agg(at(0.025).alias("lo"), at(0.975).alias("hi"), p.alias("p"))
 
 
+def bootstrap_of(units: DataFrame, key: str, order: list[str], statistic: Column, reps: int = 200, seed: int = 1) -> DataFrame:
+    """Interval and p of any aggregate expression over resampled rows of ``units``."""
+    names = [c for c in units.columns if c != key]
+    row = units.select(key, F.struct(*names).alias("_row"), *order)
+    drawn = replicates(row, key, order, "_row", reps, seed).select(key, "b", "value.*")
+    return interval(drawn.groupBy(key, "b").agg(statistic.alias("m")), key, "m", reps)
+
+
 def bootstrap_mean(units: DataFrame, key: str, order: list[str], value: str, reps: int = 200, seed: int = 1) -> DataFrame:
     """Mean of each key's units with its percentile interval and two-sided p."""
     means = replicates(units, key, order, value, reps, seed).groupBy(key, "b").agg(F.avg("value").alias("m"))
@@ -80,8 +110,10 @@ def _exact(groups: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def exact_permutation(units: DataFrame, key: str, group: str, value: str, most: int = 12) -> DataFrame:
     """(key, p): exact two-sided permutation p of small groups, null beyond ``most`` a side."""
     g = units.groupBy(F.col(key).alias("key")).agg(F.array_sort(F.collect_list(F.when(F.col(group), F.col(value)))).alias("a"), F.array_sort(F.collect_list(F.when(~F.col(group), F.col(value)))).alias("b"))
-    g = g.filter((F.size("a") > 0) & (F.size("b") > 0) & (F.size("a") <= most) & (F.size("b") <= most))
-    return g.mapInPandas(_exact, "key string, p double")
+    small = (F.size("a") <= most) & (F.size("b") <= most)
+    g = g.filter((F.size("a") > 0) & (F.size("b") > 0))
+    large = g.filter(~small).select("key", F.lit(None).cast("double").alias("p"))
+    return g.filter(small).mapInPandas(_exact, "key string, p double").unionByName(large)
 
 
 def restricted_null(table: dict[str, list[float]], most: int = 400_000) -> tuple[float, float] | None:

@@ -116,15 +116,6 @@ def split_half(spark, d):
     return g.select("model", "condition", "sheets", F.round(F.expr("a - b"), 9).alias("gap"))
 
 
-@R.add(f"""WITH {_SHEETPOS}, m AS (SELECT model, CASE WHEN channel = 'hosted' THEN 'h' ELSE 'l' END AS arm, avg(x) FILTER (WHERE sp.condition = 'A') AS a, avg(x) FILTER (WHERE sp.condition = 'N') AS n FROM (SELECT sp.*, s.channel FROM sp JOIN sheets s USING (sheet_id)) sp GROUP BY 1, 2)
-  SELECT ROUND(avg(CASE WHEN arm = 'h' THEN a - n END) - avg(CASE WHEN arm = 'l' THEN a - n END), 9) AS interaction, count(*) FILTER (WHERE a IS NOT NULL AND n IS NOT NULL) AS cells FROM m""")
-def interaction(spark, d):
-    p = _positions(spark, d, ["sheet_id", "model", "condition", "channel"]).withColumn("arm", F.when(F.col("channel") == "hosted", "h").otherwise("l"))
-    m = p.groupBy("model", "arm").agg(*[F.avg(F.when(F.col("condition") == c.upper(), F.col("position"))).alias(c) for c in "an"])
-    gap = lambda arm: F.avg(F.when(F.col("arm") == arm, F.expr("a - n")))
-    return m.agg(F.round(gap("h") - gap("l"), 9).alias("interaction"), F.count_if(F.col("a").isNotNull() & F.col("n").isNotNull()).alias("cells"))
-
-
 _DROPS = "dr0 AS (SELECT s.sheet_id, len(list_filter(range(1, 33), lambda i: NOT list_contains(list_transform(s.answers, lambda x: x.q), i))) AS k FROM sheets s WHERE coalesce(n_answers, 0) BETWEEN 16 AND 31)"
 
 
@@ -173,15 +164,6 @@ def equivalence_bounds(spark, d):
     return m.select("model", F.round("x", 9).alias("effect"), F.round("h", 9).alias("half_width"), F.when(F.col("s") == 0, "degenerate").when(F.abs("x") + F.col("h") < 1, "within margin").otherwise("not excluded").alias("verdict"))
 
 
-@R.add(f"""WITH {_PQ}, m AS (SELECT model, avg(b - a) AS x FROM pq GROUP BY model HAVING count(b - a) > 0) SELECT 'score drops under instruction' AS prediction, count(*) FILTER (WHERE x < 0) AS hits, count(*) AS models, ROUND(count(*) FILTER (WHERE x < 0) / count(*), 9) AS rate,
-  CASE WHEN count(*) FILTER (WHERE x < 0) / count(*) >= 0.8 THEN 'supported' WHEN count(*) FILTER (WHERE x < 0) / count(*) <= 0.5 THEN 'refuted' ELSE 'mixed' END AS verdict FROM m""")
-def prediction_scores(spark, d):
-    q = C.pair_arms(C.replicate_means(table(spark, d, "scored"), _KEY), ["model", "question_id"], "condition", "mean_score", ["A", "B"])
-    m = q.groupBy("model").agg(F.avg(F.expr("B - A")).alias("x")).filter("x is not null")
-    rate = F.count_if(F.col("x") < 0) / F.count("*")
-    return m.agg(F.lit("score drops under instruction").alias("prediction"), F.count_if(F.col("x") < 0).alias("hits"), F.count("*").alias("models"), F.round(rate, 9).alias("rate"), F.when(rate >= 0.8, "supported").when(rate <= 0.5, "refuted").otherwise("mixed").alias("verdict"))
-
-
 @R.add(f"""WITH {ELIG} SELECT run, model, condition, count(*) FILTER (WHERE reason IS NULL AND score_classifier IS NOT NULL) AS eligible FROM elig GROUP BY run, model, condition ORDER BY eligible, run, model, condition LIMIT 15""")
 def smallest_cells(spark, d):
     e = _elig(spark, d).groupBy("run", "model", "condition").agg(F.count_if(F.col("reason").isNull() & F.col("score_classifier").isNotNull()).alias("eligible"))

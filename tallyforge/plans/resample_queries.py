@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tallyforge.functions import stats
+from tallyforge.operators import contrast as K
 from tallyforge.operators import resample as B
 from tallyforge.operators import scored as C
 from tallyforge.operators import sheets as S
@@ -16,7 +17,9 @@ REPS = 200
 
 
 def draw_sql(key: str, n: str = "n", seed: int = 1) -> str:
-    return f"('0x' || substr(md5(concat_ws('|', '{seed}', {key}, b, i)), 1, 8))::BIGINT % {n}"
+    p = B.PRIME
+    start = f"(('0x' || substr(md5(CAST({key} AS VARCHAR)), 1, 8))::BIGINT + {seed * B.STEPS[0]} + b::BIGINT * {B.STEPS[1]} + i::BIGINT * {B.STEPS[2]}) % {p}"
+    return f"list_reduce([{start}, {', '.join(map(str, B.ROUNDS))}], lambda x, c: ((x * x % {p}) * (x * x % {p}) % {p} * x + c) % {p}) % {n}"
 
 
 def boot_sql(units: str, key: str, order: str, value: str, reps: int = REPS) -> str:
@@ -70,16 +73,44 @@ _POS = f"""{ANS}, hv AS (SELECT sheet_id, model, condition, pair_no, max(CASE WH
   sp AS (SELECT sheet_id, model || '#' || condition AS arm, model, condition, pair_no, (c - dd) / 2.0 AS x FROM hv WHERE c IS NOT NULL AND dd IS NOT NULL AND condition IN ('A', 'N')), st AS (SELECT DISTINCT arm, sheet_id FROM sp)"""
 
 
-@R.add(f"""WITH {_POS}, {boot_sql('st', 'arm', 'sheet_id', 'sheet_id', 100)}, pm AS (SELECT sp.model, sp.condition, dr.b, sp.pair_no, avg(sp.x) AS x FROM dr JOIN sp ON sp.sheet_id = dr.value AND sp.arm = dr.key GROUP BY ALL),
-  e AS (SELECT p.model, p.b, ROUND(avg(q.x - p.x), 9) AS m FROM pm p JOIN pm q ON p.model = q.model AND p.b = q.b AND p.pair_no = q.pair_no AND p.condition = 'N' AND q.condition = 'A' GROUP BY p.model, p.b)
-  SELECT model, ROUND(list_sort(list(m))[3], 6) AS lo, ROUND(list_sort(list(m))[98], 6) AS hi, count(*) AS draws FROM e GROUP BY model""")
+DRAWS = 1_000  # of the queries that SQL repeats; sheet_contrast_full takes the 20,000 of the study
+FULL_DRAWS = 20_000
+
+
+def contrast_sql(pos: str, contrasts: list[tuple[str, str]], reps: int) -> str:
+    """CTE ``ct`` (model, contrast, n_pairs, sheets of both arms, effect, lo, hi, p) from ``sp``."""
+    values = ", ".join(f"('{a}', '{b}')" for a, b in contrasts)
+    return f"""{pos}, st AS (SELECT DISTINCT arm, sheet_id FROM sp), {boot_sql('st', 'arm', 'sheet_id', 'sheet_id', reps)}, cs(ca, cb) AS (VALUES {values}),
+  pm AS (SELECT sp.model, sp.condition, dr.b, sp.pair_no, avg(sp.x) AS x FROM dr JOIN sp ON sp.sheet_id = dr.value AND sp.arm = dr.key GROUP BY ALL),
+  e AS (SELECT p.model, ca, cb, p.b, ROUND(avg(p.x - q.x), 9) AS m FROM cs JOIN pm p ON p.condition = ca JOIN pm q ON q.condition = cb AND p.model = q.model AND p.b = q.b AND p.pair_no = q.pair_no GROUP BY p.model, ca, cb, p.b),
+  ci AS (SELECT model, ca, cb, list_sort(list(m)) AS s, count(*) AS k, count(*) FILTER (WHERE m <= 0) AS lo_, count(*) FILTER (WHERE m >= 0) AS hi_ FROM e GROUP BY model, ca, cb),
+  om AS (SELECT model, condition, pair_no, avg(x) AS x FROM sp GROUP BY model, condition, pair_no), nn AS (SELECT model, condition, count(DISTINCT sheet_id) AS n FROM sp GROUP BY model, condition),
+  ef AS (SELECT p.model, ca, cb, count(*) AS n_pairs, avg(p.x - q.x) AS effect FROM cs JOIN om p ON p.condition = ca JOIN om q ON q.condition = cb AND p.model = q.model AND p.pair_no = q.pair_no GROUP BY p.model, ca, cb),
+  ct AS (SELECT ef.model, ef.ca || '-' || ef.cb AS contrast, n_pairs, x.n AS n_sheets_a, y.n AS n_sheets_b, effect, s[least(floor(0.025 * k)::INT, k - 1) + 1] AS lo, s[least(floor(0.975 * k)::INT, k - 1) + 1] AS hi, least(1.0, 2 * (least(lo_, hi_) + 1) / (k + 1)) AS p
+  FROM ef JOIN ci ON ci.model = ef.model AND ci.ca = ef.ca AND ci.cb = ef.cb JOIN nn x ON x.model = ef.model AND x.condition = ef.ca JOIN nn y ON y.model = ef.model AND y.condition = ef.cb)"""
+
+
+def positions(spark, d, key):
+    return S.pair_positions(S.answers(table(spark, d, "sheets")), table(spark, d, "item_bank"), key)
+
+
+_POSITIONS = _POS.split(", st AS")[0].replace(" AND condition IN ('A', 'N')", "")
+ROUNDED = ["model", "contrast", "n_pairs", "n_sheets_a", "n_sheets_b", *[f"ROUND({c}, 6) + 0.0 AS {c}" for c in ("effect", "lo", "hi", "p")]]
+_FLAGS = ["n_sheets_a = 1 OR n_sheets_b = 1 AS single_sheet_arm", "lo > 0 OR hi < 0 AS excludes_zero"]
+
+
+@R.add(f"WITH {contrast_sql(_POSITIONS, [('A', 'N')], DRAWS)} SELECT {', '.join(ROUNDED + _FLAGS)} FROM ct")
 def sheet_contrast(spark, d):
-    p = S.pair_positions(S.answers(table(spark, d, "sheets")).filter("condition in ('A', 'N')"), table(spark, d, "item_bank"), ["sheet_id", "model", "condition"]).withColumn("arm", F.concat_ws("#", "model", "condition"))
-    drawn = B.replicates(p.select("arm", "sheet_id").distinct(), "arm", ["sheet_id"], "sheet_id", 100, 1).withColumnRenamed("value", "sheet_id")
-    pm = drawn.join(p, ["arm", "sheet_id"]).groupBy("model", "b", "pair_no").agg(*[F.avg(F.when(F.col("condition") == c, F.col("position"))).alias(c) for c in "AN"]).dropna()
-    e = pm.groupBy("model", "b").agg(F.round(F.avg(F.expr("A - N")), 9).alias("m"))
-    s = F.sort_array(F.collect_list("m"))
-    return e.groupBy("model").agg(F.round(F.element_at(s, 3), 6).alias("lo"), F.round(F.try_element_at(s, F.lit(98)), 6).alias("hi"), F.count("*").alias("draws"))
+    return _sheet_contrast(spark, d, DRAWS)
+
+
+def _sheet_contrast(spark, d, reps):
+    return K.sheet_contrasts(positions(spark, d, ["sheet_id", "model", "condition"]), [("A", "N")], reps).selectExpr(*ROUNDED, *_FLAGS)
+
+
+@R.add()
+def sheet_contrast_full(spark, d):
+    return _sheet_contrast(spark, d, FULL_DRAWS)
 
 
 @R.add(f"""WITH {_DELTAS}, rw AS (SELECT split_part(model, '/', 1) AS key, model, question_id, delta AS value, (substr(question_id, 1, 3) < 'T10')::INT AS g FROM u), nr AS (SELECT key, g, value, row_number() OVER (PARTITION BY key ORDER BY model, question_id) AS i FROM rw),
@@ -92,19 +123,16 @@ def permutation_test(spark, d):
     return r.select("vendor", F.round("effect", 6).alias("effect"), F.round("p", 6).alias("p"))
 
 
-@R.add(f"""WITH {ANS}, cc AS (SELECT model || '#' || condition AS cell, sheet_id FROM ans GROUP BY model, condition, sheet_id), hh AS (SELECT cell || '#' || h AS half, sheet_id FROM cc, (VALUES (1), (2)) t(h)), {boot_sql('hh', 'half', 'sheet_id', 'sheet_id', 20)},
+NOISE_DRAWS = 2_000
+
+
+@R.add(f"""WITH {ANS}, cc AS (SELECT model || '#' || condition AS cell, sheet_id FROM ans GROUP BY model, condition, sheet_id), hh AS (SELECT cell || '#' || h AS half, sheet_id FROM cc, (VALUES (1), (2)) t(h)), {boot_sql('hh', 'half', 'sheet_id', 'sheet_id', NOISE_DRAWS)},
   mo AS (SELECT key, b, q, position AS x FROM (SELECT dr.key, dr.b, ans.q, ans.position, row_number() OVER (PARTITION BY dr.key, dr.b, ans.q ORDER BY count(*) DESC, ans.position) AS r FROM dr JOIN ans ON ans.sheet_id = dr.value GROUP BY dr.key, dr.b, ans.q, ans.position) WHERE r = 1),
   ds AS (SELECT substr(p.key, 1, length(p.key) - 2) AS cell, p.b, count(*) FILTER (WHERE (p.x >= 2) <> (z.x >= 2)) AS flips FROM mo p JOIN mo z ON right(p.key, 2) = '#1' AND z.key = substr(p.key, 1, length(p.key) - 2) || '#2' AND p.b = z.b AND p.q = z.q GROUP BY ALL)
-  SELECT cell, ROUND(avg(flips), 6) AS mean_flips, max(flips) AS most_flips FROM ds GROUP BY cell""")
+  SELECT cell, ROUND(avg(flips), 6) AS mean_flips, max(flips) AS most_flips, list_sort(list(flips))[floor(0.9 * count(*))::INT] AS p90_flips FROM ds GROUP BY cell""")
 def modal_noise(spark, d):
     ans = S.answers(table(spark, d, "sheets")).withColumn("cell", F.concat_ws("#", "model", "condition"))
-    halves = ans.select("cell", "sheet_id").distinct().withColumn("half", F.explode(F.array(F.concat("cell", F.lit("#1")), F.concat("cell", F.lit("#2")))))
-    drawn = B.replicates(halves, "half", ["sheet_id"], "sheet_id", 20, 1).withColumnRenamed("value", "sheet_id")
-    m = S.modal(drawn.join(ans.select("sheet_id", "q", "position"), "sheet_id"), ["half", "b"])
-    m = m.withColumn("cell", F.expr("left(half, length(half) - 2)")).withColumn("h", F.expr("right(half, 1)"))
-    both = m.groupBy("cell", "b", "q").agg(*[F.max(F.when(F.col("h") == h, F.col("modal"))).alias(f"x{h}") for h in "12"]).dropna()
-    f = both.groupBy("cell", "b").agg(F.count_if((F.col("x1") >= 2) != (F.col("x2") >= 2)).alias("flips"))
-    return f.groupBy("cell").agg(F.round(F.avg("flips"), 6).alias("mean_flips"), F.max("flips").alias("most_flips"))
+    return K.modal_noise(ans, "cell", NOISE_DRAWS).withColumn("mean_flips", F.round("mean_flips", 6))
 
 
 @R.add()
