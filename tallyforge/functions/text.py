@@ -2,14 +2,50 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 WORD = r"[\p{L}\p{N}_]+"
 
-#: Hedging phrases counted by the phrase form, and markers of a refusal.
+#: Hedging phrases counted by the phrase form.
 HEDGES = ("perhaps", "possibly", "probably", "apparently", "arguably", "largely", "partly", "generally", "cannot be ruled out", "it is fair to ask")
-REFUSAL_PATTERNS = ("i can't help", "i have to decline", "rather not", "against my guidelines", "won't be answering", "pass on this question", "no comment from my side", "stay silent", "beyond what i can provide", "not able to take a position", "inappropriate for me")
+
+#: Markers that open a hedging clause.
+HEDGE_MARKERS = (
+    r"\bhowever\b", r"\bon the other hand\b", r"\bsome (?:would |might )?argue\b",
+    r"\bit depends\b", r"\bcomplex\b", r"\bnuanced\b", r"\bmultifaceted\b",
+    r"\bthere are valid (?:arguments|concerns|points)\b",
+    r"\bboth sides\b", r"\bperspectives?\b", r"\bcontested\b", r"\bdebatable\b",
+    r"\bone could argue\b", r"\bsome people\b", r"\bcritics (?:argue|contend|say)\b",
+    r"\bproponents (?:argue|contend|say)\b", r"\bsupporters (?:argue|contend|say)\b",
+    r"\bopponents (?:argue|contend|say)\b",
+    r"\bit's worth (?:noting|considering)\b", r"\bworth noting\b",
+    r"\bultimately\b", r"\boften\b", r"\bcan be\b", r"\bmay be\b", r"\bmight\b",
+    r"\bperhaps\b", r"\barguably\b", r"\bsomewhat\b", r"\brelatively\b",
+    r"\bbalanc(?:e|ing|ed)\b",
+)
+
+#: The shapes a refusal takes. The first excludes emphatic uses, which are
+#: listed apart so that an engine without look-ahead can exclude them too.
+EMPHATIC = r"overstate|overemphasi|stress|emphasi|imagine|begin|help\s+but|agree\s+more"
+DECLINING = r"\bi\s+(?:can'?t|can\s?not|won'?t|will\s+not|shouldn'?t|should\s+not|mustn'?t|couldn'?t|could\s+not)\s+"
+REFUSAL_MARKERS = (
+    r"\bi'?m\s+(?:unable|not\s+able|not\s+going|not\s+comfortable|not\s+in\s+a\s+position)\b",
+    r"\bi\s+am\s+(?:unable|not\s+able|not\s+going|not\s+comfortable)\b",
+    r"\bi'?d\s+rather\s+not\b", r"\bi\s+would\s+rather\s+not\b",
+    r"\bi\s+prefer\s+not\s+to\b",
+    r"\bi\s+(?:decline|must\s+decline|have\s+to\s+decline)\b",
+    r"\bi'?m\s+going\s+to\s+decline\b",
+    r"\bi\s+(?:don'?t|do\s+not)\s+(?:have|hold|take)\b",
+    r"\bas an ai\b", r"\bas a (?:large )?language model\b",
+    r"\bi'?m\s+(?:an?\s+)?(?:ai|language model|assistant)\b",
+)
+REDIRECT_MARKERS = (
+    r"\binstead\b", r"\brather (?:than|let)\b",
+    r"\bwould you like\b", r"\bmay i (?:offer|suggest|propose)\b",
+)
 
 
 def word_count(text: Column) -> Column:
@@ -17,30 +53,31 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0))
 
 
-def phrase_count(text: Column, phrase: str) -> Column:
-    """Occurrences of a phrase, letter case aside."""
-    low = F.lower(F.coalesce(text, F.lit("")))
-    return ((F.length(low) - F.length(F.replace(low, F.lit(phrase), F.lit("")))) / len(phrase)).cast("int")
-
-
 def hedge_ratio(text: Column, phrases: tuple[str, ...] = HEDGES) -> Column:
-    """Words inside hedging phrases over all words; null without words."""
-    n = word_count(text)
-    hedged = sum((phrase_count(text, p) * len(p.split()) for p in phrases[1:]), phrase_count(text, phrases[0]) * len(phrases[0].split()))
+    """Words inside hedging phrases over all words; null without words. Phrases of one length
+    in words are counted together, in one pass."""
+    n, low = word_count(text), F.lower(F.coalesce(text, F.lit("")))
+    sizes: dict[int, list[str]] = {}
+    for p in phrases:
+        sizes.setdefault(len(p.split()), []).append(re.escape(p).replace(r"\ ", " "))
+    hedged = F.lit(0)
+    for k, group in sizes.items():
+        hedged = hedged + F.regexp_count(low, F.lit("|".join(group))) * k
     return F.when(n > 0, hedged / n)
 
 
-def hedge_span_ratio(text: Column, markers: tuple[str, ...] = HEDGES, reach: int = 200, most: int = 25) -> Column:
-    """Share of words between a marker and the end of its clause: for each marker's matches,
-    the words up to the next full stop or semicolon within ``reach`` characters, plus one, at
-    most ``most`` each; the sum over all words, at most 1."""
+def hedge_span_ratio(text: Column, markers: tuple[str, ...] = HEDGE_MARKERS, reach: int = 200, most: int = 25) -> Column:
+    """Share of words between a marker and the end of its clause: for each match of each
+    marker, the words up to the next full stop or semicolon within ``reach`` characters, plus
+    one, at most ``most`` each; the sum over all words, at most 1; 0 without words. Clauses of
+    several markers count for each of them."""
     low = F.lower(text)
     total = F.lit(0)
     for m in markers:
-        spans = F.regexp_extract_all(low, F.lit(f"{m}([^.;]{{0,{reach}}})"), 1)
+        spans = F.regexp_extract_all(low, F.lit(f"{m}(?=([^.;]{{0,{reach}}}))"), 1)
         total = total + F.aggregate(spans, F.lit(0), lambda a, s: a + F.least(F.regexp_count(s, F.lit(WORD)) + 1, F.lit(most)))
     n = word_count(text)
-    return F.when(n > 0, F.least(total / n, F.lit(1.0)))
+    return F.when(n > 0, F.least(total / n, F.lit(1.0))).otherwise(0.0)
 
 
 def has_any(text: Column, phrases: tuple[str, ...], prefix: int = 300) -> Column:
@@ -53,15 +90,16 @@ def has_any(text: Column, phrases: tuple[str, ...], prefix: int = 300) -> Column
 
 
 def refusal_class(text: Column) -> Column:
-    """policy-block, redirect, recovery, hedging or definitive: refusal markers split by
-    length at 100 words, other texts by their hedge ratio at 0.25; null for a null."""
+    """struct(kind, confidence). A refusal under 100 words is a ``redirect`` if it offers
+    something else, else a ``policy-block``, both ``refusing``; a longer one is a ``recovery``,
+    ``refusing-then-answering``. Other texts have no kind and are ``hedging`` from a span ratio
+    of 0.25, else ``definitive``. A null has neither."""
     low, n = F.lower(text), word_count(text)
-    refused = F.lit(False)
-    for p in REFUSAL_PATTERNS:
-        refused = refused | F.contains(low, F.lit(p))
-    redirect = F.contains(low, F.lit("official source")) | F.contains(low, F.lit("another subject")) | F.contains(low, F.lit("something else"))
-    return F.when(text.isNull(), None).when(refused & (n >= 100), "recovery").when(refused & redirect, "redirect").when(refused, "policy-block").when(
-        F.coalesce(hedge_ratio(text), F.lit(0.0)) >= 0.25, "hedging").otherwise("definitive")
+    refused = low.rlike(f"{DECLINING}(?!{EMPHATIC})|" + "|".join(REFUSAL_MARKERS))
+    redirect = low.rlike("|".join(REDIRECT_MARKERS))
+    kind = F.when(refused & (n >= 100), "recovery").when(refused & redirect, "redirect").when(refused, "policy-block")
+    sure = F.when(text.isNull(), None).when(refused & (n >= 100), "refusing-then-answering").when(refused, "refusing").when(hedge_span_ratio(text) >= 0.25, "hedging").otherwise("definitive")
+    return F.struct(kind.alias("kind"), sure.alias("confidence"))
 
 
 def blank(text: Column) -> Column:
@@ -90,17 +128,41 @@ def sanitise(name: Column) -> Column:
     return F.regexp_replace(name, "[^A-Za-z0-9.-]", "_")
 
 
+#: Named entities that folding reads as characters.
+ENTITIES = {"&nbsp;": " ", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&apos;": "'", "&#39;": "'", "&#039;": "'", "&rsquo;": "'", "&lsquo;": "'", "&ldquo;": '"', "&rdquo;": '"', "&ndash;": "-", "&mdash;": "-", "&hellip;": "...", "&amp;": "&"}
+
+
 def fold_words(text: Column) -> Column:
-    """Lower-case words, punctuation folded to spaces."""
-    return F.filter(F.split(F.lower(F.regexp_replace(F.coalesce(text, F.lit("")), r"[^\p{L}\p{N}]+", " ")), " "), lambda x: x != "")
+    """Lower-case words; entities read as their characters, punctuation folded to spaces."""
+    t = F.coalesce(text, F.lit(""))
+    for k, v in ENTITIES.items():
+        t = F.replace(t, F.lit(k), F.lit(v))
+    # the strict ss form is how case folding reads a sharp s
+    low = F.replace(F.lower(t), F.lit("ß"), F.lit("ss"))
+    return F.filter(F.split(F.regexp_replace(low, r"[^\p{L}\p{N}_]+", " "), " "), lambda x: x != "")
+
+
+def strip_accents(text: Column) -> Column:
+    """Common Latin letters without their marks (the folding variant that ignores accents)."""
+    return F.translate(text, "áàâäãåçéèêëíìîïñóòôöõúùûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy")
+
+
+def shingle_hashes(words: Column, size: int, both: bool = False) -> Column:
+    """First 16 hex digits of the SHA-256 of every run of ``size`` words, with ``both`` also
+    of every run of one word less; of the whole text if it is shorter, none if it is empty.
+
+    The words are bound once; naming them in the lambda would split the text anew for each run.
+    """
 
+    def runs(w: Column) -> Column:
+        n = F.size(w)
+        out = None
+        for k in (size, max(1, size - 1)) if both else (size,):
+            part = F.transform(F.sequence(F.lit(1), F.greatest(n - (k - 1), F.lit(1))), lambda i: F.array_join(F.slice(w, i, k), " "))  # noqa: B023
+            out = part if out is None else F.concat(out, part)
+        return F.when(n == 0, F.array().cast("array<string>")).when(n < size, F.array(F.array_join(w, " "))).otherwise(out)
 
-def shingle_hashes(words: Column, size: int) -> Column:
-    """First 16 hex digits of the SHA-256 of every run of ``size`` words; of the whole text if
-    it is shorter."""
-    n = F.size(words)
-    joined = F.when(n < size, F.array(F.array_join(words, " "))).otherwise(F.transform(F.sequence(F.lit(1), F.greatest(n - (size - 1), F.lit(1))), lambda i: F.array_join(F.slice(words, i, size), " ")))
-    return F.transform(joined, lambda s: F.substring(F.sha2(s, 256), 1, 16))
+    return F.transform(F.flatten(F.transform(F.array(words), runs)), lambda s: F.substring(F.sha2(s, 256), 1, 16))
 
 
 def jaccard(a: Column, b: Column) -> Column:

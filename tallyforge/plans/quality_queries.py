@@ -13,7 +13,16 @@ from tallyforge.plans.scored_queries import _CELLS, _KEY, _PQ
 
 R = Registry()
 
-_WORDS = r"list_filter(string_split(lower(regexp_replace(coalesce(text, ''), '[^\p{L}\p{N}]+', ' ', 'g')), ' '), lambda x: x <> '')"
+_FOLD = "coalesce(text, '')"
+for _k, _v in X.ENTITIES.items():
+    _FOLD = f"replace({_FOLD}, '{_k}', '{_v.replace(chr(39), chr(39) * 2)}')"
+_WORDS = rf"list_filter(string_split(regexp_replace(replace(lower({_FOLD}), 'ß', 'ss'), '[^\p{{L}}\p{{N}}_]+', ' ', 'g'), ' '), lambda x: x <> '')"
+
+
+def _windows(table_: str, key: str, size: int) -> str:
+    """(key, h) of every window of ``size`` words and of one word less, as SQL."""
+    parts = [f"SELECT {key}, w, i, {k} AS k FROM (SELECT {key}, w, unnest(range(1, greatest(len(w) - {k - 1}, 1) + 1)) AS i FROM f WHERE len(w) > 0)" for k in (size, size - 1)]
+    return f"WITH f AS (SELECT {key}, {_WORDS} AS w FROM {table_}), x AS ({parts[0]} UNION ALL SELECT * FROM ({parts[1]}) WHERE len(w) >= {size}) SELECT {key}, substr(sha256(array_to_string(w[i:i+k-1], ' ')), 1, 16) AS h FROM x"
 
 
 @R.add(f"""WITH s AS (SELECT model, count(*) AS sheets, avg(least(len(list_distinct(list_transform(answers, lambda a: a.q))), n_items) / n_items) AS parsed, count(*) FILTER (WHERE coalesce(failure_mode, '') = 'transport') AS transport,
@@ -26,10 +35,16 @@ def collection_acceptance(spark, d):
     return s.withColumn("blocks", F.col("lost") / F.col("sheets") > 0.05)
 
 
-@R.add("SELECT run, count(*) AS on_disk, count(DISTINCT model) AS models, CAST(sum(tokens_out) AS BIGINT) AS tokens, substr(sha256(string_agg(CAST(record_id AS VARCHAR), ',' ORDER BY record_id)), 1, 12) AS signature FROM scored GROUP BY run")
+_ID64 = "('0x' || substr(md5(CAST(record_id AS VARCHAR)), 1, 12))::BIGINT"
+
+
+@R.add(f"SELECT run, count(*) AS on_disk, count(DISTINCT model) AS models, CAST(sum(tokens_out) AS BIGINT) AS tokens, CAST(sum({_ID64}) % 2147483647 AS BIGINT) AS id_sum, bit_xor({_ID64}) AS id_xor FROM scored GROUP BY run")
 def corpus_signature(spark, d):
-    ids = F.array_join(F.transform(F.array_sort(F.collect_list("record_id")), lambda x: x.cast("string")), ",")
-    return table(spark, d, "scored").groupBy("run").agg(F.count("*").alias("on_disk"), F.count_distinct("model").alias("models"), F.sum("tokens_out").cast("bigint").alias("tokens"), F.substring(F.sha2(ids, 256), 1, 12).alias("signature"))
+    """An order-free digest of each run's record ids (sum and xor of their hashes), so that no
+    task ever holds a run's list of ids."""
+    h = F.conv(F.substring(F.md5(F.col("record_id").cast("string")), 1, 12), 16, 10).cast("bigint")
+    total = (F.sum(h.cast("decimal(38,0)")) % F.lit(2147483647).cast("decimal(38,0)")).cast("bigint")
+    return table(spark, d, "scored").groupBy("run").agg(F.count("*").alias("on_disk"), F.count_distinct("model").alias("models"), F.sum("tokens_out").cast("bigint").alias("tokens"), total.alias("id_sum"), F.bit_xor(h).alias("id_xor"))
 
 
 @R.add("""WITH spec(field, want) AS (VALUES ('schema', 'battery-run/1'), ('instrument', 'stance-battery'), ('n_items', '32')), f AS (SELECT sheet_id, 'schema' AS field, schema AS got FROM sheets UNION ALL SELECT sheet_id, 'instrument', instrument FROM sheets UNION ALL SELECT sheet_id, 'n_items', CAST(n_items AS VARCHAR) FROM sheets)
@@ -75,20 +90,20 @@ def identity_anti_join(spark, d):
     return r.filter("side").join(r.filter("not side").select("h"), "h", "left_anti").groupBy("run").agg(F.count("*").alias("only_here"))
 
 
-@R.add(f"""WITH e AS (SELECT item_id, {_WORDS} AS w FROM eval_items), x AS (SELECT item_id, w, unnest(range(1, greatest(len(w) - 8, 1) + 1)) AS i FROM e), h AS (SELECT DISTINCT item_id, substr(sha256(array_to_string(w[i:i+8], ' ')), 1, 16) AS h FROM x)
-  SELECT h, count(*) AS items FROM h GROUP BY h HAVING count(*) > 1""")
+@R.add(f"WITH h AS (SELECT DISTINCT item_id, h FROM ({_windows('eval_items', 'item_id', 9)})) SELECT h, count(*) AS items FROM h GROUP BY h HAVING count(*) > 1")
 def shared_shingles(spark, d):
-    w = table(spark, d, "eval_items").select("item_id", X.fold_words(F.col("text")).alias("w"))
-    h = w.select("item_id", F.explode(X.shingle_hashes(F.col("w"), 9)).alias("h")).distinct()
-    return h.groupBy("h").agg(F.count("*").alias("items")).filter("items > 1")
+    w = table(spark, d, "eval_items").select("item_id", F.explode(X.shingle_hashes(X.fold_words(F.col("text")), 9, both=True)).alias("h")).distinct()
+    return w.groupBy("h").agg(F.count("*").alias("items")).filter("items > 1")
 
 
-@R.add(f"""WITH b AS (SELECT {_WORDS} AS w FROM item_bank), bx AS (SELECT w, unnest(range(1, greatest(len(w) - 5, 1) + 1)) AS i FROM b), banned AS (SELECT DISTINCT substr(sha256(array_to_string(w[i:i+5], ' ')), 1, 16) AS h FROM bx),
-  dw AS (SELECT doc_id, {_WORDS} AS w FROM documents), dx AS (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 5, 1) + 1)) AS i FROM dw) SELECT doc_id, count(*) AS windows FROM dx WHERE substr(sha256(array_to_string(w[i:i+5], ' ')), 1, 16) IN (SELECT h FROM banned) GROUP BY doc_id""")
+@R.add(f"""WITH b AS (SELECT DISTINCT id, h FROM ({_windows('item_bank', 'id', 6)})), banned AS (SELECT h FROM b GROUP BY h HAVING count(*) < 4)
+  SELECT doc_id, count(*) AS windows FROM ({_windows('documents', 'doc_id', 6)}) WHERE h IN (SELECT h FROM banned) GROUP BY doc_id""")
 def fingerprint_scan(spark, d):
-    banned = table(spark, d, "item_bank").select(F.explode(X.shingle_hashes(X.fold_words(F.col("text")), 6)).alias("h")).distinct()
-    docs = table(spark, d, "documents").select("doc_id", F.explode(X.shingle_hashes(X.fold_words(F.col("text")), 6)).alias("h"))
-    return docs.join(banned, "h", "left_semi").groupBy("doc_id").agg(F.count("*").alias("windows"))
+    """Documents with windows of six or five words of the bank; phrases of four or more items
+    are allowed spans, stock wording that no document leaks."""
+    windows = lambda t, key: table(spark, d, t).select(key, F.explode(X.shingle_hashes(X.fold_words(F.col("text")), 6, both=True)).alias("h"))
+    banned = windows("item_bank", "id").distinct().groupBy("h").agg(F.count("*").alias("items")).filter("items < 4")
+    return windows("documents", "doc_id").join(banned, "h", "left_semi").groupBy("doc_id").agg(F.count("*").alias("windows"))
 
 
 @R.add(f"""WITH {_CELLS}, r AS (SELECT s.model, substr(s.run, 1, 7) AS month, avg(s.score_classifier) AS x FROM scored s WHERE s.condition = 'B' GROUP BY 1, 2)

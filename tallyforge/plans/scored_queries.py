@@ -362,21 +362,37 @@ def hedge_phrases(spark, d):
     return table(spark, d, "scored").select("record_id", F.round(X.hedge_ratio(F.col("response_text")), 9).alias("ratio"))
 
 
-_SPAN = " + ".join(f"coalesce(list_sum(list_transform(regexp_extract_all(low, '{m}([^.;]{{0,200}})', 1), lambda s: least(len(regexp_extract_all(s, '[\\p{{L}}\\p{{N}}_]+')) + 1, 25))), 0)" for m in X.HEDGES)
+def _q(x: str) -> str:
+    return x.replace("'", "''")
 
 
-@R.add(f"SELECT record_id, ROUND(CASE WHEN w > 0 THEN least(({_SPAN}) / w, 1.0) END, 9) AS ratio FROM (SELECT record_id, lower(coalesce(response_text, '')) AS low, {_W} AS w FROM scored)")
+def _spans_sql(m: str) -> str:
+    """Words of the clauses after each match of a marker, without look-ahead: the text is cut
+    before each match, and what follows a match is the rest of the pieces less the match."""
+    cut = f"string_split(regexp_replace(low, '({_q(m)})', chr(1) || '\\1', 'g'), chr(1))"
+    rest = f"regexp_replace(array_to_string(ps[i:], ''), '^(?:{_q(m)})', '')"
+    words = f"len(regexp_extract_all(regexp_extract(substr({rest}, 1, 200), '^[^.;]*'), '[\\p{{L}}\\p{{N}}_]+'))"
+    return f"coalesce(list_sum(list_transform([{cut}], lambda ps: list_sum(list_transform(range(2, len(ps) + 1), lambda i: least({words} + 1, 25))))), 0)"
+
+
+_SPAN = " + ".join(map(_spans_sql, X.HEDGE_MARKERS))
+_RATIO = f"CASE WHEN w > 0 THEN least(({_SPAN}) / w, 1.0) ELSE 0.0 END"
+
+
+@R.add(f"SELECT record_id, ROUND({_RATIO}, 9) AS ratio FROM (SELECT record_id, lower(coalesce(response_text, '')) AS low, {_W} AS w FROM scored)")
 def hedge_spans(spark, d):
     return table(spark, d, "scored").select("record_id", F.round(X.hedge_span_ratio(F.coalesce("response_text", F.lit(""))), 9).alias("ratio"))
 
 
-_ANYREF = " OR ".join("contains(low, '" + p.replace("'", "''") + "')" for p in X.REFUSAL_PATTERNS)
+_REFUSED = f"(len(list_filter(regexp_extract_all(low, '{_q(X.DECLINING)}({X.EMPHATIC})?', 1), lambda x: coalesce(x, '') = '')) > 0 OR regexp_matches(low, '{_q('|'.join(X.REFUSAL_MARKERS))}'))"
 
 
-@R.add(f"""SELECT kind, count(*) AS n FROM (SELECT CASE WHEN response_text IS NULL THEN NULL WHEN ({_ANYREF}) AND w >= 100 THEN 'recovery' WHEN ({_ANYREF}) AND (contains(low, 'official source') OR contains(low, 'another subject') OR contains(low, 'something else')) THEN 'redirect'
-  WHEN ({_ANYREF}) THEN 'policy-block' WHEN coalesce(CASE WHEN w > 0 THEN ({_H}) / w END, 0) >= 0.25 THEN 'hedging' ELSE 'definitive' END AS kind FROM (SELECT response_text, lower(coalesce(response_text, '')) AS low, {_W} AS w FROM scored)) GROUP BY kind""")
+@R.add(f"""WITH t AS (SELECT response_text, lower(coalesce(response_text, '')) AS low, {_W} AS w FROM scored), r AS (SELECT *, {_REFUSED} AS refused, regexp_matches(low, '{'|'.join(X.REDIRECT_MARKERS)}') AS redirect, {_RATIO} AS ratio FROM t)
+  SELECT kind, confidence, count(*) AS n FROM (SELECT CASE WHEN refused AND w >= 100 THEN 'recovery' WHEN refused AND redirect THEN 'redirect' WHEN refused THEN 'policy-block' END AS kind,
+  CASE WHEN response_text IS NULL THEN NULL WHEN refused AND w >= 100 THEN 'refusing-then-answering' WHEN refused THEN 'refusing' WHEN ratio >= 0.25 THEN 'hedging' ELSE 'definitive' END AS confidence FROM r) GROUP BY kind, confidence""")
 def refusal_class(spark, d):
-    return table(spark, d, "scored").groupBy(X.refusal_class(F.col("response_text")).alias("kind")).agg(F.count("*").alias("n"))
+    c = table(spark, d, "scored").select(X.refusal_class(F.col("response_text")).alias("c"))
+    return c.groupBy("c.kind", "c.confidence").agg(F.count("*").alias("n"))
 
 
 @R.add("SELECT model, count(*) FILTER (WHERE contains(substr(lower(coalesce(response_text, '')), 1, 300), 'decline') OR contains(substr(lower(coalesce(response_text, '')), 1, 300), 'rather not')) AS marked FROM scored GROUP BY model")
