@@ -56,12 +56,51 @@ def distances(cells: DataFrame, hold: list[str], factor: str, value: str = "moda
     return both.groupBy(*hold, "a", "b").agg(F.count("*").alias("shared"), F.count_if(side(F.col("x")) != side(F.col("y"))).alias("side_flips"), F.abs(gained - lost).alias("endpoint_delta"))
 
 
-def floor(pairs: DataFrame, name: str) -> DataFrame:
-    """One row: number of pairs; integer half-up median, p90 and maximum of both distances."""
-    out = [F.lit(name).alias("floor"), F.count("*").alias("n")]
+def replicate_distances(ans: DataFrame, hold: list[str]) -> DataFrame:
+    """(*hold, side_flips, endpoint_delta, n): how many unordered pairs of sheets of a cell
+    lie at each distance, over the items both answered (pairs without one do not count).
+
+    A sheet becomes three integers (items answered, agreed with, at an end), equal sheets of a
+    cell become one row with its count, and only distinct ones are paired. Items are numbered
+    0 to 62; :func:`distances` takes any.
+    """
+    bit = lambda on: F.coalesce(F.bit_or(F.when(on, F.expr("shiftleft(1L, q)"))), F.lit(0).cast("bigint"))
+    sheets = ans.groupBy(*hold, "sheet_id").agg(bit(F.lit(True)).alias("k"), bit(side(F.col("position"))).alias("a"), bit(endpoint(F.col("position"))).alias("e"))
+    one = sheets.groupBy(*hold, "k", "a", "e").agg(F.count("*").alias("m"))
+    x, y = one.select(*hold, F.struct("k", "a", "e").alias("x"), F.col("m").alias("mx")), one.select(*hold, F.struct("k", "a", "e").alias("y"), F.col("m").alias("my"))
+    both = x.join(y, hold).filter("x < y").filter("x.k & y.k <> 0")
+    ends = "bit_count(~x.e & y.e & x.k & y.k) - bit_count(x.e & ~y.e & x.k & y.k)"
+    between = both.select(*hold, F.expr("cast(bit_count((x.a ^ y.a) & x.k & y.k) as bigint)").alias("side_flips"), F.expr(f"cast(abs({ends}) as bigint)").alias("endpoint_delta"), (F.col("mx") * F.col("my")).alias("n"))
+    zero = F.lit(0).cast("bigint")
+    same = one.filter("m > 1").dropna(subset=hold).select(*hold, zero.alias("side_flips"), zero.alias("endpoint_delta"), F.expr("m * (m - 1) div 2").alias("n"))
+    return between.unionByName(same).groupBy(*hold, "side_flips", "endpoint_delta").agg(F.sum("n").alias("n"))
+
+
+def at_ranks(hist: DataFrame, by: list[str], value: str, ranks: dict[str, str], weight: str = "n") -> DataFrame:
+    """(*by, total, one column for each rank): the value at ranks (1-based SQL expressions of
+    ``total``) of a histogram; null where ``total`` has no such rank. Sorts distinct values
+    only, however many there are of each."""
+    h = hist.groupBy(*by, value).agg(F.sum(weight).alias("_n"))
+    h = h.withColumn("_upto", F.sum("_n").over(Window.partitionBy(*by).orderBy(value))).withColumn("total", F.sum("_n").over(Window.partitionBy(*by)))
+    at = [F.min(F.when((F.col("_upto") >= F.expr(r)) & (F.expr(r) > 0), F.col(value))).alias(k) for k, r in ranks.items()]
+    return h.groupBy(*by).agg(F.coalesce(F.max("total"), F.lit(0).cast("bigint")).alias("total"), *at, F.max(value).alias("_max"))
+
+
+def floor(pairs: DataFrame, name: str, weight: str | None = None) -> DataFrame:
+    """One row: number of pairs; integer half-up median, p90 and maximum of both distances.
+
+    Read off histograms of the distances (``weight``: how many pairs a row stands for).
+    """
+    hist = pairs.groupBy("side_flips", "endpoint_delta").agg((F.sum(weight) if weight else F.count("*")).alias("n"))
+    out = None
     for c in ("side_flips", "endpoint_delta"):
-        out += [stats.half_up_median(F.col(c)).alias(f"{c}_median"), stats.p90_floor(F.col(c), F.count("*")).alias(f"{c}_p90"), F.max(c).alias(f"{c}_max")]
-    return pairs.agg(*out)
+        r = at_ranks(hist, [], c, {"lo": "(total + 1) div 2", "hi": "total div 2 + 1", "p": "cast(floor(0.9 * total) as bigint)"})
+        one = r.select(
+            F.col("total").alias("n"), F.floor((F.col("lo") + F.col("hi")) / 2.0 + 0.5).cast("int").alias(f"{c}_median"),
+            F.when(F.col("total") >= 10, F.col("p")).otherwise(F.col("_max")).alias(f"{c}_p90"), F.col("_max").alias(f"{c}_max"),
+        )
+        out = one if out is None else out.crossJoin(one.drop("n"))  # one row each
+    return out.select(F.lit(name).alias("floor"), "*")
 
 
 def pair_positions(ans: DataFrame, bank: DataFrame, key: list[str]) -> DataFrame:

@@ -82,7 +82,7 @@ def order_floor_positions(spark, d):
   SELECT c.model, c.condition, c.a, c.b, c.side_flips AS across, x.own AS own_a, y.own AS own_b, greatest(x.own, y.own) >= 0.5 * c.side_flips AS disqualified FROM across c JOIN self x ON x.model = c.model AND x.condition = c.condition AND x.template = c.a JOIN self y ON y.model = c.model AND y.condition = c.condition AND y.template = c.b""")
 def elicitation_format(spark, d):
     ans = _answers(spark, d)
-    own = S.distances(ans, ["model", "condition", "template"], "sheet_id", "position").groupBy("model", "condition", "template").agg(F.element_at(F.sort_array(F.collect_list("side_flips")), F.expr("cast(count(*) div 2 + 1 as int)")).alias("own"))
+    own = S.at_ranks(S.replicate_distances(ans, ["model", "condition", "template"]), ["model", "condition", "template"], "side_flips", {"own": "total div 2 + 1"})
     c = S.distances(S.modal(ans, ["model", "condition", "template"]), ["model", "condition"], "template")
     side = lambda t: own.select("model", "condition", F.col("template").alias(t), F.col("own").alias(f"own_{t}"))
     j = c.join(side("a"), ["model", "condition", "a"]).join(side("b"), ["model", "condition", "b"])

@@ -148,21 +148,23 @@ def topic_cluster_difference(spark, d):
     return tp.groupBy("k").agg(F.count("*").alias("clusters"), F.round(gap, 6).alias("difference")).join(ci, "k").selectExpr("clusters", "difference", "ROUND(lo, 6) AS lo", "ROUND(hi, 6) AS hi")
 
 
-_ARMPOS = f"""{_POSITIONS}, ap AS (SELECT sp.sheet_id, sp.model, sp.pair_no, sp.x, CASE WHEN s.channel = 'hosted' THEN 'hosted' ELSE 'local' END || '#' || sp.condition AS condition FROM sp JOIN sheets s USING (sheet_id)),
-  aq AS (SELECT *, model || '#' || condition AS arm FROM ap WHERE condition IN ('hosted#A', 'hosted#N', 'local#A', 'local#N'))"""
+_ARMPOS = f"""{_POSITIONS}, ap AS (SELECT sp.sheet_id, sp.model, sp.pair_no, sp.x, CASE WHEN s.renumbered THEN 'renumbered' ELSE 'plain' END || '#' || sp.condition AS condition FROM sp JOIN sheets s USING (sheet_id)),
+  aq AS (SELECT *, model || '#' || condition AS arm FROM ap WHERE condition IN ('renumbered#C', 'renumbered#N', 'plain#C', 'plain#N'))"""
 
 
 @R.add(f"""WITH {_ARMPOS}, st AS (SELECT DISTINCT arm, sheet_id FROM aq), {boot_sql('st', 'arm', 'sheet_id', 'sheet_id', DRAWS)}, pm AS (SELECT aq.model, aq.condition, dr.b, aq.pair_no, avg(aq.x) AS x FROM dr JOIN aq ON aq.sheet_id = dr.value AND aq.arm = dr.key GROUP BY ALL),
-  w AS (SELECT model, b, pair_no, max(x) FILTER (WHERE condition = 'hosted#A') AS ha, max(x) FILTER (WHERE condition = 'hosted#N') AS hn, max(x) FILTER (WHERE condition = 'local#A') AS la, max(x) FILTER (WHERE condition = 'local#N') AS ln_ FROM pm GROUP BY ALL),
+  w AS (SELECT model, b, pair_no, max(x) FILTER (WHERE condition = 'renumbered#C') AS ha, max(x) FILTER (WHERE condition = 'renumbered#N') AS hn, max(x) FILTER (WHERE condition = 'plain#C') AS la, max(x) FILTER (WHERE condition = 'plain#N') AS ln_ FROM pm GROUP BY ALL),
   e AS (SELECT model, b, ROUND(avg((ha - hn) - (la - ln_)), 9) AS m FROM w WHERE (ha - hn) - (la - ln_) IS NOT NULL GROUP BY model, b), ci AS (SELECT model, list_sort(list(m)) AS s, count(*) AS k, least(1.0, 2 * (least(count(*) FILTER (WHERE m <= 0), count(*) FILTER (WHERE m >= 0)) + 1) / (count(*) + 1)) AS p FROM e GROUP BY model),
-  o AS (SELECT model, pair_no, avg(x) FILTER (WHERE condition = 'hosted#A') AS ha, avg(x) FILTER (WHERE condition = 'hosted#N') AS hn, avg(x) FILTER (WHERE condition = 'local#A') AS la, avg(x) FILTER (WHERE condition = 'local#N') AS ln_ FROM aq GROUP BY ALL),
+  o AS (SELECT model, pair_no, avg(x) FILTER (WHERE condition = 'renumbered#C') AS ha, avg(x) FILTER (WHERE condition = 'renumbered#N') AS hn, avg(x) FILTER (WHERE condition = 'plain#C') AS la, avg(x) FILTER (WHERE condition = 'plain#N') AS ln_ FROM aq GROUP BY ALL),
   f AS (SELECT model, count(*) AS n_pairs, avg((ha - hn) - (la - ln_)) AS effect FROM o WHERE (ha - hn) - (la - ln_) IS NOT NULL GROUP BY model)
   SELECT f.model, n_pairs, ROUND(effect, 6) + 0.0 AS effect, ROUND(s[least(floor(0.025 * k)::INT, k - 1) + 1], 6) + 0.0 AS lo, ROUND(s[least(floor(0.975 * k)::INT, k - 1) + 1], 6) + 0.0 AS hi, ROUND(p, 6) AS p FROM f JOIN ci ON ci.model = f.model""")
 def interaction(spark, d):
-    """Difference of differences: what the instruction moves in hosted sheets of a model, less
-    what it moves in local ones, with a sheet bootstrap of all four cells."""
-    p = positions(spark, d, ["sheet_id", "model", "condition", "channel"]).withColumn("served", F.when(F.col("channel") == "hosted", "hosted").otherwise("local"))
-    x = K.interactions(p, "served", "hosted", "local", "A", "N", DRAWS)
+    """Difference of differences: what condition C moves in renumbered sheets of a model, less
+    what it moves in the others, with a sheet bootstrap of all four cells."""
+    p = positions(spark, d, ["sheet_id", "model", "condition"])
+    arm = F.when(F.col("renumbered"), "renumbered").otherwise("plain").alias("numbering")
+    p = p.join(table(spark, d, "sheets").select("sheet_id", arm), "sheet_id")
+    x = K.interactions(p, "numbering", "renumbered", "plain", "C", "N", DRAWS)
     return x.selectExpr("model", "n_pairs", *[f"ROUND({c}, 6) + 0.0 AS {c}" for c in ("effect", "lo", "hi")], "ROUND(p, 6) AS p")
 
 

@@ -139,7 +139,8 @@ def model_cards(spark, d):
     ans = S.answers(table(spark, d, "sheets"))
     c = ans.groupBy("model").agg(F.count_distinct("sheet_id").alias("sheets"), F.count_distinct("condition").alias("conditions"))
     f = table(spark, d, "sheets").groupBy("model").agg(F.round(F.avg((F.coalesce("failure_mode", F.lit("")) == "refused").cast("int")), 9).alias("refusal_rate"))
-    q = S.distances(ans, ["model", "condition"], "sheet_id", "position").groupBy("model").agg(F.median("side_flips").alias("replicate_median"), F.max("side_flips").alias("replicate_max"))
+    h = S.at_ranks(S.replicate_distances(ans, ["model", "condition"]), ["model"], "side_flips", {"lo": "(total + 1) div 2", "hi": "total div 2 + 1"})
+    q = h.select("model", ((F.col("lo") + F.col("hi")) / 2.0).alias("replicate_median"), F.col("_max").alias("replicate_max"))
     return c.join(f, "model").join(q, "model", "left")
 
 

@@ -38,7 +38,7 @@ def order_pairs(spark, d):
 
 @R.add(f"WITH {ANS}, pairs AS ({distance_sql('ans', ['model', 'condition', 'template', 'shuffle_seed', 'temperature'], 'sheet_id', 'position')}) {floor_sql('pairs', 'replicate')}")
 def replicate_floor(spark, d):
-    return S.floor(S.distances(_answers(spark, d), ["model", "condition", "template", "shuffle_seed", "temperature"], "sheet_id", "position"), "replicate")
+    return S.floor(S.replicate_distances(_answers(spark, d), ["model", "condition", "template", "shuffle_seed", "temperature"]), "replicate", "n")
 
 
 @R.add(f"WITH {ANS}, cells AS ({modal_sql('model, condition, template')}), pairs AS ({distance_sql('cells', ['model', 'condition'], 'template')}) {floor_sql('pairs', 'paraphrase')}")
