@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -131,3 +132,29 @@ def exact_permutation_p(a: list[float], b: list[float], most: int = 200_000) ->
     seen = abs(sum(a) / k - sum(b) / (n - k))
     hits = sum(abs(s / k - (total - s) / (n - k)) >= seen - 1e-12 for s in (sum(c) for c in combinations(x, k)))
     return hits / math.comb(n, k)
+
+
+def bisect_shift(values: list[float], sims: int = 400, power: float = 0.8, steps: int = 14) -> float | None:
+    """Smallest shift of all values that a two-sided sign test at 0.05 finds with ``power``, by
+    bisection; simulations resample the centred values with fixed draws. None where even a
+    shift of their whole range is not found, or for fewer than two values."""
+    from tallyforge.operators.resample import draws
+
+    n = len(values)
+    if n < 2:
+        return None
+    x = np.array(values) - float(np.mean(values))
+    at = draws(1, "shift", np.arange(sims)[:, None], np.arange(n)[None, :], n)
+    sample = x[at]
+
+    def found(shift: float) -> float:
+        up, down = (sample + shift > 1e-12).sum(1), (sample + shift < -1e-12).sum(1)
+        return float(np.mean([sign_p(int(u), int(v)) <= 0.05 for u, v in zip(up, down, strict=True)]))
+
+    lo, hi = 0.0, float(x.max() - x.min()) + 1e-9
+    if found(hi) < power:
+        return None
+    for _ in range(steps):
+        mid = (lo + hi) / 2
+        lo, hi = (lo, mid) if found(mid) >= power else (mid, hi)
+    return round(hi, 6)

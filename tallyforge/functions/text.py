@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
+from difflib import SequenceMatcher
 
-from pyspark.sql import Column
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 WORD = r"[\p{L}\p{N}_]+"
@@ -180,3 +183,19 @@ def extract_score(reply: Column) -> Column:
     bare = F.regexp_extract(reply, r"^\s*([1-5])\s*(?:\n|$)", 1)
     got = F.coalesce(from_json, from_fence, F.when(labelled != "", labelled).cast("int"), F.when(bare != "", bare).cast("int"))
     return F.when(got.between(1, 5), got)
+
+
+def _diffs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for b in batches:
+        rows = []
+        for i, old, new in zip(b["id"], b["old"], b["new"], strict=True):
+            x, y = (old or "").split(), (new or "").split()
+            for k, (op, a, z, c, e) in enumerate(o for o in SequenceMatcher(None, x, y, autojunk=False).get_opcodes() if o[0] != "equal"):
+                rows.append((i, k, op, " ".join(x[a:z]), " ".join(y[c:e])))
+        yield pd.DataFrame(rows, columns=["id", "span", "kind", "gone", "come"])
+
+
+def word_diffs(pairs: DataFrame) -> DataFrame:
+    """(id, span, kind, gone, come): the spans of words that two texts (id, old, new) do not
+    share; a null reads as empty."""
+    return pairs.mapInPandas(_diffs, f"id {dict(pairs.dtypes)['id']}, span bigint, kind string, gone string, come string")

@@ -2,7 +2,7 @@
 
 A group's units become a matrix; the draws become a matrix of how often each unit was drawn;
 one product gives the resampled means of all replicates. The draws are those of
-:func:`tallyforge.operators.resample.draw`, so SQL can repeat them. Groups of more than
+:func:`tallyforge.operators.resample.with_draw`, so SQL can repeat them. Groups of more than
 ``MOST_UNITS`` units are resampled by joins instead (:func:`resample.replicates`), with the
 same draws and the same result.
 """

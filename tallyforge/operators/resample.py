@@ -23,18 +23,23 @@ STEPS = (7919, 104729, 1299709)  # for seed, replicate and draw
 ROUNDS = (12345, 67890, 424242)
 
 
-def draw(seed: int, key: Column, b: Column, i: Column, n: Column) -> Column:
-    """Index 0..n-1 of one draw."""
+def _start(seed: int, key: Column, b: Column, i: Column) -> Column:
     name = F.conv(F.substring(F.md5(key.cast("string")), 1, 8), 16, 10).cast("bigint")
-    x = (name + F.lit(seed * STEPS[0]).cast("bigint") + b.cast("bigint") * STEPS[1] + i.cast("bigint") * STEPS[2]) % PRIME
+    return (name + F.lit(seed * STEPS[0]).cast("bigint") + b.cast("bigint") * STEPS[1] + i.cast("bigint") * STEPS[2]) % PRIME
+
+
+def with_draw(df: DataFrame, out: str, seed: int, key: Column, b: Column, i: Column, n: Column) -> DataFrame:
+    """``df`` with the index 0..n-1 of one draw as column ``out``. Each power is a column of its
+    own for a moment, so that none is computed twice."""
+    df = df.withColumn("_x", _start(seed, key, b, i))
     for c in ROUNDS:
-        square = x * x % PRIME
-        x = (square * square % PRIME * x + c) % PRIME
-    return x % n
+        df = df.withColumn("_s", F.col("_x") * F.col("_x") % PRIME).withColumn("_x", (F.col("_s") * F.col("_s") % PRIME * F.col("_x") + c) % PRIME)
+    # never null, or joins on it would test the whole arithmetic for null once more
+    return df.withColumn(out, F.coalesce(F.col("_x") % n, F.lit(-1).cast("bigint"))).drop("_x", "_s")
 
 
 def draws(seed: int, key: str, b: np.ndarray, i: np.ndarray, n: int) -> np.ndarray:
-    """:func:`draw` for arrays of replicates and draws."""
+    """:func:`with_draw` for arrays of replicates and draws."""
     start = int(hashlib.md5(key.encode()).hexdigest()[:8], 16) + seed * STEPS[0]
     x = (np.int64(start) + b.astype(np.int64) * STEPS[1] + i.astype(np.int64) * STEPS[2]) % PRIME
     for c in ROUNDS:
@@ -59,7 +64,7 @@ def replicates(units: DataFrame, key: str, order: list[str], value: str, reps: i
     numbered = units.select(key, (F.row_number().over(w) - 1).cast("bigint").alias("idx"), F.col(value).alias("value"), F.count("*").over(Window.partitionBy(key)).alias("n"))
     spread = numbered.repartition(_tasks(units), key, "idx")
     drawn = spread.select(key, "n", F.col("idx").alias("i"), F.explode(F.sequence(F.lit(0), F.lit(reps - 1))).alias("b"))
-    drawn = drawn.select(key, "b", draw(seed, F.col(key), F.col("b"), F.col("i"), F.col("n")).alias("idx"))
+    drawn = with_draw(drawn, "idx", seed, F.col(key), F.col("b"), F.col("i"), F.col("n")).select(key, "b", "idx")
     return drawn.join(numbered.select(key, "idx", "value").hint("shuffle_hash"), [key, "idx"]).select(key, "b", "value")
 
 
