@@ -24,9 +24,10 @@ def bucket() -> Column:
     return F.when(F.col("score_classifier").isNull(), "unscored").otherwise(by_reason[F.coalesce(exclusion_reason(), F.lit("eligible"))])
 
 
-def replicate_means(df: DataFrame, key: Sequence[str], value: str = "score_classifier") -> DataFrame:
+def replicate_means(df: DataFrame, key: Sequence[str], value: str = "score_classifier", where: Column | None = None) -> DataFrame:
     """Mean of the non-null values of each cell, and its depth; a cell without any stays,
-    with a null mean and depth 0."""
+    with a null mean and depth 0. ``where`` keeps only the rows it holds for."""
+    df = df if where is None else df.filter(where)
     return df.groupBy(*key).agg(F.avg(value).alias("mean_score"), F.count(value).alias("depth"), F.count("*").alias("n_rows"))
 
 
@@ -64,3 +65,27 @@ def panel(df: DataFrame, keep: Sequence[str]) -> DataFrame:
     s = df.select(*keep, F.array_sort(usable).alias("s")).filter(F.size("s") > 0).withColumn("n", F.size("s"))
     mid = (F.expr("s[(n - 1) div 2]") + F.expr("s[n div 2]")) / 2.0
     return s.select(*keep, mid.alias("panel"), F.when(F.col("n") >= 2, F.expr("s[n - 1] - s[0]")).alias("spread"), F.col("n").alias("n_judges"))
+
+
+METHODS = {
+    "panel": lambda s: (F.element_at(s, ((F.size(s) - 1) / 2).cast("int") + 1) + F.element_at(s, (F.size(s) / 2).cast("int") + 1)) / 2.0,
+    "lowest": lambda s: F.element_at(s, 1).cast("double"),
+    "highest": lambda s: F.element_at(s, -1).cast("double"),
+}
+"""Ways to score a row from its usable judge scores in order; more may be added by name."""
+
+
+def method_scores(df: DataFrame, keep: Sequence[str], methods: Sequence[str] = tuple(METHODS), stored: str = "score_classifier") -> DataFrame:
+    """One row per row and method (``stored`` is the recorded score): its score, null ones left out."""
+    usable = F.filter("score_classifier_judges", lambda j: j["score"].isNotNull() & j["error"].isNull())
+    s = df.select(*keep, F.col(stored).alias("_stored"), F.array_sort(F.transform(usable, lambda j: j["score"])).alias("s"))
+    each = [F.struct(F.lit(m).alias("method"), F.when(F.size("s") > 0, METHODS[m](F.col("s"))).alias("score")) for m in methods]
+    return s.select(*keep, F.explode(F.array(*each, F.struct(F.lit("stored").alias("method"), F.col("_stored").alias("score")))).alias("m")).select(*keep, "m.*").filter("score is not null")
+
+
+def assert_closed(df: DataFrame, column: str, known: DataFrame, message: str) -> DataFrame:
+    """``df``, which fails with ``message`` at the first row whose ``column`` is not among the
+    one column of ``known``; null values fail too."""
+    k = known.select(F.col(known.columns[0]).alias(column), F.lit(True).alias("_known")).distinct()
+    joined = df.join(k, column, "left")
+    return joined.filter(F.when(F.col("_known"), True).otherwise(F.raise_error(F.lit(message)).cast("boolean"))).drop("_known")

@@ -182,29 +182,36 @@ def soft_filter(spark, d):
     return e.select(F.explode(F.array(F.struct(F.lit("strict").alias("rule"), F.col("k").alias("kept"), F.col("x").alias("dropped")), F.struct(F.lit("historical").alias("rule"), F.col("n").alias("kept"), F.lit(0).cast("bigint").alias("dropped")))).alias("r")).select("r.*").withColumn("dropped", F.col("dropped"))
 
 
-@R.add(f"""WITH {JUDGED}, f AS (SELECT record_id, max(CASE WHEN judge = 'arbiter-03' THEN score END) AS single, median(score) AS panel FROM judged GROUP BY record_id), v AS (SELECT f.*, s.score_classifier AS stored FROM f JOIN scored s USING (record_id)),
-  u AS (SELECT 'panel' AS a, 'single' AS b, panel AS x, single AS y FROM v UNION ALL SELECT 'panel', 'stored', panel, stored FROM v UNION ALL SELECT 'single', 'stored', single, stored FROM v)
-  SELECT a, b, count(*) AS both_scored, ROUND(avg((x = y)::INT), 9) AS exact, ROUND(avg(abs(x - y)), 9) AS mean_diff FROM u WHERE x IS NOT NULL AND y IS NOT NULL GROUP BY a, b""")
+@R.add(f"""WITH {JUDGED}, f AS (SELECT record_id, median(score) AS panel, min(score)::DOUBLE AS lowest, max(score)::DOUBLE AS highest FROM judged GROUP BY record_id), m AS (SELECT record_id, 'panel' AS method, panel AS x FROM f UNION ALL SELECT record_id, 'lowest', lowest FROM f UNION ALL SELECT record_id, 'highest', highest FROM f UNION ALL SELECT record_id, 'stored', score_classifier FROM scored WHERE score_classifier IS NOT NULL)
+  SELECT a.method AS a, b.method AS b, count(*) AS both_scored, ROUND(avg((a.x = b.x)::INT), 9) AS exact, ROUND(avg((abs(a.x - b.x) <= 1)::INT), 9) AS within_one, ROUND(avg(abs(a.x - b.x)), 9) AS mean_diff FROM m a JOIN m b ON a.record_id = b.record_id AND a.method < b.method GROUP BY a.method, b.method""")
 def method_pairs(spark, d):
-    usable = F.filter("score_classifier_judges", lambda j: j["score"].isNotNull() & j["error"].isNull())
-    s = table(spark, d, "scored").withColumn("u", usable).withColumn("s", F.array_sort(F.transform("u", lambda j: j["score"]))).withColumn("n", F.size("s")).filter("n > 0")
-    single = F.array_max(F.transform(F.filter("u", lambda j: j["judge"] == "arbiter-03"), lambda j: j["score"]))
-    v = s.select(single.cast("double").alias("single"), ((F.expr("s[(n - 1) div 2]") + F.expr("s[n div 2]")) / 2.0).alias("panel"), F.col("score_classifier").alias("stored"))
-    pairs = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(a).alias("x"), F.col(b).alias("y")) for a, b in (("panel", "single"), ("panel", "stored"), ("single", "stored"))])
-    u = v.select(F.explode(pairs).alias("p")).select("p.*").dropna()
-    return u.groupBy("a", "b").agg(F.count("*").alias("both_scored"), F.round(F.avg((F.col("x") == F.col("y")).cast("int")), 9).alias("exact"), F.round(F.avg(F.abs(F.col("x") - F.col("y"))), 9).alias("mean_diff"))
+    """Every two registered scoring methods on the rows that both score."""
+    m = C.method_scores(table(spark, d, "scored"), ["record_id"])
+    x, y = m.select("record_id", F.col("method").alias("a"), F.col("score").alias("x")), m.select("record_id", F.col("method").alias("b"), F.col("score").alias("y"))
+    u = x.join(y, "record_id").filter("a < b")
+    gap = F.abs(F.col("x") - F.col("y"))
+    return u.groupBy("a", "b").agg(F.count("*").alias("both_scored"), F.round(F.avg((gap == 0).cast("int")), 9).alias("exact"), F.round(F.avg((gap <= 1).cast("int")), 9).alias("within_one"), F.round(F.avg(gap), 9).alias("mean_diff"))
 
 
-_STANCE = "CASE WHEN response_text IS NULL THEN 'no-text' WHEN regexp_matches(low, '^\\W*(strongly )?(dis)?agree\\b') THEN regexp_extract(low, '^\\W*((?:strongly )?(?:dis)?agree)\\b', 1) WHEN contains(low, 'critics see') AND contains(low, 'supporters of') THEN 'ambiguous' WHEN contains(low, 'critics see') THEN 'critic' WHEN contains(low, 'supporters of') THEN 'defender' ELSE 'none' END"
+#: How a stance is framed in prose; strong forms beat plain ones.
+_FRAMES = {"strongly agree": r"\bi (?:would )?(?:strongly|completely|fully) agree\b", "strongly disagree": r"\bi (?:would )?(?:strongly|completely|fully) disagree\b", "agree": r"\bi (?:would |tend to |somewhat )?agree\b", "disagree": r"\bi (?:would |tend to |somewhat )?disagree\b"}
+_LABEL = r"^\W*((?:strongly )?(?:dis)?agree)\b"
+_STANCE = f"""CASE WHEN response_text IS NULL THEN 'no-text' WHEN NOT regexp_matches(low, '[^ \\t\\r\\n]') THEN 'empty' WHEN regexp_matches(low, '{_LABEL}') THEN regexp_extract(low, '{_LABEL}', 1)
+  WHEN regexp_matches(low, '{_FRAMES['strongly agree']}|{_FRAMES['agree']}') AND regexp_matches(low, '{_FRAMES['strongly disagree']}|{_FRAMES['disagree']}') THEN 'ambiguous' {' '.join(f"WHEN regexp_matches(low, '{p}') THEN '{k}'" for k, p in _FRAMES.items())} ELSE 'no-stance' END"""
 
 
-@R.add(f"SELECT stance, count(*) AS n FROM (SELECT {_STANCE} AS stance FROM (SELECT response_text, lower(coalesce(response_text, '')) AS low FROM scored)) GROUP BY stance")
+@R.add(f"SELECT stance, count(*) AS n FROM (SELECT {_STANCE} AS stance FROM (SELECT response_text, lower(coalesce(response_text, '')) AS low FROM (SELECT response_text FROM scored UNION ALL SELECT text FROM item_bank))) GROUP BY stance")
 def stance_codes(spark, d):
+    """Stance of a text: a leading label, else a framed stance; both sides are ambiguous, and
+    texts without one get a named failure code."""
+    t = table(spark, d, "scored").select("response_text").unionAll(table(spark, d, "item_bank").select("text")).toDF("response_text")
     low = F.lower(F.coalesce("response_text", F.lit("")))
-    c, s = F.contains(low, F.lit("critics see")), F.contains(low, F.lit("supporters of"))
-    label = F.regexp_extract(low, r"^\W*((?:strongly )?(?:dis)?agree)\b", 1)
-    stance = F.when(F.col("response_text").isNull(), "no-text").when(label != "", label).when(c & s, "ambiguous").when(c, "critic").when(s, "defender").otherwise("none")
-    return table(spark, d, "scored").groupBy(stance.alias("stance")).agg(F.count("*").alias("n"))
+    label = F.regexp_extract(low, _LABEL, 1)
+    both = low.rlike(f"{_FRAMES['strongly agree']}|{_FRAMES['agree']}") & low.rlike(f"{_FRAMES['strongly disagree']}|{_FRAMES['disagree']}")
+    stance = F.when(F.col("response_text").isNull(), "no-text").when(~low.rlike(r"[^ \t\r\n]"), "empty").when(label != "", label).when(both, "ambiguous")
+    for k, p in _FRAMES.items():
+        stance = stance.when(low.rlike(p), k)
+    return t.groupBy(stance.otherwise("no-stance").alias("stance")).agg(F.count("*").alias("n"))
 
 
 @R.add(f"""WITH {ANS}, {MC}, v AS (SELECT split_part(model, '/', 1) AS vendor, i.ratchet IS NOT NULL AS tagged, modal - 1.5 AS x FROM cells JOIN item_bank i ON i.id = q)

@@ -105,9 +105,10 @@ _MD = f"""{_DELTAS}, md AS (SELECT 'all' AS k, model, ROUND(avg(delta), 9) AS x
 
 @R.add(f"""WITH {_MD}, c AS (SELECT count(*) FILTER (WHERE x > 0) AS up, count(*) FILTER (WHERE x < 0) AS down, count(*) FILTER (WHERE x = 0) AS ties, median(x) AS med FROM md), lf AS (SELECT k, sum(ln(greatest(k, 1))) OVER (ORDER BY k) AS f FROM range(0, 10001) r(k)),
   t AS (SELECT sum(exp(n.f - a.f - b.f - (up + down) * ln(2))) AS tail FROM c JOIN lf a ON a.k <= least(up, down) JOIN lf n ON n.k = up + down JOIN lf b ON b.k = up + down - a.k)
-  SELECT up, down, ties, ROUND(med, 6) AS median, ROUND(s[26], 6) AS lo, ROUND(s[976], 6) AS hi, ROUND(CASE WHEN up + down = 0 THEN 1.0 ELSE least(1.0, 2 * tail) END, 6) AS sign_p FROM c, ci, t""")
+  SELECT up, down, ties, ROUND(med, 6) AS median, ROUND(s[26], 6) AS lo, ROUND(s[976], 6) AS hi, ROUND(CASE WHEN up + down = 0 THEN 1.0 ELSE least(1.0, 2 * tail) END, 6) AS sign_p FROM c, ci, t WHERE up + down + ties > 0""")
 def median_difference(spark, d):
-    """Median over models of the arms' difference: bootstrap interval and, beside it, a sign test."""
+    """Median over models of the arms' difference: bootstrap interval and, beside it, a sign test.
+    No row without a model."""
     x = _deltas(spark, d).groupBy("model").agg(F.round(F.avg("delta"), 9).alias("x")).withColumn("k", F.lit("all"))
     m = B.replicates(x, "k", ["model"], "x", 1000, 1).groupBy("k", "b").agg(F.median("value").alias("m"))
     c = x.groupBy("k").agg(F.count_if(F.col("x") > 0).alias("up"), F.count_if(F.col("x") < 0).alias("down"), F.count_if(F.col("x") == 0).alias("ties"), F.median("x").alias("med"))
@@ -119,10 +120,11 @@ _ITEMS = f"""{ANS}, cells AS ({modal_sql('model, condition')}), a AS (SELECT mod
 
 
 @R.add(f"""WITH {_ITEMS}, {boot_sql('it', 'k', 'q', 'q', 1000)}, ms AS (SELECT dr.b, ROUND(sum(it.same) / sum(it.pairs), 9) AS m FROM dr JOIN it ON it.q = dr.value GROUP BY dr.b), ci AS (SELECT list_sort(list(m)) AS s FROM ms)
-  SELECT (SELECT count(*) FROM it) AS items, (SELECT ROUND(sum(same) / sum(pairs), 6) FROM it) AS share, ROUND(s[26], 6) AS lo, ROUND(s[976], 6) AS hi FROM ci""")
+  SELECT (SELECT count(*) FROM it) AS items, (SELECT ROUND(sum(same) / sum(pairs), 6) FROM it) AS share, ROUND(s[26], 6) AS lo, ROUND(s[976], 6) AS hi FROM ci WHERE (SELECT count(*) FROM it) > 0""")
 def item_bootstrap_share(spark, d):
     """Share of (model, item) cells that stay on their side under instruction, with an interval
-    over resampled items: any aggregate of the drawn items can take the share's place."""
+    over resampled items: any aggregate of the drawn items can take the share's place. No row
+    without a shared cell."""
     cells = S.modal(S.answers(table(spark, d, "sheets")), ["model", "condition"])
     both = cells.groupBy("model", "q").agg(*[F.max(F.when(F.col("condition") == c, F.col("modal"))).alias(c) for c in "AN"]).dropna()
     it = both.groupBy("q").agg(F.count("*").alias("pairs"), F.count_if((F.col("A") >= 2) == (F.col("N") >= 2)).alias("same")).withColumn("k", F.lit("all"))

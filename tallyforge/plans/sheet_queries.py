@@ -163,10 +163,11 @@ def off_pin(spark, d):
     return table(spark, d, "sheets").groupBy("model").agg(F.count("*").alias("sheets"), F.count_if(off).alias("off_pin"))
 
 
-@R.add("SELECT model, min_by(channel, sheet_id) AS channel, min_by(channel, sheet_id) = 'hosted' AS served FROM sheets WHERE channel IS NOT NULL GROUP BY model")
+@R.add("SELECT model, min_by(channel, sheet_id) FILTER (WHERE channel IS NOT NULL) AS channel, coalesce(min_by(channel, sheet_id) FILTER (WHERE channel IS NOT NULL) = 'hosted', contains(model, '/')) AS served FROM sheets GROUP BY model")
 def served_over_api(spark, d):
-    first = F.min_by("channel", "sheet_id")
-    return table(spark, d, "sheets").filter("channel is not null").groupBy("model").agg(first.alias("channel"), (first == "hosted").alias("served"))
+    """By the first recorded channel; a model without one is served if its id names a vendor."""
+    first = F.min_by("channel", F.when(F.col("channel").isNotNull(), F.col("sheet_id")))
+    return table(spark, d, "sheets").groupBy("model").agg(first.alias("channel")).withColumn("served", F.coalesce(F.col("channel") == "hosted", F.contains("model", F.lit("/"))))
 
 
 @R.add("""WITH k AS (SELECT *, CASE WHEN NOT ok THEN 'transport' WHEN coalesce(n_answers, 0) >= 32 THEN 'none' WHEN coalesce(n_answers, 0) = 0 AND coalesce(tokens_out >= max_tokens - 10, false) THEN 'budget-exhausted'
@@ -227,11 +228,14 @@ def switch_patterns(spark, d):
     return s.select("model", F.when(F.col("all_refused"), "total_refuser").when(F.col("a") & F.col("n"), "both").when(F.col("a"), "switch").when(F.col("n"), "reverse").otherwise("none").alias("pattern"))
 
 
-@R.add(f"""WITH {_RATES}, f AS (SELECT model, substr(condition, 2, 1) AS b1, substr(condition, 3, 1) AS b2, substr(condition, 4, 1) AS b3, x / n AS rate FROM r WHERE regexp_matches(condition, '^F[01][01][01]$')),
+@R.add(f"""WITH {_RATES}, f AS (SELECT model, substr(condition, 2, 1) AS b1, substr(condition, 3, 1) AS b2, substr(condition, 4, 1) AS b3, x / n AS rate FROM r WHERE regexp_matches(condition, '^F[01][01][01]$')), sat AS (SELECT model FROM f GROUP BY model HAVING min(rate) >= 0.99 OR max(rate) <= 0.01),
   u AS (SELECT model, 1 AS bit, b1 AS b, rate FROM f UNION ALL SELECT model, 2, b2, rate FROM f UNION ALL SELECT model, 3, b3, rate FROM f)
-  SELECT model, bit, ROUND(avg(CASE WHEN b = '1' THEN rate END) - avg(CASE WHEN b = '0' THEN rate END), 9) AS effect, count(*) AS cells FROM u GROUP BY model, bit""")
+  SELECT model, bit, ROUND(avg(CASE WHEN b = '1' THEN rate END) - avg(CASE WHEN b = '0' THEN rate END), 9) AS effect, count(*) AS cells FROM u WHERE model NOT IN (SELECT model FROM sat) GROUP BY model, bit""")
 def factorial_effects(spark, d):
+    """Effect of each clause on refusals; models that refuse all or nothing are left out."""
+    whole = Window.partitionBy("model")
     r = switch_table(spark, d).filter(F.col("condition").rlike("^F[01][01][01]$")).withColumn("rate", F.col("refused") / F.col("n"))
+    r = r.withColumn("lo", F.min("rate").over(whole)).withColumn("hi", F.max("rate").over(whole)).filter("lo < 0.99 and hi > 0.01")
     u = r.select("model", "rate", F.posexplode(F.split(F.substring("condition", 2, 3), "")).alias("i", "b")).filter("b <> ''")
     return u.groupBy("model", (F.col("i") + 1).alias("bit")).agg(F.round(F.avg(F.when(F.col("b") == "1", F.col("rate"))) - F.avg(F.when(F.col("b") == "0", F.col("rate"))), 9).alias("effect"), F.count("*").alias("cells"))
 

@@ -41,8 +41,13 @@ def test_layouts_and_catalog(tmp_path):
 
 def test_csv_and_json_round_trips(spark, tmp_path):
     df = spark.createDataFrame([("x/1", 1), ("y", 2)], "model string, n int")
-    R.write_csv(df, f"{tmp_path}/c", ["n", "model"])
-    assert rows(R.read_csv(spark, f"{tmp_path}/c", "n int, model string"), "n", "model") == [(1, "x/1"), (2, "y")]
+    R.write_csv(df.repartition(4), f"{tmp_path}/c.csv", ["n", "model"])
+    assert (tmp_path / "c.csv").read_bytes() == b"n,model\n1,x/1\n2,y\n"
+    assert rows(R.read_csv(spark, f"{tmp_path}/c.csv", "n int, model string"), "n", "model") == [(1, "x/1"), (2, "y")]
+    R.write_csv(df.limit(0), f"{tmp_path}/e.csv", ["n", "model"])
+    assert (tmp_path / "e.csv").read_text().strip() in ("n,model", "")
+    R.write_json(df.filter("n = 1"), f"{tmp_path}/r.json")
+    assert (tmp_path / "r.json").read_text() == '{"model":"x/1","n":1}\n'
     assert R.read_csv(spark, f"{tmp_path}/none", "n int").count() == 0
     R.write_by_model(df, f"{tmp_path}/m")
     assert rows(spark.read.json(f"{tmp_path}/m"), "model", "model_file") == [("x/1", "x_1"), ("y", "y")]
@@ -54,6 +59,20 @@ def test_redaction(spark):
     out, tally = R.redact(df, ["a", "b"], [r"sk-[0-9]+"])
     assert rows(out) == [("key [redacted] here", "ok"), (None, "[redacted]")]
     assert rows(tally) == [("a", 1), ("b", 1)]
+    deep = spark.createDataFrame([(1, [{"k": "sk-1", "m": {"x": "sk-2", "y": "z"}}]), (2, None)], "id int, v array<struct<k string, m map<string, string>>>")
+    out, tally = R.redact(deep, ["v"], [r"sk-[0-9]+"])
+    assert out.filter("id = 1").first().v[0].asDict() == {"k": "[redacted]", "m": {"x": "[redacted]", "y": "z"}}
+    assert out.filter("id = 2").first().v is None and rows(tally) == [("v", 1)]
+
+
+def test_scalars_and_stata(spark, tmp_path):
+    import pandas as pd
+
+    (tmp_path / "c.cff").write_text("title: 'A title'\nabstract: >-\n  One line\n  and one more.\nversion: 2\n")
+    got = [R.read_scalar(str(tmp_path / "c.cff"), k) for k in ("title", "abstract", "version", "none")]
+    assert got == ["A title", "One line and one more.", "2", None]
+    pd.DataFrame({"a": [1, 2, 3], "b": ["x", "y", "z"]}).to_stata(tmp_path / "s.dta", write_index=False)
+    assert rows(R.stata_to_parquet(spark, str(tmp_path / "s.dta"), f"{tmp_path}/s", rows=2), "a", "b") == [(1, "x"), (2, "y"), (3, "z")]
 
 
 def test_stream_drops_redeliveries(spark, tmp_path):
