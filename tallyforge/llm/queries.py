@@ -34,7 +34,7 @@ def p4_judges(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_agreement(spark: SparkSession, d: str) -> DataFrame:
-    return consensus.agreement(table(spark, d, "scored"), by="model")
+    return consensus.agreement(table(spark, d, "scored"), by="model").withColumn("alpha", F.round("alpha", 6))
 
 
 def p5_all(spark: SparkSession, d: str) -> DataFrame:
@@ -84,6 +84,15 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mix(table(spark, d, "documents"), table(spark, d, "mix_targets"))[1]
 
 
+def p8_tree(spark: SparkSession, d: str) -> DataFrame:
+    """Shares reached when each source's target is split over its languages, English seven
+    parts of ten: what a language lacks goes to its source's other language first."""
+    docs = table(spark, d, "documents").withColumn("language", F.when(F.lower("lang") == "en", "en").otherwise("other"))
+    split = F.explode(F.array(F.struct(F.lit("en").alias("language"), F.lit(0.7).alias("part")), F.struct(F.lit("other").alias("language"), F.lit(0.3).alias("part")))).alias("x")
+    targets = table(spark, d, "mix_targets").select("*", split).select("source", "x.language", (F.col("target_share") * F.col("x.part")).alias("target_share"), "max_repeats")
+    return mixing.mix(docs, targets, levels=("source", "language"))[1]
+
+
 def p9_levels(spark: SparkSession, d: str) -> DataFrame:
     return reading.reading_levels(table(spark, d, "documents"))
 
@@ -101,7 +110,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         p2_found, p2_shares, p2_verdicts, p4_found, p4_judges, p4_agreement, p5_found, p5_all, p6_found, p6_collapsed,
-        p7_found, p7_leaks, p7_items, p8_mix, p8_shares, p9_found, p9_levels, p9_profile,
+        p7_found, p7_leaks, p7_items, p8_mix, p8_shares, p8_tree, p9_found, p9_levels, p9_profile,
     )
 }
 
@@ -116,7 +125,13 @@ _COPIES = f"""s AS (SELECT record_id AS id, model, question_id, condition, seed,
   r AS (SELECT line_id, string_agg(k || '=' || CASE json_type(v) WHEN 'VARCHAR' THEN 's' || {_fold("json_extract_string(v, '$')")} ELSE CAST(v AS VARCHAR) END, chr(1) ORDER BY k) AS f FROM v GROUP BY line_id), h AS (SELECT line_id AS id, min(line_id) OVER (PARTITION BY f) AS first_id FROM r),
   pairs AS (SELECT 'scored' AS src, first_id, id AS copy_id FROM g WHERE id <> first_id UNION ALL SELECT 'raw_lines', first_id, id FROM h WHERE id <> first_id)"""
 
+_ALPHA = """s AS (SELECT model AS grp, record_id, list_filter(list_transform(score_classifier_judges, lambda j: j.score), lambda x: x BETWEEN 1 AND 5) AS v FROM scored), m AS (SELECT grp, record_id, len(v) AS m, unnest(v) AS a FROM s WHERE len(v) >= 2),
+  r AS (SELECT grp, record_id, m, a, count(*) AS c FROM m GROUP BY ALL), o AS (SELECT x.grp, x.a AS a, y.a AS b, sum(x.c * (y.c - (x.a = y.a)::INT) / (x.m - 1)) AS w FROM r x JOIN r y ON x.record_id = y.record_id GROUP BY x.grp, x.a, y.a), n AS (SELECT grp, a, sum(w) AS n FROM o GROUP BY grp, a),
+  p AS (SELECT x.grp, x.a AS a, y.a AS b, x.n * y.n AS nn, (SELECT sum(z.n) FROM n z WHERE z.grp = x.grp AND z.a BETWEEN x.a AND y.a) - (x.n + y.n) / 2 AS d FROM n x JOIN n y ON x.grp = y.grp AND x.a < y.a),
+  e AS (SELECT p.grp, sum(coalesce(w, 0) * d * d) AS seen, sum(nn * d * d) AS expected FROM p LEFT JOIN o ON o.grp = p.grp AND o.a = p.a AND o.b = p.b GROUP BY p.grp), t AS (SELECT grp, sum(n) AS total FROM n GROUP BY grp), k AS (SELECT grp, count(*) AS n_records FROM s WHERE len(v) >= 2 GROUP BY grp)"""
+
 SQL: dict[str, str] = {
+    "p4_agreement": f"WITH {_ALPHA} SELECT k.grp, n_records, ROUND(1 - (total - 1) * seen / expected, 6) AS alpha FROM k LEFT JOIN t ON t.grp = k.grp LEFT JOIN e ON e.grp = k.grp",
     "p6_found": f"WITH {_COPIES} SELECT * FROM pairs",
     "p6_collapsed": f"""WITH {_COPIES}, a AS (SELECT 'scored' AS src, record_id AS id FROM scored UNION ALL SELECT 'raw_lines', line_id FROM raw_lines), n AS (SELECT src, first_id AS id, count(*) AS more FROM pairs GROUP BY src, first_id)
   SELECT src, id, coalesce(more, 0) + 1 AS n_copies FROM a LEFT JOIN n USING (src, id) WHERE NOT EXISTS (SELECT 1 FROM pairs p WHERE p.src = a.src AND p.copy_id = a.id)""",

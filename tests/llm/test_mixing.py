@@ -52,3 +52,12 @@ def test_token_counters_agree_on_ids(spark):
     for name in ("byte_bpe_50k.tiktoken", "byte_bpe_50k.json", "piece_bpe_32k.model"):
         got = dict(rows(M.count_tokens(df, ["id"], "text", T.path(name))))
         assert got[1] >= 2 and got[2] == got[3] == 0
+
+
+def test_a_shortage_stays_inside_its_branch(spark):
+    docs = spark.createDataFrame([(i, "alpha beta gamma delta epsilon", s, lang) for i, (s, lang) in enumerate([("a", "en")] * 40 + [("a", "de")] * 400 + [("b", "en")] * 400 + [("b", "de")] * 400)], "doc_id long, text string, source string, language string")
+    targets = spark.createDataFrame([("a", "en", 0.35, 1), ("a", "de", 0.15, 1), ("b", "en", 0.35, 1), ("b", "de", 0.15, 1)], "source string, language string, target_share double, max_repeats int")
+    each = M.count_tokens(docs.limit(1), ["doc_id"], "text").first().tokens
+    _, shares = M.mix(docs, targets, levels=("source", "language"), total=400.0 * each)
+    s = {r.source: r.documents for r in shares.collect()}
+    assert s == {"a/en": 40, "a/de": 160, "b/en": 140, "b/de": 60}
