@@ -36,6 +36,7 @@ MIN_HITS = 4  # every span within the allowance has so many, wherever its words
 MIN_SPAN = 15  # consecutive passage words that the alignment covers
 CHANGED = 5  # one change is allowed for so many passage words of the span
 MOST_CHANGES = 6  # a longer span with more of them holds a shorter one with few enough
+LEAST_MATCHED = 10  # of 15 consecutive passage words, in every span within the allowance
 MIN_SCORE = 6  # no span within that allowance aligns at less; a floor, the span decides
 BATCH = 512
 SLACK = 24
@@ -145,29 +146,55 @@ def spans_within(ps: list[np.ndarray], ds: list[np.ndarray], width: int) -> tupl
     words, so that no stray match lengthens it. For each number of changes the earliest start
     of a span that ends here is kept.
     """
-    none = np.int16(1 << 14)
     m = max(map(len, ps), default=0)
     p, d = np.zeros((len(ps), m), np.uint64), np.ones((len(ps), m + width), np.uint64)
     for i, (a, b) in enumerate(zip(ps, ds, strict=True)):
         p[i, : len(a)], d[i, : len(b)] = a, b[: m + width]
+    some = _may_span(p, d, width)
+    if not some.all():
+        out = np.zeros((2, len(ps)), np.int64)
+        if some.any():
+            keep = np.flatnonzero(some).tolist()
+            out[:, keep] = _spans(p[keep], d[keep], width)
+        return out[0], out[1]
+    return _spans(p, d, width)
+
+
+def _may_span(p: np.ndarray, d: np.ndarray, width: int) -> np.ndarray:
+    """Pairs with ``LEAST_MATCHED`` matched words among some ``MIN_SPAN`` consecutive passage
+    words: every span within the allowance has them, wherever its changes lie (five changes in
+    the middle of twenty-five words leave the fewest)."""
+    m = p.shape[1]
+    if m < MIN_SPAN:
+        return np.zeros(len(p), bool)
+    found = np.zeros(p.shape, bool)
+    for o in range(width):
+        found |= d[:, o : o + m] == p
+    upto = np.zeros((len(p), m + 1), np.int32)
+    np.cumsum(found, axis=1, out=upto[:, 1:])
+    return (upto[:, MIN_SPAN:] - upto[:, :-MIN_SPAN]).max(axis=1) >= LEAST_MATCHED
+
+
+def _spans(p: np.ndarray, d: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    none = np.int32(1 << 30)
+    ps, m = p, p.shape[1]
     same = np.zeros((m + 2, len(ps), width), bool)
     for i in range(m):
         same[i + 1] = d[:, i : i + width] == p[:, i : i + 1]
     row = np.full((MOST_CHANGES + 1, len(ps), width), none)
-    within, verbatim = np.zeros(len(ps), np.int64), np.zeros(len(ps), np.int64)
+    least = np.maximum(MIN_SPAN, CHANGED * np.arange(MOST_CHANGES + 1, dtype=np.int32))[:, None]
+    within, verbatim = np.zeros((2, len(ps)), np.int32)
     for i in range(m):
         here = same[i + 1]
-        new = np.where(here, np.minimum(row, np.where(same[i + 2], np.int16(i), none)), none)
+        new = np.where(here, np.minimum(row, np.where(same[i + 2], np.int32(i), none)), none)
         stop = here & same[i]
+        np.minimum(new[1:], row[:-1], out=new[1:])
+        np.minimum(new[1:, :, :-1], row[:-1, :, 1:], out=new[1:, :, :-1])
         for k in range(1, MOST_CHANGES + 1):
-            np.minimum(new[k], row[k - 1], out=new[k])
-            np.minimum(new[k, :, :-1], row[k - 1, :, 1:], out=new[k, :, :-1])
             np.minimum(new[k, :, 1:], new[k - 1, :, :-1], out=new[k, :, 1:])
-        span = i + 1 - np.where(stop, new, none).min(axis=2).astype(np.int64)
-        verbatim = np.maximum(verbatim, span[0])
-        for k in range(MOST_CHANGES + 1):
-            ok = span[k] >= max(MIN_SPAN, k * CHANGED)
-            within[ok] = np.maximum(within[ok], span[k][ok])
+        span = np.int32(i + 1) - np.where(stop, new, none).min(axis=2)
+        np.maximum(verbatim, span[0], out=verbatim)
+        np.maximum(within, np.where(span >= least, span, 0).max(axis=0), out=within)
         row = new
     return within, verbatim
 
@@ -195,7 +222,7 @@ def _runs(index: Index, bounds: np.ndarray, at: np.ndarray, seed: np.ndarray) ->
     new[1:] = (doc[1:] != doc[:-1]) | (item[1:] != item[:-1]) | (diagonal[1:] > diagonal[:-1] + MOST_CHANGES)
     run, first = np.cumsum(new) - 1, np.flatnonzero(new)
     last = np.append(first[1:], len(order)) - 1
-    hits = np.bincount(np.unique(np.stack([run, at], 1), axis=0)[:, 0], minlength=len(first)) if len(order) else np.zeros(0, np.int64)
+    hits = np.bincount(np.unique(run * (at.max() + 1) + at) // (at.max() + 1), minlength=len(first)) if len(order) else np.zeros(0, np.int64)
     some = hits >= MIN_HITS
     first, last = first[some], last[some]
     return list(zip(doc[first].tolist(), item[first].tolist(), diagonal[first].tolist(), diagonal[last].tolist(), strict=True))

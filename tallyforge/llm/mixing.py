@@ -160,7 +160,7 @@ def mix(docs: DataFrame, targets: DataFrame, levels: tuple[str, ...] = ("domain"
     for r in rows:
         b, n = budget[tuple(r.path)]
         epochs = int(min(b // n, r.max_repeats)) if n else 0
-        rest = b - epochs * n if n and epochs < r.max_repeats else 0.0
+        rest = round(b - epochs * n, 6) if n and epochs < r.max_repeats else 0.0  # a budget of 7 tokens is not 6.9999999
         spec.append((r.leaf, r.source, float(r.target_share or 0), epochs, float(rest), int(n)))
     spec = spark.createDataFrame(spec, "leaf string, source string, target_share double, epochs int, rest double, available bigint")
     key = F.xxhash64(F.lit(seed), F.col("epochs"), F.col("doc_id"), F.col("tokens"))
