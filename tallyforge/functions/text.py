@@ -79,8 +79,9 @@ def hedge_span_ratio(text: Column, markers: tuple[str, ...] = HEDGE_MARKERS, rea
     for m in markers:
         spans = F.regexp_extract_all(low, F.lit(f"{m}(?=([^.;]{{0,{reach}}}))"), 1)
         total = total + F.aggregate(spans, F.lit(0), lambda a, s: a + F.least(F.regexp_count(s, F.lit(WORD)) + 1, F.lit(most)))
+    # most texts hold no marker, which one pass over the text tells
     n = word_count(text)
-    return F.when(n > 0, F.least(total / n, F.lit(1.0))).otherwise(0.0)
+    return F.when(low.rlike("|".join(markers)) & (n > 0), F.least(total / n, F.lit(1.0))).otherwise(0.0)
 
 
 def has_any(text: Column, phrases: tuple[str, ...], prefix: int = 300) -> Column:
@@ -150,9 +151,9 @@ def strip_accents(text: Column) -> Column:
     return F.translate(text, "áàâäãåçéèêëíìîïñóòôöõúùûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy")
 
 
-def shingle_hashes(words: Column, size: int, both: bool = False) -> Column:
-    """First 16 hex digits of the SHA-256 of every run of ``size`` words, with ``both`` also
-    of every run of one word less; of the whole text if it is shorter, none if it is empty.
+def windows(words: Column, size: int, both: bool = False) -> Column:
+    """Every run of ``size`` words as text, with ``both`` also every run of one word less; the
+    whole text if it is shorter, none if it is empty.
 
     The words are bound once; naming them in the lambda would split the text anew for each run.
     """
@@ -165,7 +166,12 @@ def shingle_hashes(words: Column, size: int, both: bool = False) -> Column:
             out = part if out is None else F.concat(out, part)
         return F.when(n == 0, F.array().cast("array<string>")).when(n < size, F.array(F.array_join(w, " "))).otherwise(out)
 
-    return F.transform(F.flatten(F.transform(F.array(words), runs)), lambda s: F.substring(F.sha2(s, 256), 1, 16))
+    return F.flatten(F.transform(F.array(words), runs))
+
+
+def fingerprint(text: Column) -> Column:
+    """First 16 hex digits of the SHA-256 of a text."""
+    return F.substring(F.sha2(text, 256), 1, 16)
 
 
 def jaccard(a: Column, b: Column) -> Column:

@@ -95,7 +95,7 @@ def identity_anti_join(spark, d):
 
 @R.add(f"WITH h AS (SELECT DISTINCT item_id, h FROM ({_windows('eval_items', 'item_id', 9)})) SELECT h, count(*) AS items FROM h GROUP BY h HAVING count(*) > 1")
 def shared_shingles(spark, d):
-    w = table(spark, d, "eval_items").select("item_id", F.explode(X.shingle_hashes(X.fold_words(F.col("text")), 9, both=True)).alias("h")).distinct()
+    w = table(spark, d, "eval_items").select("item_id", F.explode(X.windows(X.fold_words(F.col("text")), 9, both=True)).alias("t")).select("item_id", X.fingerprint(F.col("t")).alias("h")).distinct()
     return w.groupBy("h").agg(F.count("*").alias("items")).filter("items > 1")
 
 
@@ -104,9 +104,12 @@ def shared_shingles(spark, d):
 def fingerprint_scan(spark, d):
     """Documents with windows of six or five words of the bank; phrases of four or more items
     are allowed spans, stock wording that no document leaks."""
-    windows = lambda t, key: table(spark, d, t).select(key, F.explode(X.shingle_hashes(X.fold_words(F.col("text")), 6, both=True)).alias("h"))
-    banned = windows("item_bank", "id").distinct().groupBy("h").agg(F.count("*").alias("items")).filter("items < 4")
-    return windows("documents", "doc_id").join(banned, "h", "left_semi").groupBy("doc_id").agg(F.count("*").alias("windows"))
+    windows = lambda t, key: table(spark, d, t).select(key, F.explode(X.windows(X.fold_words(F.col("text")), 6, both=True)).alias("t"))
+    bank = windows("item_bank", "id").distinct().groupBy("t").agg(F.count("*").alias("items")).filter("items < 4")
+    banned = bank.select(X.fingerprint(F.col("t")).alias("h"), F.xxhash64("t").alias("x"))
+    # a quick hash passes few windows; only those are fingerprinted
+    near = windows("documents", "doc_id").withColumn("x", F.xxhash64("t")).join(banned.select("x").distinct(), "x", "left_semi")
+    return near.select("doc_id", X.fingerprint(F.col("t")).alias("h")).join(banned.select("h"), "h", "left_semi").groupBy("doc_id").agg(F.count("*").alias("windows"))
 
 
 @R.add(f"""WITH {_CELLS}, r AS (SELECT s.model, substr(s.run, 1, 7) AS month, avg(s.score_classifier) AS x FROM scored s WHERE s.condition = 'B' GROUP BY 1, 2)
