@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyforge.plans import arm_queries, detail_queries, floor_queries, inference_queries, quality_queries, records, resample_queries, scored_queries, sheet_queries
+from tallyforge.plans import arm_queries, detail_queries, floor_queries, inference_queries, quality_queries, records, report_queries, resample_queries, scored_queries, sheet_queries
 from tallyforge.session import prepare
 
-MODULES = (records, sheet_queries, scored_queries, resample_queries, quality_queries, floor_queries, inference_queries, arm_queries, detail_queries)
+MODULES = (records, sheet_queries, scored_queries, resample_queries, quality_queries, floor_queries, inference_queries, arm_queries, detail_queries, report_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

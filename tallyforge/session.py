@@ -69,5 +69,7 @@ def written(df: DataFrame) -> DataFrame:
     spark = prepare(df.sparkSession)
     root = spark.sparkContext._jsc.sc().getCheckpointDir().get()
     path = f"{root}/table-{uuid.uuid4().hex}"
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)  # readers may come as long as the session lives
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
