@@ -158,7 +158,7 @@ def interactions(positions: DataFrame, arm: str, first: str, second: str, a: str
     return p.groupBy("model").applyInArrow(run, "model string, n_pairs bigint, effect double, lo double, hi double, p double")
 
 
-def modal_noise(answers: DataFrame, cell: str, reps: int, seed: int = 1, items: int | None = None) -> DataFrame:
+def modal_noise(answers: DataFrame, cell: str, reps: int, seed: int = 1) -> DataFrame:
     """(cell, mean_flips, most_flips, p90_flips): two independent resamples of a cell's sheets,
     the modal position (the lower on a tie) of each item in either, and the items whose modal
     falls on the other side. The sheets of one cell must fit one task."""

@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyforge.functions import stats
-
 CELL = ["model", "condition", "template", "temperature", "shuffle_seed"]
 SHEET = ["sheet_id", "run_no", "seed", "channel", *CELL]
 

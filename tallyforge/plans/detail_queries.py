@@ -10,7 +10,7 @@ from tallyforge.functions import text as X
 from tallyforge.operators import resample as B
 from tallyforge.operators import sheets as S
 from tallyforge.plans.base import ANS, Registry, distance_sql, modal_sql, table
-from tallyforge.plans.resample_queries import _DELTAS, _deltas, boot_sql, draw_sql, positions
+from tallyforge.plans.resample_queries import _DELTAS, _deltas, boot_sql, draw_sql
 
 R = Registry()
 MC = f"cells AS ({modal_sql('model, condition')})"
@@ -251,7 +251,6 @@ def serving_floor(spark, d):
     return tw.join(f, "model", "left").join(o, "model", "left").select("model", "backends", "between_backends", "own_order_floor", verdict.alias("verdict"))
 
 
-_STEPS = ("FAIL", "WARN", "OK")
 _CLAIMS = {
     "truncated responses": ("scored", "coalesce(tokens_out >= max_tokens, false)"), "empty responses": ("scored", "response_text IS NULL OR NOT regexp_matches(response_text, '[^ \\t\\r\\n]')"), "failed calls": ("scored", "ok IS NOT DISTINCT FROM false"),
     "cap not recorded": ("scored", "max_tokens IS NULL"), "scores without judges": ("scored", "score_classifier IS NOT NULL AND coalesce(score_classifier_n_valid, 0) = 0"), "cached replies": ("scored", "latency_ms < 50"),

@@ -10,7 +10,7 @@ from tallyforge.operators import contrast as K
 from tallyforge.operators import resample as B
 from tallyforge.operators import sheets as S
 from tallyforge.plans.base import ANS, Registry, distance_sql, modal_sql, table
-from tallyforge.plans.resample_queries import _DELTAS, _POSITIONS, ROUNDED, _deltas, boot_sql, contrast_sql, draw_sql, positions
+from tallyforge.plans.resample_queries import _DELTAS, _POSITIONS, ROUNDED, _deltas, boot_sql, contrast_sql, positions
 
 R = Registry()
 CONTRASTS = [("A", "N"), ("P", "N"), ("C", "P")]
