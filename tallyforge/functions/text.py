@@ -46,7 +46,7 @@ REFUSAL_MARKERS = (
     r"\bi'?m\s+(?:an?\s+)?(?:ai|language model|assistant)\b",
 )
 REDIRECT_MARKERS = (
-    r"\binstead\b", r"\brather (?:than|let)\b",
+    r"\binstead\b", r"\binstead of\b", r"\brather (?:than|let)\b",
     r"\bwould you like\b", r"\bmay i (?:offer|suggest|propose)\b",
 )
 
