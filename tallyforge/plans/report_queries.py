@@ -32,11 +32,14 @@ def _consistency_sql(source: str) -> str:
   SELECT sheet_id, ROUND(by_id, 6) AS by_id, ROUND(by_slot, 6) AS by_slot, CASE WHEN by_id >= 0.7 AND by_id > coalesce(by_slot, 0) THEN 'answered by id' WHEN by_slot >= 0.7 AND by_slot > coalesce(by_id, 0) THEN 'answered by slot' ELSE 'UNATTRIBUTABLE' END AS verdict FROM x""")
 def attribution_mappings(spark, d):
     """Pair consistency of renumbered sheets (eight answers or more) when answers are read by
-    item id and when they are read by slot; a sheet that neither reading makes clear is named."""
+    item id and when they are read by slot; a sheet that neither reading makes clear is named.
+
+    Sheets and what is exploded from them are joined by merge: their estimated size leaves the
+    explosion out, and they would be broadcast at many times the threshold."""
     ans = _answers(spark, d)
-    sh = ans.join(table(spark, d, "sheets").filter("renumbered and label_to_id is not null").select("sheet_id"), "sheet_id").groupBy("sheet_id").agg(F.count("*").alias("n")).filter("n >= 8").select("sheet_id")
-    mine = ans.join(sh, "sheet_id").select("sheet_id", "q", "position")
-    slots = item_slots(spark, d).select("sheet_id", (F.col("slot") + 1).alias("q"), "item")
+    sh = ans.join(table(spark, d, "sheets").filter("renumbered and label_to_id is not null").select("sheet_id").hint("merge"), "sheet_id").groupBy("sheet_id").agg(F.count("*").alias("n")).filter("n >= 8").select("sheet_id")
+    mine = ans.join(sh.hint("merge"), "sheet_id").select("sheet_id", "q", "position")
+    slots = item_slots(spark, d).select("sheet_id", (F.col("slot") + 1).alias("q"), "item").hint("merge")
     by_slot = mine.withColumn("q", F.col("q").cast("bigint")).join(slots, ["sheet_id", "q"]).select("sheet_id", F.col("item").alias("q"), "position")
     k = lambda a, name: S.pair_positions(a, table(spark, d, "item_bank"), ["sheet_id"]).groupBy("sheet_id").agg(F.avg(F.col("consistent").cast("int")).alias(name))
     x = sh.join(k(mine, "i"), "sheet_id", "left").join(k(by_slot, "s"), "sheet_id", "left")
