@@ -8,6 +8,9 @@ take another's content under a new name are reported.
 Every statistic is a count per (collector, file, field, type, hash of content), summed per
 task before it is shuffled. Contents are compared by a join on those hashes, for the fields
 that vanished or are new only.
+
+No join broadcasts a side: all follow the data, and tables written to parquet in between take
+a small part there of what they take in memory, so the threshold would let too much pass.
 """
 
 from __future__ import annotations
@@ -25,21 +28,27 @@ _TYPE = """CASE WHEN s = 'VOID' THEN NULL WHEN s = 'BOOLEAN' THEN 'boolean' WHEN
   WHEN s LIKE 'OBJECT<%' THEN 'object' WHEN s LIKE 'ARRAY<%' THEN 'array' ELSE 'number' END"""
 
 
-def readable(lines: DataFrame, payload: str = "payload", collector: str = "collector", file_no: str = "file_no") -> DataFrame:
+def _objects(lines: DataFrame, payload: str = "payload", collector: str = "collector", file_no: str = "file_no", **more: str) -> DataFrame:
+    """(collector, file_no, text, and ``more`` by its names): the lines that begin as JSON objects."""
+    names = {"collector": collector, "file_no": file_no, "text": payload} | more
+    return lines.filter(F.ltrim(F.col(f"`{payload}`"), F.lit(" \t\r\n")).startswith("{")).select(*[F.col(f"`{v}`").alias(k) for k, v in names.items()])
+
+
+def _parsed(objects: DataFrame) -> DataFrame:
+    """``objects`` with ``record`` for ``text``, those that can be parsed."""
+    return objects.withColumn("record", F.try_parse_json("text")).drop("text").filter("record is not null")
+
+
+def readable(lines: DataFrame, **names: str) -> DataFrame:
     """(collector, file_no, record): the lines that are JSON objects."""
-    text = F.col(f"`{payload}`")
-    return (
-        lines.filter(F.ltrim(text, F.lit(" \t\r\n")).startswith("{"))
-        .select(F.col(f"`{collector}`").alias("collector"), F.col(f"`{file_no}`").alias("file_no"), F.try_parse_json(text).alias("record"))
-        .filter("collector is not null and file_no is not null and record is not null")
-    )
+    return _parsed(_objects(lines, **names)).filter("collector is not null and file_no is not null")
 
 
-def _fields(records: DataFrame) -> DataFrame:
-    """(collector, file_no, pos, field, s, type, value): the top-level fields of each record;
-    one row without a field for a record that has none. Nulls have no type."""
+def _fields(records: DataFrame, *more: str) -> DataFrame:
+    """(collector, file_no, *more, pos, field, s, type, value): the top-level fields of each
+    record; one row without a field for a record that has none. Nulls have no type."""
     each = records.sparkSession.tvf.variant_explode_outer(F.col("record").outer()).alias("e")
-    flat = records.lateralJoin(each).select("collector", "file_no", "e.pos", F.col("e.key").alias("field"), "e.value")
+    flat = records.lateralJoin(each).select("collector", "file_no", *more, "e.pos", F.col("e.key").alias("field"), "e.value")
     return flat.withColumn("s", F.schema_of_variant("value")).withColumn("type", F.expr(_TYPE))
 
 
@@ -83,7 +92,7 @@ def appearing(records: DataFrame, depth: int | None = None) -> DataFrame:
     first = counts.groupBy("collector", "path", "type").agg(F.min("file_no").alias("file_no"), F.sum("n").alias("n"))
     paths = first.groupBy("collector", "path").agg(F.min("file_no").alias("path_from"))
     start = first.groupBy("collector").agg(F.min("file_no").alias("start"))
-    got = first.join(paths, ["collector", "path"]).join(start, "collector").filter("file_no > start")
+    got = first.join(paths.hint("merge"), ["collector", "path"]).join(start.hint("merge"), "collector").filter("file_no > start")
     return got.select("collector", "path", "type", "file_no", F.when(F.col("file_no") == F.col("path_from"), "path").otherwise("type").alias("kind"), "n")
 
 
@@ -118,7 +127,7 @@ def profiles(counts: DataFrame) -> DataFrame:
         F.sum("n").alias("held"), F.max_by(F.struct("type", "n"), F.struct("n", F.expr("-ascii(type) * 1000 - ascii(substr(type, 2, 1))"))).alias("b")
     )
     share = F.col("held") / F.col("records")
-    return best.join(total, ["collector", "file_no"]).filter(share >= PRESENT).select("collector", "file_no", "field", "b.type", share.alias("share"), "b.n")
+    return best.join(total.hint("merge"), ["collector", "file_no"]).filter(share >= PRESENT).select("collector", "file_no", "field", "b.type", share.alias("share"), "b.n")
 
 
 def _overlaps(pairs: DataFrame, counts: DataFrame) -> DataFrame:
@@ -127,7 +136,7 @@ def _overlaps(pairs: DataFrame, counts: DataFrame) -> DataFrame:
     old = counts.select("collector", F.col("file_no").alias("before"), F.col("field").alias("f"), "type", "tag", "token", F.col("n").alias("was"))
     new = counts.select("collector", "file_no", F.col("field").alias("g"), "type", "tag", "token", F.col("n").alias("is"))
     by = [c for c in pairs.columns if c not in ("gone", "come")]
-    both = pairs.join(old, ["collector", "before", "f", "type"]).join(new, ["collector", "file_no", "g", "type", "tag", "token"])
+    both = pairs.join(old.hint("merge"), ["collector", "before", "f", "type"]).join(new.hint("merge"), ["collector", "file_no", "g", "type", "tag", "token"])
     shared = both.groupBy(*by, "tag").agg(F.sum(F.least(F.col("was") / F.col("gone.n"), F.col("is") / F.col("come.n"))).alias("overlap"), F.first("gone").alias("gone"), F.first("come").alias("come"))
     return shared.groupBy(*by).agg(F.max("overlap").alias("overlap"), F.first("gone").alias("gone"), F.first("come").alias("come"))
 
@@ -140,28 +149,29 @@ def changes(lines: DataFrame, **names: str) -> DataFrame:
     Lines that are not JSON objects, null collectors and null file numbers do not count; a
     file without a readable record is passed over. A collector's first file has no changes.
     """
-    fields = _fields(readable(lines, **names))
-    p = written(profiles(written(counted(fields))))  # a row per file and field, read four times below
+    p = written(profiles(written(counted(_fields(readable(lines, **names))))))  # a row per file and field, read three times below
     files = p.select("collector", "file_no").distinct().withColumn("before", F.lag("file_no").over(Window.partitionBy("collector").orderBy("file_no"))).filter("before is not null")
     cell = F.struct("type", "share", "n")
-    now = files.join(p, ["collector", "file_no"]).select("collector", "file_no", "field", cell.alias("come"))
-    old = files.join(p.withColumnRenamed("file_no", "before"), ["collector", "before"]).select("collector", "file_no", "field", cell.alias("gone"))
-    both = now.join(old, ["collector", "file_no", "field"], "full")
+    now = files.join(p.hint("merge"), ["collector", "file_no"]).select("collector", "file_no", "before", "field", cell.alias("come"))
+    old = files.join(p.withColumnRenamed("file_no", "before").hint("merge"), ["collector", "before"]).select("collector", "file_no", "before", "field", cell.alias("gone"))
+    both = now.join(old, ["collector", "file_no", "before", "field"], "full")
     step = written(both.filter("come is null or gone is null or come.type <> gone.type"))
-    gone = step.filter("come is null").select("collector", "file_no", F.col("field").alias("f"), "gone")
+    gone = step.filter("come is null").select("collector", "file_no", "before", F.col("field").alias("f"), "gone")
     come = step.filter("gone is null").select("collector", "file_no", F.col("field").alias("g"), "come")
     least = F.expr("CASE gone.type " + " ".join(f"WHEN '{t}' THEN {v}" for t, v in SAME.items()) + " END")
     score = F.expr("overlap - 0.2 * abs(gone.share - come.share) - 0.01 * levenshtein(lower(f), lower(g)) / greatest(length(f), length(g))")
-    pairs = written(gone.join(come, ["collector", "file_no"]).filter("gone.type = come.type").withColumn("type", F.col("gone.type")).join(files, ["collector", "file_no"]))
+    pairs = written(gone.join(come.hint("merge"), ["collector", "file_no"]).filter("gone.type = come.type").withColumn("type", F.col("gone.type")))
     sides = F.explode(F.array(F.struct(F.col("before").alias("file_no"), F.col("f").alias("field")), F.struct("file_no", F.col("g").alias("field")))).alias("x")
-    needed = written(pairs.select("collector", "type", sides).select("collector", "x.file_no", "x.field", "type").distinct())
-    tokens = fields.join(needed, ["collector", "file_no", "field", "type"]).select("collector", "file_no", "field", "type", F.explode(_tokens()).alias("token"))
+    needed = pairs.select("collector", "type", sides).groupBy("collector", "x.file_no").agg(F.collect_set(F.struct("x.field", "type")).alias("needed"))
+    # lines meet the fields they need as text: parsed or exploded, they would fill the shuffle
+    fields = _fields(_parsed(_objects(lines, **names).join(needed.hint("shuffle_hash"), ["collector", "file_no"])), "needed")
+    tokens = fields.filter(F.array_contains("needed", F.struct("field", "type"))).select("collector", "file_no", "field", "type", F.explode(_tokens()).alias("token"))
     counts = tokens.groupBy("collector", "file_no", "field", "type", F.substring("token", 1, 1).alias("tag"), F.xxhash64("token").alias("token")).agg(F.count("*").alias("n"))
     like = _overlaps(pairs, written(counts)).withColumn("score", score).filter((F.col("score") >= least - 0.05))
     rank = F.struct(-F.col("score"), "f", "g")
     first = like.withColumn("a", F.row_number().over(Window.partitionBy("collector", "file_no", "f").orderBy(rank))).withColumn("b", F.row_number().over(Window.partitionBy("collector", "file_no", "g").orderBy(rank)))
     renamed = first.filter("a = 1 and b = 1").select("collector", "file_no", "f", "g")
-    plain = step.join(renamed.select("collector", "file_no", F.explode(F.array("f", "g")).alias("field")), ["collector", "file_no", "field"], "left_anti")
+    plain = step.join(renamed.select("collector", "file_no", F.explode(F.array("f", "g")).alias("field")).hint("merge"), ["collector", "file_no", "field"], "left_anti")
     kind = F.when(F.col("gone").isNull(), "added").when(F.col("come").isNull(), "removed").otherwise("retyped")
     return plain.select("collector", "file_no", "field", kind.alias("change_kind"), F.col("field").alias("new_field")).unionByName(
         renamed.select("collector", "file_no", F.col("f").alias("field"), F.lit("renamed").alias("change_kind"), F.col("g").alias("new_field"))
@@ -186,9 +196,7 @@ def consistent(lines: DataFrame, line_id: str = "line_id", payload: str = "paylo
     names = {"payload": payload, "collector": collector, "file_no": file_no}
     steps = changes(lines, **names).filter("change_kind = 'renamed'")
     steps = written(steps.groupBy("collector").agg(F.array_sort(F.collect_list(F.struct("file_no", "field", "new_field"))).alias("steps")))
-    text = F.col(f"`{payload}`")
-    src = lines.filter(F.ltrim(text, F.lit(" \t\r\n")).startswith("{")).select(F.col(f"`{line_id}`").alias("line_id"), F.col(f"`{collector}`").alias("collector"), F.col(f"`{file_no}`").alias("file_no"), F.try_parse_json(text).alias("record"))
-    src = src.filter("record is not null").join(steps, "collector", "left")
+    src = _parsed(_objects(lines, **names, line_id=line_id).join(steps.hint("merge"), "collector", "left"))
     # the renamings up to a line's file, newest first; none for most lines, which then skip all of this
     src = src.withColumn("past", F.expr("CASE WHEN steps IS NOT NULL THEN reverse(filter(steps, s -> s.file_no <= file_no)) END"))
     origin = "CASE WHEN past IS NULL THEN e.key ELSE aggregate(past, e.key, (n, s) -> CASE WHEN s.new_field = n THEN s.field ELSE n END) END"
